@@ -3,7 +3,7 @@
 from queries.base import ORACLES, QUERIES
 
 MODULES = [
-    "reconcile", "catalog", "planning",
+    "reconcile", "catalog", "planning", "integrity",
 ]
 
 
