@@ -3,7 +3,7 @@
 from queries.base import ORACLES, QUERIES
 
 MODULES = [
-    "reconcile", "catalog", "planning", "integrity", "translation", "metrics", "progress",
+    "reconcile", "catalog", "planning", "integrity", "translation", "metrics", "progress", "loading", "retrieval",
 ]
 
 

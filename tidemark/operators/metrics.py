@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.ordering import number_rows
+
 # Histogram bucket edges in seconds, prices per 1,000 tokens, and the guard against division by zero.
 BUCKETS = {
     "checksum": (1, 5, 10, 30, 60, 120, 300),
@@ -129,8 +131,23 @@ def windowed_quantiles(
 
 
 def exact_quantiles(events: DataFrame, labels: Sequence[str], qs: Sequence[float] = (0.5, 0.95, 0.99), value: str = "value") -> DataFrame:
-    """The true quantiles, for comparison; keeps counts of distinct values, not rows, per group."""
-    return events.groupBy(*labels).agg(*[F.percentile(value, F.lit(q)).alias(f"p{q * 100:g}") for q in qs])
+    """The true quantiles, for comparison with the histogram's.
+
+    Values are ranked across tasks (see ``number_rows``) and only the one or two rows around each
+    quantile are kept, so no task holds all values of a label set.
+    """
+    ranked = number_rows(events.filter(F.col(value).isNotNull()).select(*labels, value), labels, [value], "_rank")
+    sizes = ranked.groupBy(*labels).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(f"p{q * 100:g}").alias("name")) for q in qs]))
+    spots = sizes.select(*labels, "_n", wanted.alias("w")).select(
+        *labels, F.col("w.name").alias("name"), ((F.col("_n") - 1) * F.col("w.q") + 1).alias("_at")
+    )
+    near = spots.withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
+    weight = F.when(F.floor("_at") == F.ceil("_at"), 0.5).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
+    picked = near.join(ranked, [*labels, "_rank"]).groupBy(*labels, "name").agg(F.sum(F.col(value) * weight).alias("_v"))
+    return picked.groupBy(*labels).agg(*[
+        F.max(F.when(F.col("name") == f"p{q * 100:g}", F.col("_v"))).alias(f"p{q * 100:g}") for q in qs
+    ])
 
 
 def success_rate(events: DataFrame, length: str, labels: Sequence[str], ok: Column, slide: str | None = None) -> DataFrame:
