@@ -61,19 +61,21 @@ def _blocks(queries: DataFrame, columns: Sequence[str], limit: int) -> Iterator[
 def _score_batches(rows: list, k: int, probes: dict[int, list[int]] | None):
     """A function over Arrow batches of the corpus that keeps the k best entries per query and batch.
 
-    All state is in the closure, so it travels to the executors by value.
+    All state is in the closure, so it travels to the executors by value (Spark broadcasts it once it
+    is larger than a megabyte).
     """
+    import numpy as np
+
+    ids = np.array([r["id"] for r in rows])
+    vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    lengths = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(lengths > 0, lengths, 1)[:, None]
+    pairs = [(r["source_dialect"], r["target_dialect"]) for r in rows] if "source_dialect" in rows[0] else None
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids = np.array([r["id"] for r in rows])
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        lengths = np.linalg.norm(vectors, axis=1)
-        unit = vectors / np.where(lengths > 0, lengths, 1)[:, None]
-        pairs = [(r["source_dialect"], r["target_dialect"]) for r in rows] if "source_dialect" in rows[0] else None
-
         def best(at, q_index, scores):
             """Rows of the k best of each query, by rounded score and then id."""
             out = []

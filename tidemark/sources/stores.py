@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidemark.session import cut_lineage
 
 ROWS_PER_FILE = 1_000_000
+BUCKET = "bucket"
 
 
 def with_dependencies(catalog: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -15,18 +21,56 @@ def with_dependencies(catalog: DataFrame, dependencies: DataFrame) -> DataFrame:
     )
 
 
-def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str) -> None:
-    """Replace the catalogue rows of the jobs in ``catalog``; other jobs keep theirs.
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """A bucketed store as it is on disk, or nothing when it was never written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
-    Files are partitioned by job and a large job is cut by catalogue position into several files.
+
+def write_buckets(rows: DataFrame, path: str, cut: Column | None = None) -> None:
+    """Replace the buckets that occur in ``rows``; the others are not read or written.
+
+    ``rows`` may have been read from the same path, so they are checkpointed before anything is replaced.
     """
-    rows = with_dependencies(catalog, dependencies)
-    cut = F.floor(F.col("ord") / ROWS_PER_FILE)
-    rows.repartition("job_id", cut).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "job_id"
+    layout = [F.col(BUCKET)] if cut is None else [F.col(BUCKET), cut]
+    cut_lineage(rows).repartition(*layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        BUCKET
     ).parquet(path)
 
 
+def touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame | None:
+    """Stored rows of the buckets these keys fall into; only the bucket numbers reach the driver."""
+    stored = read_store(spark, path)
+    if stored is None:
+        return None
+    numbers = [r[0] for r in keys.select(BUCKET).distinct().collect()]
+    return stored.filter(F.col(BUCKET).isin(numbers))
+
+
+def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replace the catalogue rows of the jobs in ``catalog``; other jobs keep theirs.
+
+    Jobs share ``buckets`` partitions instead of one small folder each, and a large job is cut by
+    catalogue position into several files.
+    """
+    fresh = with_dependencies(catalog, dependencies).withColumn(BUCKET, bucket_of(["job_id"], buckets))
+    jobs = fresh.select("job_id", BUCKET).distinct()
+    stored = touched(catalog.sparkSession, path, jobs)
+    if stored is not None:
+        fresh = fresh.unionByName(stored.join(jobs.select("job_id"), "job_id", "left_anti"))
+    write_buckets(fresh, path, F.floor(F.col("ord") / ROWS_PER_FILE))
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def upsert_jobs(events: DataFrame) -> DataFrame:
     """Jobs from their status events: name and dialects stay as first written, status follows the latest.
 
@@ -66,5 +110,3 @@ def replace_knowledge_base(documents: DataFrame, path: str) -> int:
     return documents.sparkSession.read.parquet(path).count()
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
