@@ -24,7 +24,3 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     """One minus the cosine distance; NULL when a vector has no length."""
     size = norm(a) * norm(b)
     return F.when(size > 0, dot(a, b) / size)
-
-
-def normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))

@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.vectors import cosine_similarity, vector_literal
 from tidemark.session import cut_lineage, scratch_path
 
 # Size of a stored embedding, text when nothing was found, most bytes of query vectors sent to each task.
@@ -27,17 +26,17 @@ def for_pair(corpus: DataFrame, source: str | None, target: str | None) -> DataF
 
 
 def retrieve(
-    corpus: DataFrame, query: Sequence[float], k: int = 5, source: str | None = None, target: str | None = None,
-    id_col: str = "id", vector: str = "embedding",
+    corpus: DataFrame, query: Sequence[float], k: int = 5, source: str | None = None, target: str | None = None
 ) -> DataFrame:
-    """The k entries most similar to one query vector; ties go to the smaller id.
+    """The k entries most similar to one query vector, best first; ties go to the smaller id.
 
-    Only k rows per task survive the sort, so nothing but candidates is moved.
+    Only ids and vectors are scored and only k rows per task leave the scan. The k hits (a fixed number,
+    so they may be broadcast) then pick up the entries' other columns.
     """
-    scored = for_pair(corpus, source, target).withColumn(
-        "similarity", F.round(cosine_similarity(F.col(vector), vector_literal(query)), DIGITS)
-    )
-    return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), id_col).limit(k)
+    fitting = for_pair(corpus, source, target).filter(F.size("embedding") == len(query)).select("id", "embedding")
+    asked = [{"id": 0, "embedding": [float(v) for v in query]}]
+    hits = _top_k(fitting.mapInArrow(_score_batches(asked, k, None), _HIT), k).select("id", "similarity")
+    return corpus.join(F.broadcast(hits), "id").orderBy(F.desc("similarity"), "id")
 
 
 def _top_k(hits: DataFrame, k: int) -> DataFrame:
@@ -135,23 +134,23 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int, pro
     than fit one block take further passes, whose (few) hits are written to the shared folder.
     """
     columns = [c for c in ("id", "embedding", "source_dialect", "target_dialect") if c in queries.columns and c in corpus.columns]
-    spark, path, first = corpus.sparkSession, None, None
+    spark, path, found = corpus.sparkSession, None, None
     for rows in _blocks(queries, columns, block_bytes):
         probes = probe_of(rows) if probe_of else None
-        near = corpus
+        near = corpus.filter(F.size("embedding") == len(rows[0]["embedding"]))
         if probes is not None:
-            near = corpus.filter(F.col("list_id").isin([int(p) for p in probes]))
-        hits = _top_k(near.mapInArrow(_score_batches(rows, k, probes), _HIT), k).drop("rank")
-        if first is None:
-            first = hits
+            near = near.filter(F.col("list_id").isin([int(p) for p in probes]))
+        hits = _top_k(near.mapInArrow(_score_batches(rows, k, probes), _HIT), k)
+        if found is None:
+            found = hits
             continue
         if path is None:
             path = scratch_path(spark, "hits")
-            first.write.mode("append").parquet(path)
+            found.write.mode("append").parquet(path)
         hits.write.mode("append").parquet(path)
-    if first is None:
+    if found is None:
         return spark.createDataFrame([], _HIT + ", rank int")
-    return _top_k(first if path is None else spark.read.parquet(path), k)
+    return found if path is None else spark.read.parquet(path)
 
 
 def retrieve_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
@@ -171,14 +170,16 @@ def build_lists(corpus: DataFrame, lists: int, seed: int = 7, training_rows: int
     Only the training of the centres samples; every row of the corpus is assigned and searched.
     """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    from tidemark.functions.vectors import normalized
-
-    rows = corpus.select("id", "embedding").withColumn("features", array_to_vector(normalized(F.col("embedding"))))
+    raw = corpus.select("id", "embedding").withColumn("raw", array_to_vector("embedding"))
+    rows = Normalizer(inputCol="raw", outputCol="features").transform(raw).drop("raw")
     total = corpus.count()
     sample = rows.select("features") if total <= training_rows else rows.select("features").sample(training_rows / total, seed)
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
+    sample = sample.persist()
+    model = KMeans(k=lists, seed=seed, maxIter=10, initSteps=1).fit(sample)
+    sample.unpersist()
     assigned = model.transform(rows).select("id", "embedding", F.col("prediction").alias("list_id"))
     return assigned, [c.tolist() for c in model.clusterCenters()]
 
