@@ -7,10 +7,9 @@ from queries import estate  # noqa: F401  (fixtures)
 from queries.base import BASE_TABLES, FIXTURES, RELATIONAL, query
 from queries.reconcile import sql_print
 from tidemark.operators import catalog, fingerprint, reconcile, sample_objects
-from tidemark.operators.integrity import ForeignKey  # noqa: F401
 from tidemark.plans.waves import load_waves
 from tidemark.session import scratch_path
-from tidemark.sources import jdbc, load, stores
+from tidemark.sources import files, load, stores
 
 
 def _copy_all(t, names, waves, fail=()):
@@ -18,9 +17,9 @@ def _copy_all(t, names, waves, fail=()):
     target = scratch_path(t.spark, "load")
     report = load.bulk_load(
         t.spark, "job-1", waves,
-        read=lambda n: t.spark.read.parquet(f"{t.sf_dir}/{'missing_' if n in fail else ''}{n}.parquet"),
-        write=lambda df, n: jdbc.write_folder(df, f"{target}/{n}"),
-        read_back=lambda n: t.spark.read.parquet(f"{target}/{n}"),
+        read=lambda n: files.read_folder(t.spark, f"{t.sf_dir}/{'missing_' if n in fail else ''}{n}.parquet"),
+        write=lambda df, n: files.write_folder(df, f"{target}/{n}"),
+        count_target=lambda n: files.read_folder(t.spark, f"{target}/{n}").count(),
     )
     return target, report
 
@@ -28,7 +27,10 @@ def _copy_all(t, names, waves, fail=()):
 @query("read_table", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in BASE_TABLES))
 def read_table(t):
     return reconcile.union_all([
-        getattr(t, n).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n in BASE_TABLES
+        files.read_folder(t.spark, f"{t.sf_dir}/{n}.parquet").agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(n).alias("table_name"), "row_count"
+        )
+        for n in BASE_TABLES
     ])
 
 
@@ -40,8 +42,8 @@ def write_table(t):
     out = []
     for n in ("orders", "documents", "events"):
         # Written twice: the second load must replace the first, not add to it.
-        jdbc.write_folder(getattr(t, n), f"{target}/{n}")
-        jdbc.write_folder(getattr(t, n), f"{target}/{n}")
+        files.write_folder(getattr(t, n), f"{target}/{n}")
+        files.write_folder(getattr(t, n), f"{target}/{n}")
         back = t.spark.read.parquet(f"{target}/{n}")
         out.append(fingerprint.table_fingerprint(back).select(F.lit(n).alias("table_name"), "row_count", "fingerprint"))
     return reconcile.union_all(out)
@@ -195,7 +197,7 @@ def count_function(t):
 @query("lower_on_write", "SELECT c_custkey, lower(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def lower_on_write(t):
     path = scratch_path(t.spark, "trigger")
-    jdbc.write_folder(sample_objects.lower_on_write(t.customer, "c_name"), path)
+    files.write_folder(sample_objects.lower_on_write(t.customer, "c_name"), path)
     return t.spark.read.parquet(path)
 
 

@@ -151,6 +151,11 @@ def row_diff_repeated_keys(t):
     return reconcile.row_diff(t.supplier, t.tgt_supplier, ["s_suppkey"])
 
 
+@query("drill_down", sql_row_diff("orders", "{tgt_orders}", "o_orderkey", "orders"))
+def drill_down(t):
+    return reconcile.drill_down(t.orders, t.tgt_orders, "o_orderkey", 1000)
+
+
 def _sql_profile(table: str, source: str) -> str:
     parts = []
     for c in COLUMNS[table].split():

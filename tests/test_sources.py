@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
-from tidemark.sources import jdbc, load, stores
+from tidemark.sources import files, jdbc, load, stores
 from tidemark.sources.jdbc import Connection
 
 PG = Connection("postgresql", "db", "shop", "u", "secret")
@@ -50,7 +50,8 @@ def test_bulk_load_counts_and_isolates_errors(spark):
         return tables[name]
 
     report = load.bulk_load(
-        spark, "j", [["a", "bad"], ["b", "empty"]], read, lambda df, n: jdbc.write_folder(df, f"{out}/{n}"), lambda n: spark.read.parquet(f"{out}/{n}"))
+        spark, "j", [["a", "bad"], ["b", "empty"]], read, lambda df, n: files.write_folder(df, f"{out}/{n}"),
+        lambda n: files.read_folder(spark, f"{out}/{n}").count())
     rows = {r["table_name"]: r for r in report.collect()}
     assert (rows["a"]["source_row_count"], rows["a"]["target_row_count"]) == (10, 10)
     assert rows["bad"]["migration_status"] == "ERROR" and "no such table" in rows["bad"]["error"]
@@ -103,3 +104,13 @@ def test_knowledge_base_is_replaced(spark):
     path = scratch_path(spark, "kb")
     docs = spark.createDataFrame([(1, [0.5]), (2, [0.25])], "id int, embedding array<float>")
     assert stores.replace_knowledge_base(docs, path) == 2 == stores.replace_knowledge_base(docs, path)
+
+
+def test_folders_in_several_formats(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    for fmt in ("parquet", "orc", "csv", "json"):
+        path = scratch_path(spark, fmt)
+        files.write_folder(df, path, fmt=fmt)
+        files.write_folder(df, path, fmt=fmt)
+        back = files.read_folder(spark, path, fmt, df.schema)
+        assert sorted(back.collect()) == sorted(df.collect())

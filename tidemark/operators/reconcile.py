@@ -233,6 +233,19 @@ def row_diff(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.filter(differs).select(*keys, change.alias("difference"), "rows_source", "rows_target")
 
 
+def drill_down(src: DataFrame, tgt: DataFrame, key: str, width: int) -> DataFrame:
+    """Keyed differences, looked for only in the key ranges whose fingerprints differ.
+
+    The first pass moves one row per range; only rows of differing ranges are compared by key.
+    """
+    left, right = align_columns(src, tgt)
+    key = key.lower()
+    bad = range_fingerprints(src, tgt, key, width).filter(~F.col("range_match")).select(F.col("range_start").alias("_start"))
+    start = (F.floor(F.col(key) / F.lit(width)) * width).cast("bigint")
+    inside = lambda df: df.withColumn("_start", start).join(bad, "_start", "left_semi").drop("_start")
+    return row_diff(inside(left), inside(right), [key])
+
+
 def _profile(df: DataFrame, side: str) -> DataFrame:
     """Per column: rows, NULLs, least and greatest value, in one pass over the table."""
     out = []

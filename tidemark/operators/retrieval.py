@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.session import cut_lineage, scratch_path
+from tidemark.session import scratch_path
 
 # Size of a stored embedding, text when nothing was found, most bytes of query vectors sent to each task.
 EMBEDDING_SIZE = 1024
@@ -209,10 +209,20 @@ def retrieve_lists(
     return _search(assigned, queries, k, block_bytes, probe_of)
 
 
+def write_lists(assigned: DataFrame, path: str) -> None:
+    """Keep the lists as files, one partition per list, so a search only opens the lists it probes.
+
+    Rows are cut by ranges of list and id; a list that holds much of the corpus fills many files.
+    """
+    assigned.repartitionByRange("list_id", "id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
 def retrieve_ann(corpus: DataFrame, queries: DataFrame, k: int = 5, lists: int = 100, probe: int = 10) -> DataFrame:
-    """Build lists and search them; keep the assignment of ``build_lists`` to search more than once."""
+    """Build lists, keep them, and search them; use the three steps by themselves to search more than once."""
     assigned, centres = build_lists(corpus, lists)
-    return retrieve_lists(cut_lineage(assigned), centres, queries, k, probe)
+    path = scratch_path(corpus.sparkSession, "lists")
+    write_lists(assigned, path)
+    return retrieve_lists(corpus.sparkSession.read.parquet(path), centres, queries, k, probe)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def waves(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], name: str) -
     )
     links = cut_lineage(links)
     open_parents = links.groupBy(*scope, F.col("child").alias(name)).agg(F.count(F.lit(1)).alias("_open"))
-    settled = [known.join(open_parents, [*scope, name], "left_anti").withColumn("wave", F.lit(0))]
+    settled = [cut_lineage(known.join(open_parents, [*scope, name], "left_anti").withColumn("wave", F.lit(0)))]
     frontier, todo, wave = settled[0], open_parents, 0
     while True:
         wave += 1

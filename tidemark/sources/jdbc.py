@@ -5,7 +5,7 @@ Drivers and databases are not part of this package; put the driver's jar on the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -114,6 +114,12 @@ def key_bounds(spark: SparkSession, conn: Connection, table: str, key: str) -> t
     return row[0], row[1]
 
 
+def row_count(spark: SparkSession, conn: Connection, table: str) -> int:
+    """``COUNT(*)`` answered by the database; no rows travel."""
+    text = f"SELECT count(*) AS n FROM {table_path(conn, table)}"
+    return int(spark.read.format("jdbc").options(**_login(conn), query=text).load().first()[0])
+
+
 def read_table(
     spark: SparkSession, conn: Connection, table: str, key: str | None = None, hash_key: str | None = None, partitions: int = 64
 ) -> DataFrame:
@@ -159,8 +165,3 @@ def write_options(
 def write_table(df: DataFrame, conn: Connection, table: str, lengths: Mapping[str, int] | None = None) -> None:
     """Create the table if it is missing, empty it, insert every row."""
     df.write.format("jdbc").options(**write_options(conn, table, df.schema, lengths)).mode("overwrite").save()
-
-
-def write_folder(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """The same contract on files: what was there is replaced."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
