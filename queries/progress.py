@@ -19,14 +19,23 @@ SELECT user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN
 _GROUP = "CASE s.phase " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in progress.DISPLAY_GROUPS.items()) + " END"
 
 
-@query("trace_timeline", f"""
+SQL_TIMELINE = f"""
 WITH p AS (SELECT job_id, phase, row_number() OVER (PARTITION BY job_id ORDER BY min(ts), phase) AS phase_no FROM {{steps}} s GROUP BY job_id, phase)
 SELECT s.*, p.phase_no, row_number() OVER (PARTITION BY s.job_id, s.phase ORDER BY ts, step_id) AS step_no, {_GROUP} AS display_group
-FROM {{steps}} s JOIN p ON p.job_id = s.job_id AND p.phase = s.phase""")
+FROM {{steps}} s JOIN p ON p.job_id = s.job_id AND p.phase = s.phase"""
+
+
+@query("trace_timeline", SQL_TIMELINE)
 def trace_timeline(t):
     return progress.trace_timeline(t.steps)
 
 
+@query("trace_timeline_sliced", SQL_TIMELINE)
+def trace_timeline_sliced(t):
+    # A limit this low sends nearly every job down the path meant for busy ones.
+    return progress.trace_timeline(t.steps, group_rows=6)
+
+
 SQL_CHANGES = """
 SELECT job_id, ts, seq, status, phase FROM (
 SELECT *, lag((status, phase)) OVER w AS seen, (status, phase) AS body, min(CASE WHEN status IN ('DONE', 'ABORTED', 'ROLLED_BACK') THEN (ts, seq) END)
@@ -39,6 +48,11 @@ def status_changes(t):
     return progress.status_changes(t.snapshots, ["status", "phase"]).drop("body")
 
 
+@query("status_changes_sliced", SQL_CHANGES)
+def status_changes_sliced(t):
+    return progress.status_changes(t.snapshots, ["status", "phase"], group_rows=6).drop("body")
+
+
 @query("approval_audit", """SELECT job_id, ts, seq, gate, coalesce(nullif(decision, ''), 'reject') AS decision, coalesce(reviewer, 'unknown') AS reviewer FROM {decisions} d""")
 def approval_audit(t):
     return progress.approval_audit(t.decisions)

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import number_rows, slice_bounds, slice_number, text_parts
+from tidemark.operators.ordering import number_rows, split_hot, text_parts, time_slices
 from tidemark.operators.progress import TERMINAL, latest_approvals, status_changes, trace_timeline
 from tidemark.session import scratch_path
 from tidemark.streaming import changes, progress as sp
@@ -42,8 +42,8 @@ def expected(rows):
 def test_status_changes_equal_brute_force(spark):
     rows = snapshots()
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    for slices in (2, 5, 64):
-        got = sorted((r["job_id"], r["seq"]) for r in status_changes(df, ["status", "note"], slices).collect())
+    for group_rows in (10_000, 700, 20):
+        got = sorted((r["job_id"], r["seq"]) for r in status_changes(df, ["status", "note"], group_rows).collect())
         assert got == expected(rows)
 
 
@@ -63,7 +63,8 @@ def test_feed_over_batches_and_replays(spark):
 def test_timeline(spark):
     rows = [("hot" if i % 3 else f"j{i % 7}", random.Random(i).choice(["Plan", "Validate", "Odd"]), START + dt.timedelta(seconds=(i * 37) % 1000), i) for i in range(900)]
     df = spark.createDataFrame(rows, "job_id string, phase string, ts timestamp, step_id int").repartition(5)
-    got = {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df, 16).collect()}
+    got = {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df, 25).collect()}
+    assert got == {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df).collect()}
     seen, firsts = {}, {}
     for job, phase, ts, i in sorted(rows, key=lambda r: (r[2], r[3])):
         seen[job, phase] = seen.get((job, phase), 0) + 1
@@ -77,7 +78,8 @@ def test_timeline(spark):
 
 def test_number_rows_with_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), F.hash("id").alias("v"))
-    rows = number_rows(df.repartition(7), ["k"], ["v"], "n").collect()
+    rows = number_rows(df.repartition(7), ["k"], ["v"], "n", limit=1000).collect()
+    assert sorted(rows) == sorted(number_rows(df, ["k"], ["v"], "n").collect())
     by_key = {}
     for r in rows:
         by_key.setdefault(r["k"], []).append((r["v"], r["n"]))
@@ -86,14 +88,23 @@ def test_number_rows_with_a_hot_key(spark):
         assert [n for _, n in sorted(values)] == list(range(1, len(values) + 1))
 
 
-def test_slices_agree_with_bisect(spark):
-    from bisect import bisect_right
+def test_hot_keys_are_split_off_and_nulls_too(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, None).when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
+    cold, hot = split_hot(df, ["k"], 100)
+    assert (cold.count(), hot.count()) == (300, 700)
+    assert split_hot(df, ["k"], 500)[1] is None
+    rows = number_rows(df, ["k"], ["id"], "n", limit=100).filter("k is null").collect()
+    assert sorted(r["n"] for r in rows) == list(range(1, 401))
 
-    df = spark.range(2000).select((F.timestamp_seconds(F.col("id") * 7)).alias("ts"))
-    bounds = slice_bounds(df, "ts", 23)
-    got = df.select(F.unix_micros("ts").alias("m")).select("m", slice_number(F.col("m"), bounds).alias("s")).collect()
-    assert all(r["s"] == bisect_right(bounds, r["m"]) for r in got)
-    assert spark.range(1).select(slice_number(F.lit(5), [])).first()[0] == 0
+
+def test_slices_narrow_until_a_burst_fits(spark):
+    burst = spark.range(3000).select(F.lit("j").alias("j"), F.timestamp_micros(F.col("id") * 3).alias("ts"))
+    calm = spark.range(50).select(F.lit("j").alias("j"), F.timestamp_seconds(F.col("id") * 86400 + 60).alias("ts"))
+    cut = time_slices(burst.unionByName(calm), ["j"], "ts", 100)
+    sizes = [r["count"] for r in cut.groupBy("j", "_slice").count().collect()]
+    assert sum(sizes) == 3050 and max(sizes) <= 100
+    tied = spark.range(500).select(F.lit("j").alias("j"), F.timestamp_seconds(F.lit(5)).alias("ts"))
+    assert time_slices(tied, ["j"], "ts", 100).select("_slice").distinct().count() == 1
 
 
 def test_text_parts(spark):

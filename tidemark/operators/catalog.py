@@ -152,7 +152,8 @@ def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> Dat
         "definition", F.coalesce("definition", "_ddl")
     ).drop("_ddl")
     placed = whole.withColumn("_rank", ranked(F.col("object_type"), LIST_ORDER))
-    return number_rows(placed, ["job_id"], ["_rank", "schema_name", "object_name"], "ord").drop("_rank")
+    sizes = listed.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    return number_rows(placed, ["job_id"], ["_rank", "schema_name", "object_name"], "ord", sizes=sizes).drop("_rank")
 
 
 def dependency_edges(fks: DataFrame) -> DataFrame:

@@ -1,61 +1,89 @@
-"""Numbering and look-back inside groups that may be too large for one task."""
+"""Numbering and look-back inside groups, some of which may be too large for one task.
+
+Groups up to ``HOT_ROWS`` rows are windowed as they are. Larger ones, of which there can be no more
+than all rows divided by that limit, are cut into pieces that are worked off by themselves and then joined up.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import cut_lineage
 
+HOT_ROWS = 5_000_000
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of groups larger than ``limit`` (or nothing when there are none).
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """``row_number`` from 1 per key, without bringing a whole key into one task.
+    Only the keys of the large groups reach the driver: at most all rows divided by the limit. ``sizes``
+    (keys and ``_n``) saves counting where a cheaper input knows the counts.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    hot = counted.filter(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    rows = hot.collect()
+    if not rows:
+        return df, None
+    small = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, limit: int = HOT_ROWS, sizes: DataFrame | None = None
+) -> DataFrame:
+    """``row_number`` from 1 per key, without bringing a large key into one task.
 
-    Rows are range-partitioned by key and order, so a hot key spreads over many ranges. Each range is
-    numbered by itself, then shifted by the rows of the same key in earlier ranges. The ranged rows
-    are checkpointed because the ranges must not be drawn anew when a stage is repeated.
+    Rows of large keys are range-partitioned by key and order. Each range is numbered by itself, then
+    shifted by the rows of the same key in earlier ranges. The ranged rows are checkpointed because the
+    ranges must not be drawn anew when a stage is repeated.
     """
-    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    cold, hot = split_hot(df, keys, limit, sizes)
+    plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    if hot is None:
+        return plain
+    ranged = cut_lineage(hot.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         ranged.groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_kr"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
+        )
     )
-    return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(shift, [*keys, "_range"])
-        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
-        .drop("_range", "_inside", "_shift")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range") == F.col("_kr")]
+    numbered = ranged.withColumn("_inside", F.row_number().over(inside)).join(shift, same).withColumn(
+        name, (F.col("_inside") + F.col("_shift")).cast("bigint")
     )
-
-
-def slice_bounds(df: DataFrame, column: str, slices: int | None = None) -> list[int]:
-    """Quantiles of a time column in microseconds: one aggregation, ``slices - 1`` numbers to the driver."""
-    slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(micros(F.col(column)), cuts, 10 * slices).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    return plain.unionByName(numbered.select(*plain.columns))
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def slice_number(value: Column, bounds: Sequence[int]) -> Column:
-    """How many bounds are at or below the value; two short scans instead of one long one."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    heads = F.array(*[F.lit(b).cast("bigint") for b in bounds[::width]])
-    every = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    block = F.size(F.filter(heads, lambda b: b <= value))
-    start = F.greatest(block - 1, F.lit(0)) * width
-    return F.when(block == 0, 0).otherwise(
-        start + F.size(F.filter(F.slice(every, start + 1, F.lit(width)), lambda b: b <= value))
-    )
+def time_slices(hot: DataFrame, keys: Sequence[str], column: str, limit: int) -> DataFrame:
+    """Number slices of time (``_slice``) so that no group keeps more than ``limit`` rows in one slice.
+
+    Slices have equal width, first chosen for an even flow and narrowed while a burst still overfills
+    one; rows that share the very same time stay together.
+    """
+    at = micros(F.col(column))
+    facts = hot.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, (facts["hi"] - facts["lo"] + 1) * limit // (2 * facts["n"]))
+    while True:
+        cut = hot.withColumn("_slice", F.floor((at - F.lit(facts["lo"])) / F.lit(width)).cast("bigint"))
+        fullest = cut.groupBy(*keys, "_slice").count().agg(F.max("count")).first()[0]
+        if fullest <= limit or width == 1:
+            return cut
+        width = max(1, width // 8)
 
 
 def text_parts(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordering import micros, slice_bounds, slice_number
+from tidemark.operators.ordering import HOT_ROWS, split_hot, time_slices
 
 # Display group of each phase, statuses that end a job, and what an approval without an entry means.
 DISPLAY_GROUPS = {
@@ -27,71 +27,73 @@ ROUTES = {
 }
 
 
-def _sliced(df: DataFrame, slices: int | None) -> DataFrame:
-    """Cut the time line into slices with about equal numbers of rows, so one busy job spreads over tasks."""
-    return df.withColumn("_slice", slice_number(micros(F.col("ts")), slice_bounds(df, "ts", slices)))
-
-
-def trace_timeline(steps: DataFrame, slices: int | None = None) -> DataFrame:
+def trace_timeline(steps: DataFrame, group_rows: int = HOT_ROWS) -> DataFrame:
     """Steps numbered within job and phase, phases numbered in the order they first appear.
 
-    Input: job_id, phase, ts, step_id. Numbers run inside slices of time first and are then shifted by
-    the steps of earlier slices, so no task holds all steps of a job.
+    Input: job_id, phase, ts, step_id. Phases with more than ``group_rows`` steps in one job are numbered
+    inside slices of time and shifted by the steps of earlier slices, so no task holds all of them.
     """
     key = ["job_id", "phase"]
-    cut = _sliced(steps, slices)
-    per_slice = cut.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
-    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per_slice.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    phases = per_slice.groupBy(*key).agg(F.min("_first").alias("_first")).withColumn(
+    totals = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
+    phases = totals.withColumn(
         "phase_no", F.row_number().over(Window.partitionBy("job_id").orderBy("_first", "phase"))
-    )
-    place = shift.select(*key, "_slice", "_shift").join(phases.select(*key, "phase_no"), key)
-    inside = Window.partitionBy(*key, "_slice").orderBy("ts", "step_id")
+    ).select(*key, "phase_no")
+    cold, hot = split_hot(steps, key, group_rows, totals)
+    order = ["ts", "step_id"]
+    numbered = cold.withColumn("step_no", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint"))
+    if hot is not None:
+        cut = time_slices(hot, key, "ts", group_rows)
+        earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        shift = cut.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+            *key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
+        )
+        inside = F.row_number().over(Window.partitionBy(*key, "_slice").orderBy(*order))
+        sliced = cut.withColumn("_in", inside).join(shift, [*key, "_slice"]).withColumn(
+            "step_no", (F.col("_in") + F.col("_shift")).cast("bigint")
+        )
+        numbered = numbered.unionByName(sliced.select(*numbered.columns))
     group = F.create_map(*[F.lit(x) for kv in DISPLAY_GROUPS.items() for x in kv])[F.col("phase")]
-    return (
-        cut.withColumn("_in", F.row_number().over(inside))
-        .join(place, [*key, "_slice"])
-        .withColumn("step_no", (F.col("_in") + F.col("_shift")).cast("bigint"))
-        .withColumn("display_group", group)
-        .drop("_slice", "_in", "_shift")
+    return numbered.join(phases, key).withColumn("display_group", group)
+
+
+def _seen_and_stop(cold: DataFrame, hot: DataFrame | None, group_rows: int) -> DataFrame:
+    """Add to each snapshot the payload before it (``_seen``) and the first terminal snapshot of its job (``_stop``)."""
+    order = F.struct("ts", "seq")
+    end = F.when(F.col("status").isin(*TERMINAL), order)
+    job = Window.partitionBy("job_id")
+    whole = cold.withColumn("_seen", F.lag("_body").over(job.orderBy("ts", "seq"))).withColumn("_stop", F.min(end).over(job))
+    if hot is None:
+        return whole
+    cut = time_slices(hot, ["job_id"], "ts", group_rows)
+    per_slice = cut.groupBy("job_id", "_slice").agg(F.max_by("_body", order).alias("_last"), F.min(end).alias("_end"))
+    edges = per_slice.select(
+        "job_id", "_slice", F.lag("_last").over(job.orderBy("_slice")).alias("_before"), F.min("_end").over(job).alias("_stop")
+    )
+    inside = Window.partitionBy("job_id", "_slice").orderBy("ts", "seq")
+    sliced = cut.withColumn("_in", F.lag("_body").over(inside)).join(edges, ["job_id", "_slice"]).withColumn(
+        "_seen", F.coalesce("_in", "_before")
     )
+    return whole.unionByName(sliced.select(*whole.columns))
 
 
 def status_changes(
-    snapshots: DataFrame, payload: Sequence[str], slices: int | None = None, previous: DataFrame | None = None
+    snapshots: DataFrame, payload: Sequence[str], group_rows: int = HOT_ROWS, previous: DataFrame | None = None
 ) -> DataFrame:
     """The snapshots a watcher is sent: those that differ from the one before, up to the first terminal status.
 
     Input: job_id, ts, seq, status and the ``payload`` columns compared. ``previous`` (job_id,
-    last_payload, ended) continues from an earlier run. The snapshot before the first one of a slice is
-    found from one row per job and slice, so a job of any length never sits in one task.
+    last_payload, ended) continues from an earlier run. A job with more than ``group_rows`` snapshots is cut
+    into slices of time, and one row per slice carries the last payload over to the next.
     """
     order = F.struct("ts", "seq")
-    cut = _sliced(snapshots, slices).withColumn("_body", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
-    ends = F.col("status").isin(*TERMINAL)
-    per_slice = cut.groupBy("job_id", "_slice").agg(
-        F.max_by("_body", order).alias("_last"), F.min(F.when(ends, order)).alias("_end")
-    )
-    by_slice = Window.partitionBy("job_id").orderBy("_slice")
-    edges = per_slice.select(
-        "job_id", "_slice",
-        F.lag("_last").over(by_slice).alias("_before"),
-        F.min("_end").over(Window.partitionBy("job_id")).alias("_stop"),
-    )
+    told = snapshots.withColumn("_body", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
+    placed = _seen_and_stop(*split_hot(told, ["job_id"], group_rows), group_rows)
     if previous is not None:
-        edges = edges.join(previous.select("job_id", "last_payload", "ended"), "job_id", "left").withColumn(
-            "_before", F.coalesce("_before", "last_payload")
-        )
-    else:
-        edges = edges.withColumn("ended", F.lit(False))
-    inside = Window.partitionBy("job_id", "_slice").orderBy("ts", "seq")
-    seen = F.coalesce(F.lag("_body").over(inside), F.col("_before"))
+        placed = placed.join(previous.select("job_id", "last_payload", "ended"), "job_id", "left").filter(
+            ~F.coalesce(F.col("ended"), F.lit(False))
+        ).withColumn("_seen", F.coalesce("_seen", "last_payload"))
     return (
-        cut.join(edges, ["job_id", "_slice"])
-        .withColumn("_seen", seen)
-        .filter(~F.coalesce(F.col("ended"), F.lit(False)))
-        .filter(F.col("_stop").isNull() | (order <= F.col("_stop")))
+        placed.filter(F.col("_stop").isNull() | (order <= F.col("_stop")))
         .filter(F.col("_seen").isNull() | (F.col("_seen") != F.col("_body")))
         .select("job_id", "ts", "seq", "status", *[c for c in payload if c != "status"], F.col("_body").alias("body"))
     )
