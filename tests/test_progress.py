@@ -76,6 +76,17 @@ def test_timeline(spark):
         assert got[i][2] == {"Plan": "plan", "Validate": "validation", "Odd": None}[phase]
 
 
+def test_rows_without_job_phase_or_time_are_kept(spark):
+    rows = [(None if i % 2 else "j", None if i % 3 == 0 else "Plan", None if i % 5 == 0 else START + dt.timedelta(seconds=i), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "job_id string, phase string, ts timestamp, step_id int")
+    whole, cut = trace_timeline(df).collect(), trace_timeline(df, 10).collect()
+    assert len(whole) == 200 and sorted(map(str, whole)) == sorted(map(str, cut))
+    snaps = df.selectExpr("job_id", "ts", "step_id as seq", "case when step_id % 2 = 0 then 'RUNNING' else 'PAUSED' end as status")
+    snaps = snaps.withColumn("status", F.when(F.col("seq") % 7 == 0, "DRAFT").otherwise(F.col("status")))
+    one, many = status_changes(snaps, ["status"]).collect(), status_changes(snaps, ["status"], 10).collect()
+    assert one and sorted(map(str, one)) == sorted(map(str, many))
+
+
 def test_number_rows_with_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), F.hash("id").alias("v"))
     rows = number_rows(df.repartition(7), ["k"], ["v"], "n", limit=1000).collect()

@@ -119,29 +119,33 @@ def fk_ddl(fks: DataFrame) -> DataFrame:
     return fks.withColumn("definition", text)
 
 
-def table_ddl(columns: DataFrame) -> DataFrame:
-    """``CREATE TABLE`` text per table, columns in their order."""
+def _table_ddl(columns: Column) -> Column:
+    """``CREATE TABLE`` text from the gathered columns of a table."""
     plain = lambda c: F.when(c.rlike("^[a-z_][a-z0-9_$]*$"), c).otherwise(quote_ident(F.lit("postgresql"), c))
-    line = F.concat(F.col("column_name"), F.lit(" "), F.col("native_type"), F.when(F.col("nullable"), "").otherwise(" NOT NULL"))
-    body = F.array_join(ordered_list(F.col("ordinal"), line), ", ")
-    head = F.concat(F.lit("CREATE TABLE "), plain(F.col("schema_name")), F.lit("."), plain(F.col("table_name")))
-    return columns.groupBy("job_id", "dialect", "schema_name", "table_name").agg(body.alias("_body")).select(
-        "job_id", "dialect", "schema_name", "table_name",
-        F.concat(head, F.lit(" ("), F.col("_body"), F.lit(");")).alias("definition"),
+    line = lambda c: F.concat(c["column_name"], F.lit(" "), c["native_type"], F.when(c["nullable"], "").otherwise(" NOT NULL"))
+    return F.concat(
+        F.lit("CREATE TABLE "), plain(F.col("schema_name")), F.lit("."), plain(F.col("table_name")),
+        F.lit(" ("), F.array_join(F.transform(columns, line), ", "), F.lit(");"),
     )
 
 
 def table_columns(columns: DataFrame) -> DataFrame:
     """Columns gathered per table as an ordered array of records."""
     record = F.struct("column_name", "native_type", "nullable", "default_value", "is_primary_key")
-    return columns.groupBy(*KEY).agg(ordered_list(F.col("ordinal"), record).alias("columns"))
+    return columns.groupBy("dialect", *KEY).agg(ordered_list(F.col("ordinal"), record).alias("columns"))
+
+
+def table_ddl(columns: DataFrame) -> DataFrame:
+    """``CREATE TABLE`` text per table, columns in their order."""
+    return table_columns(columns).select("job_id", "dialect", "schema_name", "table_name", _table_ddl(F.col("columns")).alias("definition"))
 
 
 def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
     """One row per object with its position in the job; tables carry columns and, lacking a text, a synthesised one."""
-    per_table = table_columns(columns).join(
-        table_ddl(columns).select(*KEY, F.col("definition").alias("_ddl")), list(KEY)
-    ).withColumnRenamed("table_name", "object_name").withColumn("object_type", F.lit("table"))
+    per_table = table_columns(columns).select(
+        "job_id", "schema_name", F.col("table_name").alias("object_name"), F.lit("table").alias("object_type"),
+        "columns", _table_ddl(F.col("columns")).alias("_ddl"),
+    )
     listed = objects.unionByName(
         fk_ddl(fks).select(
             "job_id", "dialect", F.lit("foreign_key").alias("object_type"), "schema_name",
@@ -152,7 +156,8 @@ def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> Dat
         "definition", F.coalesce("definition", "_ddl")
     ).drop("_ddl")
     placed = whole.withColumn("_rank", ranked(F.col("object_type"), LIST_ORDER))
-    sizes = listed.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Which jobs are too large for one task is judged by their objects; foreign keys would cost their joins twice.
+    sizes = objects.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
     return number_rows(placed, ["job_id"], ["_rank", "schema_name", "object_name"], "ord", sizes=sizes).drop("_rank")
 
 

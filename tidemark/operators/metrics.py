@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.ordering import number_rows
+from tidemark.operators.ordering import join_groups, number_rows
 
 # Histogram bucket edges in seconds, prices per 1,000 tokens, and the guard against division by zero.
 BUCKETS = {
@@ -144,7 +144,7 @@ def exact_quantiles(events: DataFrame, labels: Sequence[str], qs: Sequence[float
     )
     near = spots.withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
     weight = F.when(F.floor("_at") == F.ceil("_at"), 0.5).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
-    picked = near.join(ranked, [*labels, "_rank"]).groupBy(*labels, "name").agg(F.sum(F.col(value) * weight).alias("_v"))
+    picked = join_groups(near, ranked, [*labels, "_rank"]).groupBy(*labels, "name").agg(F.sum(F.col(value) * weight).alias("_v"))
     return picked.groupBy(*labels).agg(*[
         F.max(F.when(F.col("name") == f"p{q * 100:g}", F.col("_v"))).alias(f"p{q * 100:g}") for q in qs
     ])

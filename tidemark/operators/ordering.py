@@ -16,6 +16,13 @@ from tidemark.session import cut_lineage
 HOT_ROWS = 5_000_000
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with facts about their group; rows whose key is NULL belong to a group as well."""
+    renamed = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_g_{k}" for k in keys])
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -25,13 +32,12 @@ def split_hot(
     (keys and ``_n``) saves counting where a cheaper input knows the counts.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
-    hot = counted.filter(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    hot = counted.filter(F.col("_n") > limit).select(*keys)
     rows = hot.collect()
     if not rows:
         return df, None
     small = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+    return join_groups(df, small, keys, "left_anti"), join_groups(df, small, keys, "left_semi")
 
 
 def number_rows(
@@ -50,18 +56,11 @@ def number_rows(
     ranged = cut_lineage(hot.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_kr"),
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
-        )
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range") == F.col("_kr")]
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside)).join(shift, same).withColumn(
-        name, (F.col("_inside") + F.col("_shift")).cast("bigint")
+    shift = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
     )
+    placed = join_groups(ranged.withColumn("_inside", F.row_number().over(inside)), shift, [*keys, "_range"])
+    numbered = placed.withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
     return plain.unionByName(numbered.select(*plain.columns))
 
 
@@ -73,13 +72,15 @@ def time_slices(hot: DataFrame, keys: Sequence[str], column: str, limit: int) ->
     """Number slices of time (``_slice``) so that no group keeps more than ``limit`` rows in one slice.
 
     Slices have equal width, first chosen for an even flow and narrowed while a burst still overfills
-    one; rows that share the very same time stay together.
+    one; rows that share the very same time stay together, and rows without a time come first.
     """
     at = micros(F.col(column))
     facts = hot.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    width = max(1, (facts["hi"] - facts["lo"] + 1) * limit // (2 * facts["n"]))
+    low, high = facts["lo"] or 0, facts["hi"] or 0
+    width = max(1, (high - low + 1) * limit // (2 * facts["n"]))
     while True:
-        cut = hot.withColumn("_slice", F.floor((at - F.lit(facts["lo"])) / F.lit(width)).cast("bigint"))
+        number = F.floor((at - F.lit(low)) / F.lit(width)).cast("bigint")
+        cut = hot.withColumn("_slice", F.coalesce(number, F.lit(-1)))
         fullest = cut.groupBy(*keys, "_slice").count().agg(F.max("count")).first()[0]
         if fullest <= limit or width == 1:
             return cut

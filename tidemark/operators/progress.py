@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordering import HOT_ROWS, split_hot, time_slices
+from tidemark.operators.ordering import HOT_ROWS, join_groups, split_hot, time_slices
 
-# Display group of each phase, statuses that end a job, and what an approval without an entry means.
+# Display group of each phase, the phase of steps that name none, statuses that end a job, and what an approval without an entry means.
 DISPLAY_GROUPS = {
     "Discover": "discovery", "Analyse": "discovery",
     "Plan": "plan", "HumanReviewPlan": "plan",
@@ -18,6 +18,7 @@ DISPLAY_GROUPS = {
     "Test": "test_report", "HumanReviewCutover": "test_report",
     "Cutover": "deployment", "Verify": "deployment",
 }
+NO_PHASE = "Unknown"
 TERMINAL = ("DONE", "ABORTED", "ROLLED_BACK")
 DEFAULT_DECISION, DEFAULT_REVIEWER = "reject", "unknown"
 ROUTES = {
@@ -34,6 +35,7 @@ def trace_timeline(steps: DataFrame, group_rows: int = HOT_ROWS) -> DataFrame:
     inside slices of time and shifted by the steps of earlier slices, so no task holds all of them.
     """
     key = ["job_id", "phase"]
+    steps = steps.withColumn("phase", F.coalesce("phase", F.lit(NO_PHASE)))
     totals = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
     phases = totals.withColumn(
         "phase_no", F.row_number().over(Window.partitionBy("job_id").orderBy("_first", "phase"))
@@ -48,12 +50,12 @@ def trace_timeline(steps: DataFrame, group_rows: int = HOT_ROWS) -> DataFrame:
             *key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
         )
         inside = F.row_number().over(Window.partitionBy(*key, "_slice").orderBy(*order))
-        sliced = cut.withColumn("_in", inside).join(shift, [*key, "_slice"]).withColumn(
+        sliced = join_groups(cut.withColumn("_in", inside), shift, [*key, "_slice"]).withColumn(
             "step_no", (F.col("_in") + F.col("_shift")).cast("bigint")
         )
         numbered = numbered.unionByName(sliced.select(*numbered.columns))
     group = F.create_map(*[F.lit(x) for kv in DISPLAY_GROUPS.items() for x in kv])[F.col("phase")]
-    return numbered.join(phases, key).withColumn("display_group", group)
+    return join_groups(numbered, phases, key).withColumn("display_group", group)
 
 
 def _seen_and_stop(cold: DataFrame, hot: DataFrame | None, group_rows: int) -> DataFrame:
@@ -70,7 +72,7 @@ def _seen_and_stop(cold: DataFrame, hot: DataFrame | None, group_rows: int) -> D
         "job_id", "_slice", F.lag("_last").over(job.orderBy("_slice")).alias("_before"), F.min("_end").over(job).alias("_stop")
     )
     inside = Window.partitionBy("job_id", "_slice").orderBy("ts", "seq")
-    sliced = cut.withColumn("_in", F.lag("_body").over(inside)).join(edges, ["job_id", "_slice"]).withColumn(
+    sliced = join_groups(cut.withColumn("_in", F.lag("_body").over(inside)), edges, ["job_id", "_slice"]).withColumn(
         "_seen", F.coalesce("_in", "_before")
     )
     return whole.unionByName(sliced.select(*whole.columns))
@@ -89,7 +91,7 @@ def status_changes(
     told = snapshots.withColumn("_body", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
     placed = _seen_and_stop(*split_hot(told, ["job_id"], group_rows), group_rows)
     if previous is not None:
-        placed = placed.join(previous.select("job_id", "last_payload", "ended"), "job_id", "left").filter(
+        placed = join_groups(placed, previous.select("job_id", "last_payload", "ended"), ["job_id"], "left").filter(
             ~F.coalesce(F.col("ended"), F.lit(False))
         ).withColumn("_seen", F.coalesce("_seen", "last_payload"))
     return (
