@@ -212,9 +212,9 @@ def retrieve_lists(
 def write_lists(assigned: DataFrame, path: str) -> None:
     """Keep the lists as files, one partition per list, so a search only opens the lists it probes.
 
-    Rows are cut by ranges of list and id; a list that holds much of the corpus fills many files.
+    Rows are rebalanced by list; AQE spreads a list that holds much of the corpus over many tasks and files.
     """
-    assigned.repartitionByRange("list_id", "id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+    assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
 
 
 def retrieve_ann(corpus: DataFrame, queries: DataFrame, k: int = 5, lists: int = 100, probe: int = 10) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import cut_lineage
 
-ROWS_PER_FILE = 1_000_000
 BUCKET = "bucket"
 
 
@@ -33,13 +32,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_buckets(rows: DataFrame, path: str, cut: Column | None = None) -> None:
+def write_buckets(rows: DataFrame, path: str) -> None:
     """Replace the buckets that occur in ``rows``; the others are not read or written.
 
     ``rows`` may have been read from the same path, so they are checkpointed before anything is replaced.
+    Rows are rebalanced by bucket: AQE splits a bucket that is too large for one task and joins small ones.
     """
-    layout = [F.col(BUCKET)] if cut is None else [F.col(BUCKET), cut]
-    cut_lineage(rows).repartition(*layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    cut_lineage(rows).hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         BUCKET
     ).parquet(path)
 
@@ -56,15 +55,15 @@ def touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame | None
 def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace the catalogue rows of the jobs in ``catalog``; other jobs keep theirs.
 
-    Jobs share ``buckets`` partitions instead of one small folder each, and a large job is cut by
-    catalogue position into several files.
+    Jobs share ``buckets`` partitions instead of one small folder each; take enough of them that a bucket
+    stays within a few gigabytes.
     """
     fresh = with_dependencies(catalog, dependencies).withColumn(BUCKET, bucket_of(["job_id"], buckets))
     jobs = fresh.select("job_id", BUCKET).distinct()
     stored = touched(catalog.sparkSession, path, jobs)
     if stored is not None:
         fresh = fresh.unionByName(stored.join(jobs.select("job_id"), "job_id", "left_anti"))
-    write_buckets(fresh, path, F.floor(F.col("ord") / ROWS_PER_FILE))
+    write_buckets(fresh, path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
