@@ -59,7 +59,8 @@ def columns_of(t):
 
 
 def catalog_of(t):
-    return catalog.build_catalog(objects_of(t), columns_of(t), fks_of(t))
+    names = ("tables", "views", "routines", "triggers", "columns", "constraints", "key_usage", "ref_usage")
+    return catalog.catalog_from_extracts({n: getattr(t, f"sv_{n}") for n in names})
 
 
 @query("list_objects", SQL_OBJECTS)

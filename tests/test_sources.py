@@ -114,3 +114,19 @@ def test_folders_in_several_formats(spark):
         files.write_folder(df, path, fmt=fmt)
         back = files.read_folder(spark, path, fmt, df.schema)
         assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_every_dialect_answers_every_question():
+    from tidemark.sources import system_views as sv
+
+    for dialect, texts in sv.QUERIES.items():
+        assert set(sv.COLUMNS) - set(texts) <= {"ref_usage"}, dialect
+        for name, text in texts.items():
+            chosen = text[len("SELECT ") : text.index(" FROM ")]
+            depth, columns = 0, 1
+            for i, ch in enumerate(chosen):
+                depth += (ch == "(") - (ch == ")")
+                columns += ch == "," and depth == 0
+            assert columns == len(sv.COLUMNS[name]), (dialect, name)
+    options = jdbc.query_options(PG, "SELECT 1")
+    assert options["query"] == "SELECT 1" and options["driver"] == "org.postgresql.Driver" and "dbtable" not in options

@@ -5,7 +5,7 @@ Every extract carries ``job_id`` and ``dialect``; one set of joins serves all jo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -161,6 +161,19 @@ def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> Dat
     return number_rows(placed, ["job_id"], ["_rank", "schema_name", "object_name"], "ord", sizes=sizes).drop("_rank")
 
 
+def catalog_from_extracts(extracts: Mapping[str, DataFrame]) -> DataFrame:
+    """The catalogue of everything in the extracts (see ``sources.system_views`` for their columns)."""
+    x = extracts
+    refs = referenced_columns(x["constraints"], x["key_usage"])
+    if "ref_usage" in x:
+        refs = refs.unionByName(x["ref_usage"].select(refs.columns))
+    return build_catalog(
+        list_objects(x["tables"], x["views"], x["routines"], x["triggers"]),
+        columns_with_pk(x["columns"], x["constraints"], x["key_usage"]),
+        foreign_keys(x["constraints"], x["key_usage"], refs),
+    )
+
+
 def dependency_edges(fks: DataFrame) -> DataFrame:
     """Distinct (child, parent) tables with the position at which the pair is first seen."""
     return fks.groupBy("job_id", F.col("table_name").alias("child"), F.col("ref_table_name").alias("parent")).agg(

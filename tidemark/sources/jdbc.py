@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 # Driver class, URL and default port per dialect; how each dialect hashes a key into buckets.
 DRIVERS = {
@@ -27,21 +27,6 @@ HASH_BUCKET = {
     "mysql": "mod(crc32({key}), {n})",
     "oracle": "mod(ora_hash({key}), {n})",
 }
-# System views read to build a catalogue, per dialect.
-SYSTEM_VIEWS = {
-    "postgresql": (
-        "information_schema.tables", "information_schema.views", "information_schema.routines", "information_schema.triggers",
-        "information_schema.columns", "information_schema.table_constraints", "information_schema.key_column_usage",
-        "information_schema.constraint_column_usage",
-    ),
-    "mysql": (
-        "information_schema.tables", "information_schema.views", "information_schema.routines", "information_schema.triggers",
-        "information_schema.columns", "information_schema.table_constraints", "information_schema.key_column_usage",
-    ),
-    "oracle": (
-        "all_tables", "all_views", "all_objects", "all_triggers", "all_tab_columns", "all_constraints", "all_cons_columns",
-    ),
-}
 
 
 @dataclass(frozen=True)
@@ -85,6 +70,11 @@ def _login(conn: Connection) -> dict[str, str]:
     return {"url": conn.url, "driver": DRIVERS[conn.dialect], "user": conn.username, "password": conn.password}
 
 
+def query_options(conn: Connection, text: str) -> dict[str, str]:
+    """Options of a read that the database answers as one query."""
+    return {**_login(conn), "query": text, "fetchsize": "10000"}
+
+
 def read_options(
     conn: Connection, table: str, key: str | None = None, bounds: tuple[object, object] | None = None,
     partitions: int = 64, fetchsize: int = 10_000,
@@ -110,14 +100,14 @@ def key_bounds(spark: SparkSession, conn: Connection, table: str, key: str) -> t
     """Least and greatest key, answered by the database."""
     q = quoted(conn.dialect, key)
     text = f"SELECT min({q}) AS lo, max({q}) AS hi FROM {table_path(conn, table)}"
-    row = spark.read.format("jdbc").options(**_login(conn), query=text).load().first()
+    row = spark.read.format("jdbc").options(**query_options(conn, text)).load().first()
     return row[0], row[1]
 
 
 def row_count(spark: SparkSession, conn: Connection, table: str) -> int:
     """``COUNT(*)`` answered by the database; no rows travel."""
     text = f"SELECT count(*) AS n FROM {table_path(conn, table)}"
-    return int(spark.read.format("jdbc").options(**_login(conn), query=text).load().first()[0])
+    return int(spark.read.format("jdbc").options(**query_options(conn, text)).load().first()[0])
 
 
 def read_table(
@@ -134,15 +124,6 @@ def read_table(
     return spark.read.format("jdbc").options(**read_options(conn, table, key, bounds, partitions)).load()
 
 
-def read_system_views(spark: SparkSession, conn: Connection, job_id) -> dict[str, DataFrame]:
-    """The system views a catalogue is built from, tagged with their job and dialect."""
-    out = {}
-    for view in SYSTEM_VIEWS[conn.dialect]:
-        df = spark.read.format("jdbc").options(**_login(conn), dbtable=view, fetchsize="10000").load()
-        out[view] = df.withColumn("job_id", F.lit(job_id)).withColumn("dialect", F.lit(conn.dialect))
-    return out
-
-
 def column_types(schema: T.StructType, lengths: Mapping[str, int]) -> str:
     """Lengths for text columns of a table Spark creates; other columns get the dialect's own types."""
     return ", ".join(f"`{f.name}` VARCHAR({lengths[f.name]})" for f in schema if f.name in lengths)
