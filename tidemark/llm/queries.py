@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import token_files
+from tidemark.llm import packing, token_files
 from tidemark.llm.registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,3 +21,8 @@ def op4_token_files(spark, sf_dir):
         table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), end_id=0
     )
     return token_files.token_digests(manifest, folder)
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
