@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import packing, token_files
+from tidemark.llm import decontamination, near_dedup, packing, token_files
 from tidemark.llm.registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,3 +26,13 @@ def op4_token_files(spark, sf_dir):
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
