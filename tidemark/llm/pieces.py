@@ -17,7 +17,8 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import slices, worker_cache
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
+SLICE = 6 << 20
 
 
 def _byte_classes() -> np.ndarray:
@@ -156,6 +157,6 @@ def split_ids(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndar
 def encoded_slices(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, text_specials: bool = False):
     """For each slice of (doc_id, text): the batch, its ids and their bounds, each document closed by ``end_id``."""
     enc = encoder(tokenizer_path, text_specials)
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         ids, bounds = enc.encode(batch.column("text"))
         yield batch, *split_ids(ids, bounds, end_id)
