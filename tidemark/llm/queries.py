@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import decontamination, near_dedup, packing, token_files
+from tidemark.llm import decontamination, near_dedup, packing, quality_rules, token_files
 from tidemark.llm.registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,3 +36,8 @@ def op1_near_dedup(spark, sf_dir):
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality_rules", quality_rules.oracle_sql())
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
