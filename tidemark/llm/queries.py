@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, near_dedup, packing, quality_rules, token_files
+from tidemark.llm import decontamination, near_dedup, packing, quality_rules, token_files, url_filter
 from tidemark.llm.registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def table(spark, sf_dir, name):
@@ -41,3 +43,11 @@ def op2_decontamination(spark, sf_dir):
 @query("op6_quality_rules", quality_rules.oracle_sql())
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_filter", url_filter.oracle_sql(URL_RULES))
+def op5_url_filter(spark, sf_dir):
+    # The labels' ids number the crawl's documents as page_id numbers its pages: a page's outcome is the label of its number.
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
