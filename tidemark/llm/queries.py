@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, near_dedup, packing, quality_rules, token_files, url_filter
+from tidemark.llm import decontamination, language_id, near_dedup, packing, quality_rules, token_files, url_filter
 from tidemark.llm.registry import query
 
+PIECES = "piece_bpe_32k.model"
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -51,3 +52,8 @@ def op5_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
