@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
@@ -105,6 +105,16 @@ def window_hashes(codes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
     return rolling[np.arange(out[-1]) + first], out
 
 
-def schema_of(df_schema: str, spark: SparkSession):
-    """A schema from its text."""
-    return spark.createDataFrame([], df_schema).schema
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss and Jordan's elimination row by row; at this size the threads of a linear-algebra library cost more than they save."""
+    m = len(matrix)
+    work = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        top = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, top]] = work[[top, k]]
+        work[k] /= work[k, k]
+        factors = work[:, k].copy()
+        factors[k] = 0
+        rows = np.flatnonzero(factors)
+        work[rows] -= factors[rows, None] * work[k]
+    return work[:, m:]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import only, stored
+from tidemark.llm.common import inverted, only, stored
 from tidemark.llm.pieces import encoded_slices
 
 CAPACITY = 2048
@@ -114,21 +114,6 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(value[0]), counts[sizes]
 
 
-def inverted(matrix: np.ndarray) -> np.ndarray:
-    """Gauss and Jordan's elimination row by row; at this size the threads of a linear-algebra library cost more than they save."""
-    m = len(matrix)
-    work = np.hstack([matrix, np.eye(m)])
-    for k in range(m):
-        top = k + int(np.abs(work[k:, k]).argmax())
-        work[[k, top]] = work[[top, k]]
-        work[k] /= work[k, k]
-        factors = work[:, k].copy()
-        factors[k] = 0
-        rows = np.flatnonzero(factors)
-        work[rows] -= factors[rows, None] * work[k]
-    return work[:, m:]
-
-
 def solve(demand: dict[int, int], capacity: int, tolerance: float = 1e-2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, float]:
     """Patterns, how often each is used (a linear program's solution), the classes, and the bound it proves.
 

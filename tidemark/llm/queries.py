@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, near_dedup, packing, quality_rules, token_files, url_filter
+from tidemark.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
 from tidemark.llm.registry import query
 
 PIECES = "piece_bpe_32k.model"
@@ -57,3 +57,9 @@ def op5_url_filter(spark, sf_dir):
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), labels)
