@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
+from tidemark.llm import class_lm, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
 from tidemark.llm.registry import query
 
 PIECES = "piece_bpe_32k.model"
@@ -63,3 +63,8 @@ def op7_language_id(spark, sf_dir):
 def op3_quality_classifier(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op10_class_lm")
+def op10_class_lm(spark, sf_dir):
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
