@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import class_lm, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
+from tidemark.llm import class_lm, decontamination, language_id, main_text, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
 from tidemark.llm.registry import query
 
 PIECES = "piece_bpe_32k.model"
@@ -68,3 +68,8 @@ def op3_quality_classifier(spark, sf_dir):
 @query("op10_class_lm")
 def op10_class_lm(spark, sf_dir):
     return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark, sf_dir):
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
