@@ -11,10 +11,10 @@ time by which its registers are expected to be full, again with twice the time w
 equal to the weighted Jaccard similarity.
 
 Steps: equal word sequences collapse to one node first, so groups of exact copies weigh nothing. Nodes that share a band meet in a
-bucket. In each bucket the smallest node is the pivot and all others are compared with it, by the exact multisets; those that
-fail form a smaller bucket with a pivot of their own, until none is left. A bucket so costs its size times the number of mutually unlike
-texts in it, never all its pairs, and none of its members is dropped. Components of the links follow by
-alternating large and small stars. A link of 0.8 shares a band with probability 0.9999.
+bucket. In each bucket the smallest node is the pivot and all others are compared with it, by their multisets; those that fail
+stay and are compared with four pivots, then sixteen and so on, until every node has linked to a pivot or been one. A
+bucket so costs its size times the number of mutually unlike texts in it, never all its pairs, and none of its members is dropped. Components of
+the links follow by alternating large and small stars. A link of 0.8 shares a band with probability 0.9999.
 
 Rows: a text without words (null too) is a class of its own; rows with equal ids each get a row; rows with null ids are classed by text, and a
 class's id is its smallest non-null doc_id; an empty table gives an empty result; further columns are not read.
@@ -33,7 +33,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 30
 
-SIGNED = "doc_id long, hi long, lo long, bands array<long>"
+SIGNED = "doc_id long, hi long, lo long, size long, bands array<long>"
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,23 +143,27 @@ def signatures(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(hi.view(np.int64), mask=~filled),
                     pa.array(lo.view(np.int64), mask=~filled),
+                    pa.array(np.diff(at), pa.int64()),
                     lists,
                 ],
-                names=["doc_id", "hi", "lo", "bands"],
+                names=["doc_id", "hi", "lo", "size", "bands"],
             )
 
     return only(docs, "doc_id", "text").mapInArrow(sign, SIGNED)
 
 
 def bag_table(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The sorted shingle hashes (with repeats) of the nodes' texts: node, bag. ``nodes``: node, rep, hi, lo."""
+    """The sorted shingle hashes (32 bits, with repeats) of the nodes' texts: node, bag. ``nodes``: node, rep, hi, lo.
+
+    At 32 bits two unlike shingles of a pair of texts of 20,000 words are taken as one with a probability of one in 200,000.
+    """
 
     def gather(batches):
         for batch in slices(batches, limit=8 << 20):
             grams, at, hi, lo = shingles(batch.column("text"), width)
             same = (hi.view(np.int64) == batch.column("hi").to_numpy(zero_copy_only=False)) & (lo.view(np.int64) == batch.column("lo").to_numpy(zero_copy_only=False))
             found = np.flatnonzero(same)
-            data = [np.sort(grams[at[k] : at[k + 1]]).astype("<u8").tobytes() for k in found]
+            data = [np.sort((grams[at[k] : at[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in found]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(found)), pa.array(data, pa.binary())], names=["node", "bag"])
 
     texts = only(docs, "doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "hi", "lo")
@@ -168,26 +172,31 @@ def bag_table(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFram
 
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two sorted bags."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    # A shingle's count in the union of bags is the larger of both counts, so the smaller ones add up to what matches in order.
-    vx, cx = np.unique(x, return_counts=True)
-    vy, cy = np.unique(y, return_counts=True)
-    _, ix, iy = np.intersect1d(vx, vy, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(cx[ix], cy[iy]).sum())
-    return shared / (len(both) - shared)
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    # The k-th copy of a shingle in one bag matches the k-th copy in the other.
+    copy = np.arange(len(x)) - np.searchsorted(x, x, side="left")
+    shared = int((copy < np.searchsorted(y, x, side="right") - np.searchsorted(y, x, side="left")).sum())
+    return shared / (len(x) + len(y) - shared)
 
 
-def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """(node, pivot, linked) by the exact multisets."""
+def verified(pairs: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """(node, pivot, linked) by the multisets; pairs whose sizes rule a link out are left away."""
 
     def judge(batches):
         for batch in batches:
             sims = [overlap(a, b) >= threshold for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot"), pa.array(sims, pa.bool_())], names=["node", "pivot", "linked"])
 
+    sizes = nodes.select("node", "size")
+    near = (
+        pairs.join(sizes, "node")
+        .join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("other")), "pivot")
+        # The smaller bag can share no more than its size.
+        .filter(F.least("size", "other") >= threshold * F.greatest("size", "other"))
+        .select("node", "pivot")
+    )
     return (
-        pairs.join(bag.select("node", F.col("bag").alias("a")), "node")
+        near.join(bag.select("node", F.col("bag").alias("a")), "node")
         .join(bag.select(F.col("node").alias("pivot"), F.col("bag").alias("b")), "pivot")
         .select("node", "pivot", "a", "b")
         .mapInArrow(judge, "node long, pivot long, linked boolean")
@@ -226,25 +235,34 @@ def near_duplicate_classes(
     """One row for each document: doc_id and class_id, the smallest doc_id of the documents it is a copy or near copy of."""
     signed = stored(signatures(docs, width, rows, bands), "signed")
     nodes = stored(
-        signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     links = bag = None
+    slots = 1
     while True:
-        pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("bucket", "pivot")
-        met = stored(members.join(pivots, "bucket").filter("node <> pivot").select("bucket", "node", "pivot"), "met")
-        if met.isEmpty():
+        # Each bucket has up to ``slots`` pivots, the smallest node of each slot.
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
+        pivots = members.groupBy("bucket", slot).agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+        if slots == 1:
+            pivots = pivots.filter("pivot < last")
+        met = stored(members.join(pivots.select("bucket", "pivot"), "bucket").select("bucket", "node", "pivot"), "met")
+        pairs = met.filter("node <> pivot").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        if pairs.isEmpty():
             break
-        pairs = met.select("node", "pivot").distinct()
         if bag is None:
             wanted = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
-            bag = stored(bag_table(docs, nodes.drop("bands").join(wanted, "node", "left_semi"), width), "bags")
-        judged = stored(verified(pairs, bag, threshold), "judged")
-        found = judged.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+            bag = stored(bag_table(docs, nodes.drop("bands", "size").join(wanted, "node", "left_semi"), width), "bags")
+        judged = stored(verified(pairs, nodes, bag, threshold).filter("linked").select("node", "pivot"), "judged")
+        found = judged.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         links = found if links is None else links.union(found)
-        members = met.join(judged.filter("not linked"), ["node", "pivot"], "left_semi").select("node", "bucket")
+        both = judged.union(judged.select("pivot", "node")).withColumn("linked", F.lit(True))
+        settled = (F.col("node") == F.col("pivot")) | F.col("linked").isNotNull()
+        rest = met.join(both, ["node", "pivot"], "left").groupBy("bucket", "node").agg(F.max(settled).alias("settled"))
+        members = stored(rest.filter("not settled").select("node", "bucket"), "members")
+        slots *= 4
     if links is None:
         reps = nodes.select("hi", "lo", F.col("rep").alias("class_id"))
     else:
@@ -252,7 +270,7 @@ def near_duplicate_classes(
         rooted = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
         reps = rooted.join(least, "root").select("hi", "lo", "class_id")
-    joined = signed.drop("bands").join(reps, ["hi", "lo"], "left")
+    joined = signed.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"], "left")
     return joined.select("doc_id", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
