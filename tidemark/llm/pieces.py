@@ -38,8 +38,11 @@ OPENS_SPACE = np.zeros(256, bool)
 OPENS_SPACE[list(range(9, 14)) + list(range(28, 33)) + [0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def piece_bounds(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where pieces begin and end in the joined bytes of texts; ``texts`` holds the bounds of the texts."""
+def piece_bounds(data: np.ndarray, texts: np.ndarray, specials: list[bytes] = ()) -> np.ndarray:
+    """Where pieces begin and end in the joined bytes of texts; ``texts`` holds the bounds of the texts.
+
+    The strings of ``specials`` are never cut.
+    """
     n = len(data)
     cut = np.zeros(n + 1, bool)
     cut[texts] = True
@@ -63,6 +66,12 @@ def piece_bounds(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
         at = at[~edge[at] & ~edge[at + 1]]
         cut[at] = True
         cut[at[kinds[at] == 4] + 1] = True
+        for special in specials:
+            joined = data.tobytes()
+            place = joined.find(special)
+            while place >= 0:
+                cut[place + 1 : place + len(special)] = edge[place + 1 : place + len(special)]
+                place = joined.find(special, place + 1)
     return np.flatnonzero(cut)
 
 
@@ -74,6 +83,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         # True: the strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = text_specials
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [] if text_specials else [t.content.encode() for t in added]
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
@@ -111,7 +122,7 @@ class Encoder:
         if size == 0:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(payload, np.uint8)[first : first + size]
-        at = piece_bounds(data, bounds)
+        at = piece_bounds(data, bounds, self.specials)
         pieces = pa.Array.from_buffers(
             pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
