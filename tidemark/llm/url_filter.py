@@ -57,7 +57,8 @@ def rule_column(rules: list[tuple[str, str]], host: Column, path: Column) -> Col
         name, slash, start = rule.partition("/")
         test = (host == name) | host.endswith(f".{name}")
         fits.append(F.when(test & path.startswith(slash + start), F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array(*fits))
+    none = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
+    return F.array_max(F.array(none, *fits))
 
 
 def level(counts: DataFrame, key: str, parents: DataFrame | None, parent: str, overall: float, shrunk: str) -> DataFrame:
