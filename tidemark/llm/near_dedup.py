@@ -11,10 +11,12 @@ time by which its registers are expected to be full, again with twice the time w
 equal to the weighted Jaccard similarity.
 
 Steps: equal word sequences collapse to one node first, so groups of exact copies weigh nothing. Nodes that share a band meet in a
-bucket. In each bucket the smallest node is the pivot and all others are compared with it, by their multisets; those that fail
-stay and are compared with four pivots, then sixteen and so on, until every node has linked to a pivot or been one. A
-bucket so costs its size times the number of mutually unlike texts in it, never all its pairs, and none of its members is dropped. Components of
-the links follow by alternating large and small stars. A link of 0.8 shares a band with probability 0.9999.
+bucket. In each bucket the smallest node is the pivot and all others are compared with it, by their multisets. Links join classes
+(components, by alternating large and small stars). Nodes that are not in one class with their bucket's pivot stay, meet again with those of a
+like size, and are compared with four pivots, then sixteen and so on, until every node is in one class with a pivot or a pivot itself. A
+bucket so costs its size times the number of mutually unlike texts in it, never all its pairs, and no member is dropped. A link of 0.8
+shares a band with a probability of 0.9994, one of 0.85 with 0.999997; of two linked texts that meet in one bucket alone, each in a class with
+another pivot of it, the link goes unseen.
 
 Rows: a text without words (null too) is a class of its own; rows with equal ids each get a row; rows with null ids are classed by text, and a
 class's id is its smallest non-null doc_id; an empty table gives an empty result; further columns are not read.
@@ -22,6 +24,8 @@ class's id is its smallest non-null doc_id; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from tidemark.llm.common import coded, hashes, mixed, only, slices, stored, wind
 
 WIDTH = 5
 THRESHOLD = 0.8
-ROWS, BANDS = 6, 30
+ROWS, BANDS = 8, 40
 
 SIGNED = "doc_id long, hi long, lo long, size long, bands array<long>"
 
@@ -229,6 +233,13 @@ def components(links: DataFrame) -> DataFrame:
         print_of = now
 
 
+def rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``met`` (bucket, node, pivot) with the roots of both nodes' classes."""
+    at_node = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    return at_node.join(at_pivot, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
+
+
 def near_duplicate_classes(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -240,7 +251,7 @@ def near_duplicate_classes(
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    links = bag = None
+    roots = bag = None
     slots = 1
     while True:
         # Each bucket has up to ``slots`` pivots, the smallest node of each slot.
@@ -249,27 +260,34 @@ def near_duplicate_classes(
         if slots == 1:
             pivots = pivots.filter("pivot < last")
         met = stored(members.join(pivots.select("bucket", "pivot"), "bucket").select("bucket", "node", "pivot"), "met")
-        pairs = met.filter("node <> pivot").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        # Texts that are in one class by now need no further link.
+        apart = met.filter("node <> pivot") if roots is None else rooted(met, roots).filter("root <> pivot_root")
+        pairs = apart.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             break
         if bag is None:
             wanted = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
             bag = stored(bag_table(docs, nodes.drop("bands", "size").join(wanted, "node", "left_semi"), width), "bags")
-        judged = stored(verified(pairs, nodes, bag, threshold).filter("linked").select("node", "pivot"), "judged")
-        found = judged.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-        links = found if links is None else links.union(found)
-        both = judged.union(judged.select("pivot", "node")).withColumn("linked", F.lit(True))
-        settled = (F.col("node") == F.col("pivot")) | F.col("linked").isNotNull()
-        rest = met.join(both, ["node", "pivot"], "left").groupBy("bucket", "node").agg(F.max(settled).alias("settled"))
-        members = stored(rest.filter("not settled").select("node", "bucket"), "members")
+        links = stored(verified(pairs, nodes, bag, threshold).filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")), "links")
+        if roots is not None:
+            links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = components(links)
+        rest = rooted(met, roots).groupBy("bucket", "node").agg(F.max(F.col("root") == F.col("pivot_root")).alias("settled"))
+        members = rest.filter("not settled").select("node", "bucket")
+        if slots == 1:
+            # Linked bags differ by a fifth in size at most: those that are left meet in the bucket's classes of like sizes, which overlap.
+            step = F.floor(F.log("size") / F.lit(max(-math.log(threshold), 1e-3) * 1.001)).cast("long")
+            sized = members.join(nodes.select("node", "size"), "node")
+            members = sized.select("node", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket"))
+        members = stored(members, "members")
         slots *= 4
-    if links is None:
+    if roots is None:
         reps = nodes.select("hi", "lo", F.col("rep").alias("class_id"))
     else:
-        roots = components(links)
-        rooted = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-        reps = rooted.join(least, "root").select("hi", "lo", "class_id")
+        whole = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
+        reps = whole.join(least, "root").select("hi", "lo", "class_id")
     joined = signed.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"], "left")
     return joined.select("doc_id", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
