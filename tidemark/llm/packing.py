@@ -278,7 +278,8 @@ def pack_encoded(encoded: DataFrame, capacity: int = CAPACITY, width: int = WIDT
     # One task orders the rest: its rows are bounded by the plan, not by the input.
     line = Window.orderBy(F.desc("cls"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     lined = left.select("chunk", "row", "doc_id", "n", F.coalesce(F.sum(length).over(line), F.lit(0)).alias("place"))
-    rest = lined.join(encoded.select("chunk", "row", "ids"), ["chunk", "row"]).mapInArrow(
+    # For the same reason these rows, (capacity / width)^2 of a few numbers at most, may be broadcast, and the ids are not shuffled.
+    rest = encoded.select("chunk", "row", "ids").join(F.broadcast(lined), ["chunk", "row"]).mapInArrow(
         cut, "chunk long, row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
