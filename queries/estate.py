@@ -1,69 +1,73 @@
-"""An estate of migration jobs: every customer is one job that holds a small schema of its own.
+"""An estate of migration jobs: every customer is one job that holds a trading schema of its own.
 
-The schema (people, departments, projects and their assignments) is stated once below; Spark and
-DuckDB repeat it per customer, so the estate grows with the customer table.
+The schema follows the given tables, with a table of shipments, a part that replaces another and a customer's last order added, so that
+there are composite, self-referring and circular keys. It is stated once below; Spark and DuckDB repeat it per customer, so the
+estate grows with the customer table.
 """
 
 from queries.base import FIXTURES
 
 # (table, column, PostgreSQL type, MySQL type, Oracle type, nullable, primary key)
 COLUMNS = [
-    ("employees", "employee_id", "integer", "int", "NUMBER", "NO", 1),
-    ("employees", "first_name", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "NO", 0),
-    ("employees", "last_name", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "NO", 0),
-    ("employees", "email", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "YES", 0),
-    ("employees", "department_id", "integer", "int", "NUMBER", "YES", 0),
-    ("employees", "salary", "numeric(10,2)", "decimal(10,2)", "NUMBER(10,2)", "YES", 0),
-    ("employees", "hire_date", "date", "date", "DATE", "YES", 0),
-    ("employees", "is_active", "boolean", "tinyint(1)", "CHAR(1)", "YES", 0),
-    ("employees", "profile", "jsonb", "json", "XMLTYPE", "YES", 0),
-    ("departments", "department_id", "integer", "int", "NUMBER", "NO", 1),
-    ("departments", "department_name", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "NO", 0),
-    ("departments", "manager_id", "integer", "int", "NUMBER", "YES", 0),
-    ("departments", "region", "character varying(40)", "enum('N','S')", "VARCHAR2(40)", "YES", 0),
-    ("projects", "project_id", "integer", "int", "NUMBER", "NO", 1),
-    ("projects", "project_name", "character varying(150)", "varchar(150)", "VARCHAR2(150)", "NO", 0),
-    ("projects", "description", "text", "text", "CLOB", "YES", 0),
-    ("projects", "department_id", "integer", "int", "NUMBER", "YES", 0),
-    ("project_assignments", "project_id", "integer", "int", "NUMBER", "NO", 1),
-    ("project_assignments", "employee_id", "integer", "int", "NUMBER", "NO", 1),
-    ("project_assignments", "role", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "YES", 0),
-    ("timesheets", "timesheet_id", "bigint", "bigint", "NUMBER", "NO", 1),
-    ("timesheets", "project_id", "integer", "int", "NUMBER", "NO", 0),
-    ("timesheets", "employee_id", "integer", "int", "NUMBER", "NO", 0),
-    ("timesheets", "parent_id", "bigint", "bigint", "NUMBER", "YES", 0),
-    ("timesheets", "worked_at", "timestamp without time zone", "datetime", "TIMESTAMP", "YES", 0),
-    ("timesheets", "Work Note", "money", "mediumtext", "INTERVAL", "YES", 0),
+    ("region", "r_regionkey", "integer", "int", "NUMBER", "NO", 1),
+    ("region", "r_name", "character varying(25)", "varchar(25)", "VARCHAR2(25)", "NO", 0),
+    ("region", "r_side", "character varying(1)", "enum('N','S')", "VARCHAR2(1)", "YES", 0),
+    ("nation", "n_nationkey", "integer", "int", "NUMBER", "NO", 1),
+    ("nation", "n_name", "character varying(25)", "varchar(25)", "VARCHAR2(25)", "NO", 0),
+    ("nation", "n_regionkey", "integer", "int", "NUMBER", "YES", 0),
+    ("customer", "c_custkey", "integer", "int", "NUMBER", "NO", 1),
+    ("customer", "c_name", "character varying(100)", "varchar(100)", "VARCHAR2(100)", "NO", 0),
+    ("customer", "c_acctbal", "numeric(15,2)", "decimal(15,2)", "NUMBER(15,2)", "YES", 0),
+    ("customer", "c_nationkey", "integer", "int", "NUMBER", "YES", 0),
+    ("customer", "c_last_order", "bigint", "bigint", "NUMBER", "YES", 0),
+    ("customer", "c_since", "date", "date", "DATE", "YES", 0),
+    ("customer", "is_active", "boolean", "tinyint(1)", "CHAR(1)", "YES", 0),
+    ("customer", "c_papers", "jsonb", "json", "XMLTYPE", "YES", 0),
+    ("part", "p_partkey", "integer", "int", "NUMBER", "NO", 1),
+    ("part", "p_name", "character varying(150)", "varchar(150)", "VARCHAR2(150)", "NO", 0),
+    ("part", "p_leaflet", "text", "text", "CLOB", "YES", 0),
+    ("part", "p_replaces", "integer", "int", "NUMBER", "YES", 0),
+    ("orders", "o_orderkey", "bigint", "bigint", "NUMBER", "NO", 1),
+    ("orders", "o_custkey", "integer", "int", "NUMBER", "NO", 0),
+    ("orders", "o_placed_at", "timestamp without time zone", "datetime", "TIMESTAMP", "YES", 0),
+    ("lineitem", "l_orderkey", "bigint", "bigint", "NUMBER", "NO", 1),
+    ("lineitem", "l_linenumber", "integer", "int", "NUMBER", "NO", 1),
+    ("lineitem", "l_partkey", "integer", "int", "NUMBER", "NO", 0),
+    ("shipment", "s_shipkey", "bigint", "bigint", "NUMBER", "NO", 1),
+    ("shipment", "s_orderkey", "bigint", "bigint", "NUMBER", "NO", 0),
+    ("shipment", "s_linenumber", "integer", "int", "NUMBER", "NO", 0),
+    ("shipment", "Ship Note", "money", "mediumtext", "INTERVAL", "YES", 0),
 ]
 # (constraint, child, child columns, parent, parent columns); the first one makes MySQL and Oracle cyclic
 FOREIGN_KEYS = [
-    ("employees_department_fk", "employees", "department_id", "departments", "department_id"),
-    ("departments_manager_fk", "departments", "manager_id", "employees", "employee_id"),
-    ("projects_department_fk", "projects", "department_id", "departments", "department_id"),
-    ("assignments_project_fk", "project_assignments", "project_id", "projects", "project_id"),
-    ("assignments_employee_fk", "project_assignments", "employee_id", "employees", "employee_id"),
-    ("timesheets_assignment_fk", "timesheets", "project_id,employee_id", "project_assignments", "project_id,employee_id"),
-    ("timesheets_parent_fk", "timesheets", "parent_id", "timesheets", "timesheet_id"),
+    ("customer_last_order_fk", "customer", "c_last_order", "orders", "o_orderkey"),
+    ("orders_customer_fk", "orders", "o_custkey", "customer", "c_custkey"),
+    ("nation_region_fk", "nation", "n_regionkey", "region", "r_regionkey"),
+    ("customer_nation_fk", "customer", "c_nationkey", "nation", "n_nationkey"),
+    ("lineitem_order_fk", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem_part_fk", "lineitem", "l_partkey", "part", "p_partkey"),
+    ("shipment_line_fk", "shipment", "s_orderkey,s_linenumber", "lineitem", "l_orderkey,l_linenumber"),
+    ("part_replaces_fk", "part", "p_replaces", "part", "p_partkey"),
 ]
 TABLES = list(dict.fromkeys(c[0] for c in COLUMNS))
 VIEWS = [
-    ("active_employees", "CREATE VIEW active_employees AS SELECT employee_id FROM employees WHERE is_active = TRUE;"),
-    ("active_engineers", "CREATE VIEW active_engineers AS SELECT * FROM active_employees;  "),
+    ("open_accounts", "CREATE VIEW open_accounts AS SELECT c_custkey FROM customer WHERE is_active = TRUE;"),
+    ("rich_accounts", "CREATE VIEW rich_accounts AS SELECT * FROM open_accounts;  "),
 ]
 ROUTINES = [
-    ("archive_projects", "procedure", "CREATE PROCEDURE archive_projects() AS BEGIN NULL; END;"),
-    ("get_employee_count", "function", "CREATE FUNCTION get_employee_count(d INTEGER) RETURNS INTEGER AS 'SELECT 1';"),
-    ("normalize_employee_email", "function", ""),
-    ("sum_salary", "aggregate", "CREATE AGGREGATE sum_salary"),
+    ("purge_shipments", "procedure", "CREATE PROCEDURE purge_shipments() AS BEGIN NULL; END;"),
+    ("count_orders", "function", "CREATE FUNCTION count_orders(c INTEGER) RETURNS INTEGER AS 'SELECT 1';"),
+    ("tidy_name", "function", ""),
+    ("sum_balance", "aggregate", "CREATE AGGREGATE sum_balance"),
 ]
 TRIGGERS = [
-    ("trg_normalize_employee_email", "employees", "CREATE TRIGGER trg_normalize_employee_email", 0),
-    ("ri_constraint_trigger", "employees", "", 1),
+    ("trg_tidy_name", "customer", "CREATE TRIGGER trg_tidy_name", 0),
+    ("ri_constraint_trigger", "customer", "", 1),
 ]
 
 _DIALECT = "CASE c_custkey % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'mysql' ELSE 'postgresql' END"
 _TARGET = "CASE c_custkey % 3 WHEN 2 THEN 'mysql' ELSE 'postgresql' END"
-_SCHEMA = "CASE c_custkey % 3 WHEN 0 THEN 'SAMPLE_USER' WHEN 1 THEN 'sample_db' ELSE 'sample' END"
+_SCHEMA = "CASE c_custkey % 3 WHEN 0 THEN 'TRADE' WHEN 1 THEN 'trade_db' ELSE 'trade' END"
 
 
 def _literal(v) -> str:
@@ -90,7 +94,7 @@ def folded(name: str) -> str:
     return f"CASE WHEN j.dialect = 'oracle' THEN upper(r.{name}) ELSE r.{name} END"
 
 
-_FK_WHERE = "(j.dialect <> 'postgresql' OR r.fk <> 'employees_department_fk')"
+_FK_WHERE = "(j.dialect <> 'postgresql' OR r.fk <> 'customer_last_order_fk')"
 _FK_COLS = [
     (name, child, c, parent, p, i + 1)
     for name, child, cs, parent, ps in FOREIGN_KEYS
@@ -104,7 +108,7 @@ for _t in TABLES:
 FIXTURES.update(
     sv_tables=per_job(
         [(t, "BASE TABLE", "@") for t in TABLES]
-        + [("active_employees", "VIEW", "@"), ("pg_class", "BASE TABLE", "pg_catalog"), ("user", "BASE TABLE", "mysql"),
+        + [("open_accounts", "VIEW", "@"), ("pg_class", "BASE TABLE", "pg_catalog"), ("user", "BASE TABLE", "mysql"),
            ("dual", "BASE TABLE", "Sys")],
         ["t", "kind", "sch"],
         f"j.job_id, j.dialect, CASE WHEN r.sch = '@' THEN j.ns ELSE r.sch END AS schema_name, {folded('t')} AS table_name, "
@@ -181,7 +185,7 @@ FIXTURES["estate_foreign_keys"] = per_job(
 _OBJECTS = (
     [("table", t, "") for t in sorted(TABLES)]
     + [("view", v, d) for v, d in sorted(VIEWS)]
-    + [("procedure", "archive_projects", ROUTINES[0][2])]
+    + [("procedure", "purge_shipments", ROUTINES[0][2])]
     + [("function", n, d) for n, k, d in ROUTINES if k == "function"]
     + [("trigger", TRIGGERS[0][0], TRIGGERS[0][2])]
     + [("foreign_key", f[0], f"ALTER TABLE {f[1]} ADD CONSTRAINT {f[0]}") for f in sorted(FOREIGN_KEYS)]
@@ -192,5 +196,5 @@ FIXTURES["estate_objects"] = per_job(
     f"j.job_id * 100 + r.pos AS object_id, j.job_id, j.dialect, j.target_dialect, j.segment, j.acctbal, cast(r.pos AS bigint) AS ord, "
     f"r.kind AS object_type, j.ns AS schema_name, {folded('n')} AS object_name, "
     "CASE WHEN r.kind = 'view' AND j.segment = 'FURNITURE' THEN NULL ELSE nullif(r.ddl, '') END AS definition",
-    "(j.dialect <> 'postgresql' OR r.n <> 'employees_department_fk')",
+    "(j.dialect <> 'postgresql' OR r.n <> 'customer_last_order_fk')",
 )

@@ -29,7 +29,7 @@ def change_lag(t):
     return changes.change_lag(t.customer_changes, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-@query("newer_rows", "SELECT * FROM orders WHERE o_orderdate > timestamp '1998-06-30 00:00:00'")
+@query("newer_rows", "SELECT * FROM orders WHERE o_orderdate >= timestamp '1998-06-30 00:00:00'")
 def newer_rows(t):
     return changes.newer_rows(t.orders, "o_orderdate", datetime(1998, 6, 30))
 

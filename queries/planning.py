@@ -43,10 +43,11 @@ def score_risk(t):
     return register_of(t)
 
 
-@query("refinement_candidates", f"""SELECT job_id, ord, object_name, object_type, risk_level, reason FROM (
-SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS n FROM ({SQL_RISK}) r WHERE risk_level <> 'low') c WHERE n <= 30""")
+@query("refinement_candidates", f"""
+SELECT job_id, ord, object_name, object_type, risk_level, reason, ((row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1) // 5)::INT AS batch_no
+FROM ({SQL_RISK}) r WHERE risk_level <> 'low'""")
 def refinement_candidates(t):
-    return risk.refinement_candidates(register_of(t))
+    return risk.refinement_candidates(register_of(t), 5)
 
 
 @query("refine_risk", f"""
@@ -112,8 +113,8 @@ def load_waves(t):
 
 
 FIXTURES["object_links"] = """
-SELECT job_id, CASE WHEN dialect = 'oracle' THEN 'ACTIVE_ENGINEERS' ELSE 'active_engineers' END AS parent,
-       CASE WHEN dialect = 'oracle' THEN 'ACTIVE_EMPLOYEES' ELSE 'active_employees' END AS child
+SELECT job_id, CASE WHEN dialect = 'oracle' THEN 'RICH_ACCOUNTS' ELSE 'rich_accounts' END AS parent,
+       CASE WHEN dialect = 'oracle' THEN 'OPEN_ACCOUNTS' ELSE 'open_accounts' END AS child
 FROM {estate_objects} o WHERE object_type = 'procedure' AND segment <> 'BUILDING'"""
 
 

@@ -15,12 +15,13 @@ _COS = "round(list_cosine_similarity(cast({a} AS double[]), cast({b} AS double[]
 
 def probe_vector(t):
     """The mean vector of the whole table stands for one question; its numbers are the only thing collected."""
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(64)]
-    return list(t.embeddings.agg(*means).first())
+    places = t.embeddings.select(F.posexplode("embedding").alias("i", "x"))
+    means = places.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()
+    return [r["m"] for r in means]
 
 
 SQL_RETRIEVE = f"""
-WITH q AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(cast(embedding[i] AS double)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) r GROUP BY i) x)
+WITH q AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(cast(embedding[i] AS double)) AS m FROM embeddings, (SELECT unnest(range(1, (SELECT max(len(embedding)) + 1 FROM embeddings))) AS i) r GROUP BY i) x)
 SELECT id, title, source_dialect, target_dialect, content, {_COS.format(a='k.embedding', b='q.v')} AS similarity FROM {{kb}} k, q WHERE COND
 ORDER BY similarity DESC, id LIMIT 5"""
 _SHOWN = ["id", "title", "source_dialect", "target_dialect", "content", "similarity"]

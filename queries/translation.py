@@ -12,7 +12,7 @@ from tidemark.operators import catalog, translation
 FIXTURES["doc_ddl"] = """
 SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'mysql' WHEN lang = 'de' THEN 'oracle' ELSE 'postgresql' END AS target_dialect,
        concat('CREATE OR REPLACE Force  EDITIONABLE VIEW "', upper(source), '"."DOC" AS /* ', text, ' */ SELECT * FROM ',
-              source, '.employees, `', source, '`.x') AS ddl
+              source, '.customer, `', source, '`.x') AS ddl
 FROM {documents}"""
 # As a model returns it: line ends, quotes and backslashes escaped.
 FIXTURES["doc_escaped"] = """
@@ -44,11 +44,11 @@ def unescape_ddl(t):
 
 # View texts with bare, quoted and foreign names in mixed case.
 FIXTURES["view_texts"] = """
-SELECT job_id, object_id, target_dialect, schema_name AS source_schema, 'Sample' AS target_schema,
-       concat('CREATE VIEW "', object_name, '" AS SELECT Employee_ID, "email", e.SALARY, x_salary FROM ', lower(object_name),
-              ' JOIN Employees e ON e.department_id = departments.Department_Id') AS ddl
+SELECT job_id, object_id, target_dialect, schema_name AS source_schema, 'Trade' AS target_schema,
+       concat('CREATE VIEW "', object_name, '" AS SELECT C_CustKey, "c_name", c.C_ACCTBAL, x_acctbal, s.ship Note FROM ', lower(object_name),
+              ' JOIN Customer c ON c.c_nationkey = nation.N_NationKey') AS ddl
 FROM {estate_objects} o WHERE object_type IN ('view', 'table')"""
-_TOKENS = r"""regexp_extract_all(v.ddl, '"[^"]*"|\w+|[^\w"]+')"""
+_TOKENS = r"""regexp_extract_all(v.ddl, '"[^"]*"|(?i:ship note)|\w+|[^\w"]+')"""
 
 
 @query("requote_identifiers", f"""

@@ -5,8 +5,8 @@ import random
 from tidemark.plans import risk
 from tidemark.plans.waves import apply_order, load_waves, waves
 
-OBJECTS = "job_id string, ord int, dialect string, object_type string, object_name string"
-COLS = "job_id string, dialect string, table_name string, native_type string"
+OBJECTS = "job_id string, ord int, dialect string, object_type string, object_name string, schema_name string"
+COLS = "job_id string, dialect string, table_name string, native_type string, schema_name string"
 
 
 def plan(spark, names, edges):
@@ -74,11 +74,11 @@ def test_waves_without_parents_in_scope(spark):
 
 def test_risk(spark):
     objects = spark.createDataFrame(
-        [("j", 0, "oracle", "table", "PLAIN"), ("j", 1, "oracle", "table", "RICH"), ("j", 2, "oracle", "procedure", "P"),
-         ("j", 3, "oracle", "view", "V"), ("j", 4, "oracle", "synonym", "S"), ("j", 5, "oracle", "foreign_key", "FK")], OBJECTS)
+        [("j", k, "oracle", kind, name, "s") for k, (kind, name) in enumerate(
+            [("table", "PLAIN"), ("table", "RICH"), ("procedure", "P"), ("view", "V"), ("synonym", "S"), ("foreign_key", "FK")])], OBJECTS)
     cols = spark.createDataFrame(
-        [("j", "oracle", "PLAIN", "VARCHAR2(10)"), ("j", "oracle", "RICH", "CLOB"), ("j", "oracle", "RICH", "NUMBER(10,2)"),
-         ("j", "oracle", "RICH", " blob (7)"), ("j", "oracle", "RICH", "clob"), ("j", "mysql", "PLAIN", "CLOB")], COLS)
+        [("j", *c, "s") for c in [("oracle", "PLAIN", "VARCHAR2(10)"), ("oracle", "RICH", "CLOB"), ("oracle", "RICH", "NUMBER(10,2)"),
+         ("oracle", "RICH", " blob (7)"), ("oracle", "RICH", "clob"), ("mysql", "PLAIN", "CLOB")]], COLS)
     got = {r["object_name"]: (r["risk_level"], r["reason"]) for r in risk.score_risk(objects, cols).collect()}
     assert got["PLAIN"] == ("low", None)
     assert got["RICH"][0] == "high" and got["RICH"][1].endswith(": BLOB, CLOB")
@@ -97,14 +97,18 @@ def test_overrides(spark):
     assert got[("p", "procedure")] == ("low", "old")
 
 
-def test_candidates_are_cut_per_job_before_the_shuffle(spark):
+def test_all_candidates_stay_and_come_in_batches(spark):
     register = spark.range(5000).selectExpr(
         "case when id < 4000 then 'hot' else cast(id % 10 as string) end as job_id", "id as ord", "cast(id as string) as object_name",
-        "'view' as object_type", "'medium' as risk_level", "'' as reason")
-    found = risk.refinement_candidates(register)
-    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
-    rows = found.filter("job_id = 'hot'").collect()
-    assert sorted(r["ord"] for r in rows) == list(range(30))
+        "'view' as object_type", "case when id % 2 = 0 then 'medium' else 'low' end as risk_level", "'' as reason")
+    rows = risk.refinement_candidates(register).filter("job_id = 'hot'").collect()
+    assert sorted((r["batch_no"], r["ord"]) for r in rows) == [(k // 30, 2 * k) for k in range(2000)]
+
+
+def test_risk_keeps_schemas_apart(spark):
+    objects = spark.createDataFrame([("j", 0, "oracle", "table", "T", "a"), ("j", 1, "oracle", "table", "T", "b")], OBJECTS)
+    cols = spark.createDataFrame([("j", "oracle", "T", "CLOB", "a"), ("j", "oracle", "T", "NUMBER", "b")], COLS)
+    assert {r["ord"]: r["risk_level"] for r in risk.score_risk(objects, cols).collect()} == {0: "high", 1: "low"}
 
 
 def test_manual_review_keeps_first_place(spark):

@@ -16,15 +16,28 @@ def trim_fraction(text: Column) -> Column:
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
+def _without_exponent(text: Column) -> Column:
+    """The digits of "1.25E-7" as plain decimal text, none lost and none rounded."""
+    pattern = r"^-?(\d)\.(\d+)E(-?\d+)$"
+    digits = F.concat(F.regexp_extract(text, pattern, 1), F.rtrim(F.regexp_extract(text, pattern, 2), F.lit("0")))
+    power = F.regexp_extract(text, pattern, 3).try_cast("int")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), "0")
+    fraction = F.substring(padded, power + 2, F.length(padded))
+    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.concat(sign, F.when(power >= 0, large).otherwise(small))
+
+
 def _number_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DecimalType):
         text = c.cast("string")
         return trim_fraction(text) if dtype.scale > 0 else text
     if isinstance(dtype, T.FractionalType):
         # Adding zero turns -0.0 into 0.0. Text without an exponent only needs its ".0" cut; the exact
-        # but slower decimal route is left for the few values printed with an exponent.
+        # slower route is left for the few values printed with an exponent.
         text = (c + F.lit(0).cast(dtype)).cast("string")
-        plain = trim_fraction(text.try_cast("decimal(38,18)").cast("string"))
+        plain = _without_exponent(text)
         cut = F.substring(text, F.lit(1), F.length(text) - 2)
         return F.coalesce(
             F.when(text.contains("E"), plain).when(text.endswith(".0"), cut).otherwise(text), text
@@ -54,7 +67,10 @@ def canonical(
         text = F.array_join(F.transform(c, lambda x: canonical(x, inner, null_as_empty)), ",")
     elif yes_no_as_flag and isinstance(dtype, T.StringType):
         text = F.when(c == "Y", "1").when(c == "N", "0").otherwise(c)
-    elif isinstance(dtype, (T.MapType, T.StructType, T.VariantType)):
+    elif isinstance(dtype, T.MapType):
+        # Entries in order of their keys, so that equal maps read alike.
+        text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))))
+    elif isinstance(dtype, (T.StructType, T.VariantType)):
         text = F.to_json(c)
     else:
         text = c.cast("string")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Keywords only Oracle knows, and the shape of a model's answer (group 3 is the confidence).
 ORACLE_NOISE = r"(?iU)\b(EDITIONABLE|NONEDITIONABLE|FORCE)\b\s*"
@@ -54,31 +51,47 @@ def remap_schema(ddl: Column, source: Column, target: Column, target_dialect: Co
     )
 
 
-def requote(text: Column, lowers: Column, names: Column) -> Column:
-    """Quote the given names where they stand bare in the text; longest name first.
+# A quoted name as a whole, a word, or what stands between words.
+TOKEN = r'(?U)"[^"]*"|\w+|[^\w"]+|"'
+
+
+def tokens(text: Column) -> Column:
+    """The text in pieces; joined they give the text again."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    Look-behind and word borders over a list of names that differs per row are beyond a column
-    expression, so this one step runs on Arrow batches. The function is nested so that it travels to
-    the executors by value and they need no copy of this package.
+
+def requote(text: Column, spelling: Column) -> Column:
+    """Quote the names of the map ``spelling`` (lower-case name to its spelling) where they stand bare in the text.
+
+    The text's tokens are looked up in the map, runs of several tokens ("Work Note" is three) before shorter ones, from left to
+    right. A name that is quoted already is a token of its own and stays.
     """
+    lengths = F.array_sort(
+        F.array_distinct(F.transform(F.map_keys(spelling), lambda n: F.size(tokens(n)))), lambda a, b: b - a
+    )
 
-    def in_batches(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import re
+    def hit(words: Column, at: Column, sizes: Column) -> Column:
+        """The longest name that begins at a token: (how many tokens, its spelling), or NULL."""
+        run = lambda n: F.lower(F.array_join(F.slice(words, at + 1, n), ""))
+        found = F.transform(sizes, lambda n: F.struct(n.alias("n"), F.element_at(spelling, run(n)).alias("name")))
+        return F.get(F.filter(found, lambda f: f["name"].isNotNull()), F.lit(0))
 
-        import pandas
+    def walk(words: Column, sizes: Column) -> Column:
+        hits = F.transform(words, lambda w, at: F.struct(w.alias("word"), hit(words, at, sizes).alias("hit")))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
 
-        def one(body, lower_names, spellings):
-            if body is None or lower_names is None or len(lower_names) == 0:
-                return body
-            spelling = dict(zip(lower_names, spellings))
-            longest_first = sorted(spelling, key=len, reverse=True)
-            bare = re.compile(r'(?<!")\b(?:' + "|".join(map(re.escape, longest_first)) + r')\b(?!")', re.IGNORECASE)
-            return bare.sub(lambda hit: '"' + spelling.get(hit.group(0).lower(), hit.group(0)) + '"', body)
+        def step(state: Column, token: Column) -> Column:
+            quoted = F.concat(F.lit('"'), token["hit"]["name"], F.lit('"'))
+            inside = state["skip"] > 0
+            added = F.when(inside, F.lit("")).when(token["hit"].isNotNull(), quoted).otherwise(token["word"])
+            skip = F.when(inside, state["skip"] - 1).when(token["hit"].isNotNull(), token["hit"]["n"] - 1).otherwise(0)
+            return F.struct(F.array_append(state["out"], added).alias("out"), skip.alias("skip"))
 
-        for bodies, lower_names, spellings in parts:
-            yield pandas.Series([one(*row) for row in zip(bodies, lower_names, spellings)], dtype=object)
+        return F.array_join(F.aggregate(hits, start, step)["out"], "")
 
-    return F.pandas_udf(in_batches, T.StringType())(text, lowers, names)
+    # Tokens and lengths are bound once, however often the walk refers to them.
+    bound = F.transform(F.array(F.struct(tokens(text).alias("t"), lengths.alias("n"))), lambda b: walk(b["t"], b["n"]))
+    return F.when(F.size(spelling) > 0, F.element_at(bound, 1)).otherwise(text)
 
 
 def confidence(answer: Column, pattern: str = ANSWER_PATTERN) -> Column:

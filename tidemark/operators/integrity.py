@@ -75,13 +75,15 @@ def referential_integrity(counts: DataFrame) -> DataFrame:
 
 
 def check_referential_integrity(spark: SparkSession, tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
-    """As above; a table or column that is not there makes the check ERROR instead of failing the report."""
+    """As above; any fault, in the plan or while it runs, makes the check ERROR instead of failing the report.
+
+    The check is worked out here; its one row is what comes back.
+    """
+    schema = "check string, status string, detail string"
     try:
-        return referential_integrity(orphan_counts(tables, fks))
+        return spark.createDataFrame([tuple(referential_integrity(orphan_counts(tables, fks)).first())], schema)
     except Exception as exc:
-        return spark.createDataFrame(
-            [("referential_integrity", "ERROR", str(exc))], "check string, status string, detail string"
-        )
+        return spark.createDataFrame([("referential_integrity", "ERROR", str(exc))], schema)
 
 
 def key_check(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -87,19 +87,31 @@ def reconcile_tables(
 ) -> DataFrame:
     """One row per table. ``status`` follows the row counts alone; ``data_match`` tells about contents.
 
-    Each side is scanned once for count and fingerprint together, and all tables run in one job.
+    Each side is scanned once for count and fingerprint together, and all tables run in one job. A table whose two sides do not
+    have the same columns is an ERROR row that tells why; the others are compared all the same.
     """
-    sides = []
+    sides, faults = [], []
     for name, pair in pairs.items():
-        for side, df in zip(("source", "target"), align_columns(*pair)):
+        try:
+            aligned = align_columns(*pair)
+        except ValueError as exc:
+            faults.append((name, ERROR, str(exc)))
+            continue
+        for side, df in zip(("source", "target"), aligned):
             wanted = [c.lower() for c in cols[name]] if cols and name in cols else None
             sides.append(
                 table_fingerprint(df, wanted, **flags).select(
                     F.lit(name).alias("table_name"), F.lit(side).alias("side"), "row_count", "fingerprint"
                 )
             )
-    wide = _sides_to_columns(union_all(sides), {"row_count": "row_count", "fingerprint": "checksum"})
-    return _judge(wide)
+    parts = []
+    if sides:
+        parts.append(_judge(_sides_to_columns(union_all(sides), {"row_count": "row_count", "fingerprint": "checksum"})))
+    if faults:
+        spark = next(iter(pairs.values()))[0].sparkSession
+        failed = spark.createDataFrame(faults, "table_name string, status string, checksum_note string")
+        parts.append(failed.withColumns({"row_count_match": F.lit(False), "data_match": F.lit(False)}))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def reconcile_table(name: str, src: DataFrame, tgt: DataFrame, **flags) -> DataFrame:
@@ -171,11 +183,17 @@ def mismatch_counters(results: DataFrame) -> DataFrame:
     )
 
 
+def _range_start(key: str, width: int) -> Column:
+    """First key of the range a key lies in; whole numbers throughout, so large keys keep their range."""
+    c = F.col(key)
+    return (c - F.pmod(c, F.lit(width))).cast("bigint")
+
+
 def range_fingerprints(src: DataFrame, tgt: DataFrame, key: str, width: int) -> DataFrame:
     """Fingerprint per key range of ``width`` on both sides; differing ranges are where to drill in."""
     left, right = align_columns(src, tgt)
     key = key.lower()
-    ranges = F.floor(F.col(key) / F.lit(width)).cast("bigint")
+    ranges = _range_start(key, width)
 
     def per_range(df: DataFrame, side: str) -> DataFrame:
         prints = group_fingerprints(df.withColumn("_range", ranges), ["_range"], df.columns)
@@ -191,7 +209,7 @@ def range_fingerprints(src: DataFrame, tgt: DataFrame, key: str, width: int) ->
         tall.groupBy("_range")
         .agg(*pick)
         .select(
-            (F.col("_range") * width).alias("range_start"),
+            F.col("_range").alias("range_start"),
             F.coalesce("row_count_source", F.lit(0)).alias("row_count_source"),
             F.coalesce("row_count_target", F.lit(0)).alias("row_count_target"),
             F.col("fingerprint_source").eqNullSafe(F.col("fingerprint_target")).alias("range_match"),
@@ -241,8 +259,12 @@ def drill_down(src: DataFrame, tgt: DataFrame, key: str, width: int) -> DataFram
     left, right = align_columns(src, tgt)
     key = key.lower()
     bad = range_fingerprints(src, tgt, key, width).filter(~F.col("range_match")).select(F.col("range_start").alias("_start"))
-    start = (F.floor(F.col(key) / F.lit(width)) * width).cast("bigint")
-    inside = lambda df: df.withColumn("_start", start).join(bad, "_start", "left_semi").drop("_start")
+    start = _range_start(key, width)
+
+    def inside(df: DataFrame) -> DataFrame:
+        # Rows whose key is NULL form a range of their own, so the join takes NULL as equal to NULL.
+        return df.join(bad, start.eqNullSafe(F.col("_start")), "left_semi")
+
     return row_diff(inside(left), inside(right), [key])
 
 

@@ -27,11 +27,13 @@ def requote_identifiers(objects: DataFrame, case_map: DataFrame, ddl: str = "ddl
     named = case_map.withColumn("_word", F.regexp_extract("lower_name", r"(?U)\w+", 0)).filter(F.col("_word") != "")
     found = (
         words.join(named, ["job_id", "_word"])
+        .groupBy(*key, "lower_name")
+        .agg(F.max("name").alias("name"))
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_set(F.struct("lower_name", "name"))).alias("_n"))
+        .agg(F.collect_list(F.struct("lower_name", "name")).alias("_n"))
     )
-    fixed = requote(F.col(ddl), F.transform("_n", lambda n: n["lower_name"]), F.transform("_n", lambda n: n["name"]))
-    return objects.join(found, key, "left").withColumn(ddl, fixed).drop("_n")
+    fixed = requote(F.col(ddl), F.map_from_entries("_n"))
+    return objects.join(found, key, "left").withColumn(ddl, F.when(F.col("_n").isNull(), F.col(ddl)).otherwise(fixed)).drop("_n")
 
 
 def clean_ddl(objects: DataFrame, case_map: DataFrame) -> DataFrame:

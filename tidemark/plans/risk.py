@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.native_types import base_type, is_risky
 
-# Object kinds of the plan row, risk per kind, valid levels, and how many objects are refined per job.
+# Object kinds of the plan row, risk per kind, valid levels, and how many objects are refined at a time.
 PLAN_TYPES = ("table", "view", "procedure", "function", "trigger")
 RISK_BY_TYPE = {"view": "medium", "foreign_key": "medium", "procedure": "high", "function": "high", "trigger": "high"}
 RISK_LEVELS = ("low", "medium", "high")
-MAX_CANDIDATES = 30
+BATCH_SIZE = 30
 TYPE_REASON = "columns use vendor-specific type(s) with no direct equivalent: "
 KIND_REASON = " definitions typically require manual translation review"
 
@@ -28,11 +28,12 @@ def score_risk(objects: DataFrame, columns: DataFrame) -> DataFrame:
     """Risk level and reason per object.
 
     A table is high when a column's type has no counterpart elsewhere, and names those types; other
-    objects follow their kind. ``columns`` is reduced to the risky ones before it meets the objects.
+    objects follow their kind. ``columns`` is reduced to the risky ones before it meets the objects. Both sides are
+    matched by schema too, so tables of the same name in two schemas have a risk each.
     """
     hits = (
         columns.filter(is_risky(F.col("dialect"), F.col("native_type")))
-        .groupBy("job_id", F.col("table_name").alias("object_name"))
+        .groupBy("job_id", "schema_name", F.col("table_name").alias("object_name"))
         .agg(F.array_join(F.sort_array(F.collect_set(F.upper(base_type(F.col("native_type"))))), ", ").alias("_hits"))
         .withColumn("object_type", F.lit("table"))
     )
@@ -42,23 +43,16 @@ def score_risk(objects: DataFrame, columns: DataFrame) -> DataFrame:
         F.coalesce(by_kind[kind], F.lit("medium"))
     )
     reason = F.when(kind == "table", F.concat(F.lit(TYPE_REASON), F.col("_hits"))).otherwise(F.concat(kind, F.lit(KIND_REASON)))
-    return objects.join(hits, ["job_id", "object_name", "object_type"], "left").select(
+    return objects.join(hits, ["job_id", "schema_name", "object_name", "object_type"], "left").select(
         "job_id", "ord", "object_name", "object_type", level.alias("risk_level"), reason.alias("reason")
     )
 
 
-def refinement_candidates(register: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """The first medium and high objects of each job, in catalogue order.
-
-    The rank filter lets Spark keep only ``limit`` rows per job in each task before the shuffle.
-    """
+def refinement_candidates(register: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """All medium and high objects of each job, in batches of ``size`` in catalogue order; batch 0 is reviewed first."""
     order = Window.partitionBy("job_id").orderBy("ord")
-    return (
-        register.filter(F.col("risk_level").isin("medium", "high"))
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= limit)
-        .drop("_n")
-    )
+    place = F.row_number().over(order) - 1
+    return register.filter(F.col("risk_level").isin("medium", "high")).withColumn("batch_no", F.floor(place / size).cast("int"))
 
 
 def refine_risk(register: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def bulk_load(
             arrived = count_target(name)
             return (job_id, name, wave, "SUCCESS", moved, arrived, time.monotonic() - start, None)
         except Exception as exc:
-            return (job_id, name, wave, "ERROR", None, None, None, str(exc)[:4000])
+            return (job_id, name, wave, "ERROR", None, None, None, str(exc))
 
     rows = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -28,7 +28,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     """A bucketed store as it is on disk, or nothing when it was never written."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        # Any other fault must not pass for an empty store: the next write would then lose what is there.
+        if "PATH_NOT_FOUND" not in (exc.getCondition() or ""):
+            raise
         return None
 
 

@@ -65,9 +65,16 @@ def high_water(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).alias("high_water"))
 
 
-def newer_rows(df: DataFrame, column: str, last) -> DataFrame:
-    """Rows beyond the last high-water mark; the filter is pushed down to the source."""
-    return df if last is None else df.filter(F.col(column) > F.lit(last))
+def newer_rows(df: DataFrame, column: str, last, keys: Sequence[str] = (), loaded: DataFrame | None = None) -> DataFrame:
+    """Rows at or beyond the last high-water mark; the filter is pushed down to the source.
+
+    Rows that arrive later with the very mark are found too. ``loaded`` holds the ``keys`` that were loaded at the mark before;
+    these rows are left out.
+    """
+    if last is None:
+        return df
+    rows = df.filter(F.col(column) >= F.lit(last))
+    return rows if loaded is None else rows.join(loaded.select(*keys), list(keys), "left_anti")
 
 
 def incremental_load(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
