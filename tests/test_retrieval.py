@@ -82,6 +82,18 @@ def test_zero_vectors_and_other_sizes_are_not_found(spark):
     assert pairs(retrieval.retrieve_batch(df, asked, 5)) == {(2, 2)}
 
 
+def test_text_ids_and_odd_vectors_in_every_search(spark):
+    rows = [(f"e{i}", v.tolist()) for i, v in enumerate(VECTORS[:60])] + [("null", None), ("short", [1.0, 2.0]), ("zero", [0.0] * 16), ("void", [])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    exact = retrieval.retrieve_batch(df, df, 3)
+    assert {r["query_id"] for r in exact.collect()} == {f"e{i}" for i in range(60)} | {"short"}
+    assigned, centres = retrieval.build_lists(df, 4)
+    found = retrieval.retrieve_lists(assigned, centres, df, 3, probe=4)
+    assert pairs(found) == {p for p in pairs(exact) if p[0] != "short"}
+    free = df.withColumns({side: F.lit(None).cast("string") for side in ("source_dialect", "target_dialect")})
+    assert [r["id"] for r in retrieval.retrieve(free, VECTORS[5].tolist(), 1).collect()] == ["e5"]
+
+
 def test_context(spark):
     queries = spark.createDataFrame([(1,), (2,)], "query_id bigint")
     hits = spark.createDataFrame([(1, 5, 2), (1, 6, 1)], "query_id bigint, id bigint, rank int")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import scratch_path
 
-# Size of a stored embedding, text when nothing was found, most bytes of query vectors sent to each task.
+# Size of a stored embedding, text when nothing was found, most bytes of query vectors a task holds at a time.
 EMBEDDING_SIZE = 1024
 NO_CONTEXT = "(no knowledge-base context retrieved)"
 QUERY_BLOCK_BYTES = 64 << 20
@@ -34,8 +35,12 @@ def retrieve(
     so they may be broadcast) then pick up the entries' other columns.
     """
     fitting = for_pair(corpus, source, target).filter(F.size("embedding") == len(query)).select("id", "embedding")
-    asked = [{"id": 0, "embedding": [float(v) for v in query]}]
-    hits = _top_k(fitting.mapInArrow(_score_batches(asked, k, None), _HIT), k).select("id", "similarity")
+    vector = F.lit([float(v) for v in query])
+    dot = F.aggregate(F.zip_with("embedding", vector, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    length = math.sqrt(sum(float(v) ** 2 for v in query))
+    scored = fitting.withColumn("similarity", F.round(dot / F.nullif(size, F.lit(0.0)) / F.lit(length or None), DIGITS))
+    hits = scored.filter("similarity is not null").orderBy(F.desc("similarity"), "id").limit(k).select("id", "similarity")
     return corpus.join(F.broadcast(hits), "id").orderBy(F.desc("similarity"), "id")
 
 
@@ -45,112 +50,114 @@ def _top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, columns: Sequence[str], limit: int) -> Iterator[list]:
-    """Query rows in blocks of at most ``limit`` bytes of vectors, one block on the driver at a time."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    total = stats["n"] * (stats["d"] or 0) * 8
-    parts = max(1, -(-total // max(1, limit // 2)))
-    for i in range(parts):
-        block = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
-        rows = block.select(*columns).collect()
-        if rows:
-            yield rows
+def _score_batches(blocks, k: int, hit_types: tuple):
+    """A function over Arrow batches of the corpus: every batch meets every block of queries and keeps the k best per query.
 
+    ``blocks`` is called in the task and yields Arrow batches of queries. Vectors are compared with those of their own size;
+    zero vectors and NULLs are found by no query. The closure travels to the executors by value.
+    """
+    def best(at: list, scores, k: int, names: list, usable):
+        """(query, entry, similarity) of the k best entries of each query, by rounded score and then id."""
+        import numpy as np
 
-def _score_batches(rows: list, k: int, probes: dict[int, list[int]] | None):
-    """A function over Arrow batches of the corpus that keeps the k best entries per query and batch.
+        out = []
+        for column, name in enumerate(names):
+            s = scores[:, column]
+            mine = np.flatnonzero(usable[:, column])
+            if len(mine) > 4 * k:
+                mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
+            out += [(name, at[p], s[p]) for p in sorted(mine, key=lambda p: (-s[p], at[p]))[:k]]
+        return out
 
-    All state is in the closure, so it travels to the executors by value (Spark broadcasts it once it
-    is larger than a megabyte).
-    """
-    import numpy as np
+    def groups(batch):
+        """Rows of a batch by the size of their vector: (size, row numbers, unit vectors)."""
+        import numpy as np
+
+        column = batch.column("embedding")
+        sizes = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()])
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            flat = column.take(pa_array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            vectors = flat.reshape(len(rows), size)
+            lengths = np.sqrt((vectors**2).sum(axis=1))
+            good = lengths > 0
+            yield int(size), rows[good], vectors[good] / lengths[good][:, None]
+
+    def pa_array(rows):
+        import pyarrow as pa
+
+        return pa.array(rows)
+
+    def fits(entries, rows, queries, asked):
+        """Which entries a query may see: those of its dialects or agnostic ones, and those of the lists it probes."""
+        import numpy as np
 
-    ids = np.array([r["id"] for r in rows])
-    vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    lengths = np.linalg.norm(vectors, axis=1)
-    unit = vectors / np.where(lengths > 0, lengths, 1)[:, None]
-    pairs = [(r["source_dialect"], r["target_dialect"]) for r in rows] if "source_dialect" in rows[0] else None
+        ok = np.ones((len(rows), len(asked)), bool)
+        for side in ("source_dialect", "target_dialect"):
+            if side in entries.schema.names and side in queries.schema.names:
+                have = np.array(entries.column(side).to_pylist(), object)[rows]
+                want = np.array(queries.column(side).to_pylist(), object)[asked]
+                ok &= np.equal(have[:, None], None) | (have[:, None] == want[None, :])
+        if "lists" in queries.schema.names:
+            have = np.array(entries.column("list_id").to_pylist())[rows]
+            for column, lists in enumerate(queries.column("lists").take(pa_array(asked)).to_pylist()):
+                ok[:, column] &= np.isin(have, lists)
+        return ok
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def best(at, q_index, scores):
-            """Rows of the k best of each query, by rounded score and then id."""
-            out = []
-            for column, qi in enumerate(q_index):
-                if lengths[qi] == 0:
-                    continue
-                s = scores[:, column]
-                usable = ~np.isnan(s)
-                if usable.sum() > 4 * k:
-                    floor = np.partition(s[usable], -k)[-k]
-                    usable &= np.nan_to_num(s, nan=-2.0) >= floor
-                mine = np.flatnonzero(usable)
-                pick = mine[np.lexsort((at[mine], -s[mine]))[:k]]
-                out += [(ids[qi], at[p], s[p]) for p in pick]
-            return out
-
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            at = batch.column("id").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding")
-            m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(m, axis=1)
-            m = m / np.where(size > 0, size, np.nan)[:, None]
-            found = []
-            if probes is not None:
-                lists = batch.column("list_id").to_numpy(zero_copy_only=False)
-                for number in np.unique(lists):
-                    q_index = probes.get(int(number), [])
-                    if q_index:
-                        rows_in = np.flatnonzero(lists == number)
-                        found += best(at[rows_in], q_index, np.round(m[rows_in] @ unit[q_index].T, DIGITS))
-            else:
-                scores = np.round(m @ unit.T, DIGITS)
-                if pairs is not None:
-                    src, tgt = batch.column("source_dialect").to_pylist(), batch.column("target_dialect").to_pylist()
-                    for (a, b) in set(zip(src, tgt)):
-                        inside = np.array([(x, y) == (a, b) for x, y in zip(src, tgt)])
-                        barred = [(a is not None and a != qa) or (b is not None and b != qb) for qa, qb in pairs]
-                        scores[np.ix_(inside, barred)] = np.nan
-                found = best(at, range(len(ids)), scores)
+            ids, mine, found = batch.column("id").to_pylist(), list(groups(batch)), []
+            for queries in blocks():
+                names = queries.column("id").to_pylist()
+                for size, asked, units in groups(queries):
+                    for other, rows, vectors in mine:
+                        if other == size and len(rows) and len(asked):
+                            scores = np.round(vectors @ units.T, DIGITS)
+                            found += best([ids[r] for r in rows], scores, k, [names[a] for a in asked], fits(batch, rows, queries, asked))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))],
-                names=["query_id", "id", "similarity"],
+                [pa.array([f[i] for f in found], t) for i, t in enumerate((*hit_types, pa.float64()))], names=["query_id", "id", "similarity"]
             )
 
     return run
 
 
-_HIT = "query_id bigint, id bigint, similarity double"
+def _query_blocks(folder: str, limit: int, width: int):
+    """Reads a folder of queries in blocks of at most ``limit`` bytes of vectors; for use in tasks."""
+
+    def blocks():
+        from pyarrow import dataset, fs
+
+        system, place = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        rows = max(1, limit // (8 * max(1, width)))
+        for batch in dataset.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=rows):
+            if batch.num_rows:
+                yield batch
+
+    return blocks
 
 
-def _search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int, probe_of=None) -> DataFrame:
-    """Score every block of queries against the corpus where it lies.
+def _search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """Score all queries against the corpus where it lies.
 
-    The corpus is neither shuffled nor collected. A block of queries is bounded in bytes; more queries
-    than fit one block take further passes, whose (few) hits are written to the shared folder.
+    The queries are written to the shared folder once; every task reads them from there, block by block, next to the rows of the
+    corpus it holds. Neither side passes through the driver and the corpus is not shuffled.
     """
-    columns = [c for c in ("id", "embedding", "source_dialect", "target_dialect") if c in queries.columns and c in corpus.columns]
-    spark, path, found = corpus.sparkSession, None, None
-    for rows in _blocks(queries, columns, block_bytes):
-        probes = probe_of(rows) if probe_of else None
-        near = corpus.filter(F.size("embedding") == len(rows[0]["embedding"]))
-        if probes is not None:
-            near = near.filter(F.col("list_id").isin([int(p) for p in probes]))
-        hits = _top_k(near.mapInArrow(_score_batches(rows, k, probes), _HIT), k)
-        if found is None:
-            found = hits
-            continue
-        if path is None:
-            path = scratch_path(spark, "hits")
-            found.write.mode("append").parquet(path)
-        hits.write.mode("append").parquet(path)
-    if found is None:
-        return spark.createDataFrame([], _HIT + ", rank int")
-    return found if path is None else spark.read.parquet(path)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns = [c for c in ("id", "embedding", "source_dialect", "target_dialect", "lists") if c in queries.columns]
+    folder = scratch_path(corpus.sparkSession, "queries")
+    queries.filter(F.size("embedding") > 0).select(*columns).write.parquet(folder)
+    stored = corpus.sparkSession.read.schema(queries.select(*columns).schema).parquet(folder)
+    width = stored.agg(F.max(F.size("embedding"))).first()[0] or 1
+    kinds = (queries.schema["id"].dataType, corpus.schema["id"].dataType)
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double"
+    score = _score_batches(_query_blocks(folder, block_bytes, width), k, tuple(map(to_arrow_type, kinds)))
+    return _top_k(corpus.filter(F.size("embedding") > 0).mapInArrow(score, schema), k)
 
 
 def retrieve_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
@@ -159,27 +166,28 @@ def retrieve_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, block_byte
     Both inputs need (id, embedding). When both carry source_dialect and target_dialect, an entry only
     counts for queries of its pair or when it is agnostic.
     """
-    wanted = [c for c in ("id", "embedding", "source_dialect", "target_dialect") if c in corpus.columns]
-    usable = corpus.filter(F.col("embedding").isNotNull()).select(*wanted)
-    return _search(usable, queries, k, block_bytes)
+    both = [c for c in ("id", "embedding", "source_dialect", "target_dialect") if c in corpus.columns and c in queries.columns]
+    return _search(corpus.select(*both), queries.select(*both), k, block_bytes)
 
 
-def build_lists(corpus: DataFrame, lists: int, seed: int = 7, training_rows: int = 1_000_000) -> tuple[DataFrame, list]:
-    """Assign every vector to the nearest of ``lists`` centres; the centres are learned on a sample.
+def build_lists(corpus: DataFrame, lists: int, seed: int = 7) -> tuple[DataFrame, list]:
+    """Assign every vector to the nearest of ``lists`` centres, learned from all vectors.
 
-    Only the training of the centres samples; every row of the corpus is assigned and searched.
+    Vectors that are NULL, zero or of another size than most are left out: they have no place among the others.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    raw = corpus.select("id", "embedding").withColumn("raw", array_to_vector("embedding"))
+    whole = corpus.select("id", "embedding").filter(F.size("embedding") > 0)
+    common = whole.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    filled = F.exists("embedding", lambda x: x != 0)
+    whole = whole.filter((F.size("embedding") == F.lit(common["n"] if common else 0)) & filled)
+    raw = whole.withColumn("raw", array_to_vector("embedding"))
     rows = Normalizer(inputCol="raw", outputCol="features").transform(raw).drop("raw")
-    total = corpus.count()
-    sample = rows.select("features") if total <= training_rows else rows.select("features").sample(training_rows / total, seed)
-    sample = sample.persist()
-    model = KMeans(k=lists, seed=seed, maxIter=10, initSteps=1).fit(sample)
-    sample.unpersist()
+    train = rows.select("features").persist()
+    model = KMeans(k=lists, seed=seed, maxIter=10, initSteps=1).fit(train)
+    train.unpersist()
     assigned = model.transform(rows).select("id", "embedding", F.col("prediction").alias("list_id"))
     return assigned, [c.tolist() for c in model.clusterCenters()]
 
@@ -190,23 +198,24 @@ def retrieve_lists(
     """Approximate top-k: only the ``probe`` lists nearest to each query are searched, exactly.
 
     Probing all lists gives the exact answer. A list that holds much of the corpus is searched where
-    its rows lie, so it does not end up in one task.
+    its rows lie, so it does not end up in one task. The centres (``lists`` vectors) go to the tasks with the function.
     """
 
-    def probe_of(rows):
+    def nearest(batches):
         import numpy as np
+        import pyarrow as pa
 
         c = np.array(centres)
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        q = q / np.where(np.linalg.norm(q, axis=1) > 0, np.linalg.norm(q, axis=1), 1)[:, None]
-        gaps = (q**2).sum(1)[:, None] - 2 * q @ c.T + (c**2).sum(1)[None, :]
-        out: dict[int, list[int]] = {}
-        for qi, nearest in enumerate(np.argsort(gaps, axis=1)[:, :probe]):
-            for number in nearest:
-                out.setdefault(int(number), []).append(qi)
-        return out
+        for batch in batches:
+            q = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            q = q / np.maximum(np.sqrt((q**2).sum(axis=1)), 1e-300)[:, None]
+            gaps = (c**2).sum(axis=1)[None, :] - 2 * q @ c.T
+            chosen = np.argsort(gaps, axis=1, kind="stable")[:, :probe]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen.tolist(), pa.list_(pa.int32()))], names=["id", "embedding", "lists"])
 
-    return _search(assigned, queries, k, block_bytes, probe_of)
+    asked = queries.select("id", "embedding").filter(F.size("embedding") == F.lit(len(centres[0])))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+    return _search(assigned, asked.mapInArrow(nearest, kinds + ", lists array<int>"), k, block_bytes)
 
 
 def write_lists(assigned: DataFrame, path: str) -> None:
@@ -234,7 +243,7 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def object_embeddings(catalog: DataFrame, vectors: DataFrame, size: int = EMBEDDING_SIZE) -> DataFrame:
-    """Objects with their vector; vectors of another size count as failed, and failed ones are left out."""
+    """Objects with their vector; vectors of another size count as failed, and objects whose vector failed have none."""
     good = vectors.filter(F.size("embedding") == size).select("job_id", "object_type", "object_name", "embedding")
     return catalog.join(good, ["job_id", "object_type", "object_name"], "left")
 
