@@ -12,11 +12,10 @@ equal to the weighted Jaccard similarity.
 
 Steps: equal word sequences collapse to one node first, so groups of exact copies weigh nothing. Nodes that share a band meet in a
 bucket. In each bucket the smallest node is the pivot and all others are compared with it, by their multisets. Links join classes
-(components, by alternating large and small stars). Nodes that are not in one class with their bucket's pivot stay, meet again with those of a
-like size, and are compared with four pivots, then sixteen and so on, until every node is in one class with a pivot or a pivot itself. A
-bucket so costs its size times the number of mutually unlike texts in it, never all its pairs, and no member is dropped. A link of 0.8
-shares a band with a probability of 0.9994, one of 0.85 with 0.999997; of two linked texts that meet in one bucket alone, each in a class with
-another pivot of it, the link goes unseen.
+(components, by alternating large and small stars). Nodes that are not in one class with their bucket's pivot meet again with those of a like size,
+slot by slot in tasks of bounded size, which compare what is not in one class yet and give out links alone. No member is dropped. A link of 0.8
+shares a band with a probability of 0.9994, one of 0.85 with 0.999997; of two linked texts that meet in one bucket alone, one in a class with its
+pivot and the other not, the link goes unseen.
 
 Rows: a text without words (null too) is a class of its own; rows with equal ids each get a row; rows with null ids are classed by text, and a
 class's id is its smallest non-null doc_id; an empty table gives an empty result; further columns are not read.
@@ -36,6 +35,7 @@ from tidemark.llm.common import coded, hashes, mixed, only, slices, stored, wind
 WIDTH = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 8, 40
+BLOCK = 512
 
 SIGNED = "doc_id long, hi long, lo long, size long, bands array<long>"
 
@@ -233,6 +233,52 @@ def components(links: DataFrame) -> DataFrame:
         print_of = now
 
 
+def links_within(nodes: list[int], roots: list[int], data: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links that join what is not joined yet among the bags of one block."""
+    bags_of = [np.frombuffer(x, "<u4") for x in data]
+    sizes = np.array([len(b) for b in bags_of])
+    starts = np.cumsum(sizes) - sizes
+    whole = np.concatenate(bags_of)
+    # The k-th copy of a shingle is an item of its own, so that a multiset is a set of items.
+    copy = np.concatenate([np.arange(len(b)) - np.searchsorted(b, b, side="left") for b in bags_of])
+    items = np.unique((copy.astype(np.uint64) << np.uint64(32)) | whole, return_inverse=True)[1]
+    group = np.unique(np.array(roots), return_inverse=True)[1]
+    out = []
+    marked = np.zeros(int(items.max()) + 1, np.int64)
+    for k in range(len(nodes) - 1):
+        others = group[k + 1 :] != group[k]
+        if not others.any():
+            continue
+        mine = items[starts[k] : starts[k] + sizes[k]]
+        marked[mine] = 1
+        shared = np.add.reduceat(marked[items[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1])
+        marked[mine] = 0
+        linked = others & (shared >= threshold * (sizes[k] + sizes[k + 1 :] - shared))
+        for at in np.flatnonzero(linked) + k + 1:
+            if group[at] != group[k]:
+                out.append((nodes[at], nodes[k]))
+                group[group == group[at]] = group[k]
+    return out
+
+
+def block_links(members: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """Links between members (bucket, node, root) of one bucket and different classes: u, v.
+
+    A bucket is cut into slots of about ``BLOCK`` members; two slots at a time meet in a task, so all pairs of a bucket are seen, no task holds more
+    than two slots, and only links come out.
+    """
+    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"), F.min("root").alias("a"), F.max("root").alias("b"))
+    placed = members.join(counts.filter("a < b").select("bucket", "slots"), "bucket").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+    spread = placed.select("bucket", "node", "root", "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
+    blocks = spread.select("bucket", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "node", "root").join(bag, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = links_within(*(table.column(c).to_pylist() for c in ("node", "root", "bag")), threshold) if table.num_rows > 1 else []
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return blocks.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
 def rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
     """``met`` (bucket, node, pivot) with the roots of both nodes' classes."""
     at_node = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -251,37 +297,22 @@ def near_duplicate_classes(
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    roots = bag = None
-    slots = 1
-    while True:
-        # Each bucket has up to ``slots`` pivots, the smallest node of each slot.
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
-        pivots = members.groupBy("bucket", slot).agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-        if slots == 1:
-            pivots = pivots.filter("pivot < last")
-        met = stored(members.join(pivots.select("bucket", "pivot"), "bucket").select("bucket", "node", "pivot"), "met")
-        # Texts that are in one class by now need no further link.
-        apart = met.filter("node <> pivot") if roots is None else rooted(met, roots).filter("root <> pivot_root")
-        pairs = apart.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        if bag is None:
-            wanted = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
-            bag = stored(bag_table(docs, nodes.drop("bands", "size").join(wanted, "node", "left_semi"), width), "bags")
-        links = stored(verified(pairs, nodes, bag, threshold).filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")), "links")
-        if roots is not None:
-            links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
+    met = stored(members.join(pivots.select("bucket", "pivot"), "bucket").select("bucket", "node", "pivot"), "met")
+    pairs = stored(met.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    roots = None
+    if not pairs.isEmpty():
+        wanted = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
+        bag = stored(bag_table(docs, nodes.drop("bands", "size").join(wanted, "node", "left_semi"), width), "bags")
+        links = verified(pairs, nodes, bag, threshold).filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         roots = components(links)
-        rest = rooted(met, roots).groupBy("bucket", "node").agg(F.max(F.col("root") == F.col("pivot_root")).alias("settled"))
-        members = rest.filter("not settled").select("node", "bucket")
-        if slots == 1:
-            # Linked bags differ by a fifth in size at most: those that are left meet in the bucket's classes of like sizes, which overlap.
-            step = F.floor(F.log("size") / F.lit(max(-math.log(threshold), 1e-3) * 1.001)).cast("long")
-            sized = members.join(nodes.select("node", "size"), "node")
-            members = sized.select("node", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket"))
-        members = stored(members, "members")
-        slots *= 4
+        rest = rooted(met, roots).filter("root <> pivot_root").select("bucket", "node", "root")
+        # Linked bags differ by a fifth in size at most: those that are left meet in the bucket's classes of like sizes, which overlap.
+        step = F.floor(F.log("size") / F.lit(max(-math.log(threshold), 1e-3) * 1.001)).cast("long")
+        sized = rest.join(nodes.select("node", "size"), "node")
+        classes = F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")
+        more = block_links(stored(sized.select("node", "root", classes), "members"), bag, threshold)
+        roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     if roots is None:
         reps = nodes.select("hi", "lo", F.col("rep").alias("class_id"))
     else:
