@@ -104,3 +104,44 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     assert nd.near_duplicate_classes(no_docs(spark)).collect() == []
     assert nd.without_near_duplicates(no_docs(spark)).collect() == []
+
+
+def chain(base, links, edits, draw, tag):
+    """Texts each made of the one before by so many new words, one after the other."""
+    out = [list(base)]
+    for k in range(links):
+        words = list(out[-1])
+        for at in draw.sample(range(0, len(words), 5), edits):
+            words[at + draw.randrange(5)] = f"{tag}{k}x{at}"
+        out.append(words)
+    return [" ".join(words) for words in out]
+
+
+def test_links_within_the_class_of_a_pivot_are_seen(spark):
+    # Hundreds of copies in chains whose links lie at 0.80 to 0.85; they branch off a group of close copies, so pivots of that group head most buckets.
+    draw = random.Random(11)
+    base = prose(3, 300, 5000).split()
+    rows = chain(base, 300, 1, random.Random(1), "c")[1:40]
+    for branch in range(24):
+        rows += chain(rows[branch].split(), 12, 6, draw, f"b{branch}y")[1:]
+    rows = [(k, text) for k, text in enumerate(draw.sample(rows, len(rows)))]
+    assert classes(spark, rows) == brute(rows)
+
+
+def test_all_links_that_share_a_band_are_found(spark):
+    # Few bands, so that many linked texts meet in one bucket alone.
+    draw = random.Random(13)
+    rows = []
+    for k in range(6):
+        rows += chain(prose(k, 150, 5000).split(), 60, 3, draw, f"g{k}y")
+    rows = list(enumerate(draw.sample(rows, len(rows))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["bands"]) for r in nd.signatures(docs, rows=3, bands=4).collect()}
+    bags, root = [bag(text) for _, text in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and keys[a] & keys[b] and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    found = {tuple(r) for r in nd.near_duplicate_classes(docs, rows=3, bands=4).collect()}
+    assert found == set(enumerate(root))

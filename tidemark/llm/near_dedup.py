@@ -12,10 +12,9 @@ equal to the weighted Jaccard similarity.
 
 Steps: equal word sequences collapse to one node first, so groups of exact copies weigh nothing. Nodes that share a band meet in a
 bucket. In each bucket the smallest node is the pivot and all others are compared with it, by their multisets. Links join classes
-(components, by alternating large and small stars). Nodes that are not in one class with their bucket's pivot meet again with those of a like size,
-slot by slot in tasks of bounded size, which compare what is not in one class yet and give out links alone. No member is dropped. A link of 0.8
-shares a band with a probability of 0.9994, one of 0.85 with 0.999997; of two linked texts that meet in one bucket alone, one in a class with its
-pivot and the other not, the link goes unseen.
+(components, by alternating large and small stars). In buckets that hold more than one class all members, the pivot's class too, meet again with those
+of a like size, slot by slot in tasks of bounded size, which compare what is not in one class yet and give out links alone. So every two nodes
+that share a band end in one class or have been compared. A link of 0.8 shares a band with a probability of 0.9999.
 
 Rows: a text without words (null too) is a class of its own; rows with equal ids each get a row; rows with null ids are classed by text, and a
 class's id is its smallest non-null doc_id; an empty table gives an empty result; further columns are not read.
@@ -34,7 +33,7 @@ from tidemark.llm.common import coded, hashes, mixed, only, slices, stored, wind
 
 WIDTH = 5
 THRESHOLD = 0.8
-ROWS, BANDS = 8, 40
+ROWS, BANDS = 6, 30
 BLOCK = 512
 
 SIGNED = "doc_id long, hi long, lo long, size long, bands array<long>"
@@ -248,6 +247,8 @@ def links_within(nodes: list[int], roots: list[int], data: list[bytes], threshol
     for k in range(len(nodes) - 1):
         others = group[k + 1 :] != group[k]
         if not others.any():
+            if (group[k + 1 :] == group[k + 1]).all():
+                break
             continue
         mine = items[starts[k] : starts[k] + sizes[k]]
         marked[mine] = 1
@@ -264,28 +265,30 @@ def links_within(nodes: list[int], roots: list[int], data: list[bytes], threshol
 def block_links(members: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Links between members (bucket, node, root) of one bucket and different classes: u, v.
 
-    A bucket is cut into slots of about ``BLOCK`` members; two slots at a time meet in a task, so all pairs of a bucket are seen, no task holds more
-    than two slots, and only links come out.
+    The largest class of a bucket and the members outside it are cut into slots of about ``BLOCK`` members each. Two slots at a time meet in a task; slots
+    of the largest class do not meet each other, as their members are joined. So all pairs of unlike classes are seen, no task holds more than two slots,
+    a class of any size is sent as often as there are slots outside it, and only links come out.
     """
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"), F.min("root").alias("a"), F.max("root").alias("b"))
-    placed = members.join(counts.filter("a < b").select("bucket", "slots"), "bucket").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
-    spread = placed.select("bucket", "node", "root", "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
-    blocks = spread.select("bucket", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "node", "root").join(bag, "node")
+    slots = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed_buckets = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).filter("k > 1")
+    plan = mixed_buckets.select("bucket", F.col("top.root").alias("top"), slots(F.col("top.n")).alias("inner"), slots(F.col("all") - F.col("top.n")).alias("outer"))
+    placed = members.join(plan, "bucket").withColumn("slot", F.xxhash64("node"))
+    # Slots outside the largest class come first.
+    slot = F.when(F.col("root") == F.col("top"), F.col("outer") + F.pmod("slot", F.col("inner"))).otherwise(F.pmod("slot", F.col("outer"))).cast("int")
+    last = F.col("outer") - 1 + F.when(F.col("root") == F.col("top"), 0).otherwise(F.col("inner"))
+    spread = placed.select("bucket", "node", "root", slot.alias("slot"), F.explode(F.sequence(F.lit(0), last)).alias("other")).filter("slot <> other")
+    blocks = spread.select("bucket", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "root").join(bag, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        found = links_within(*(table.column(c).to_pylist() for c in ("node", "root", "bag")), threshold) if table.num_rows > 1 else []
+        order = np.argsort(table.column("slot").to_numpy(), kind="stable")
+        columns = [table.column(c).to_pylist() for c in ("node", "root", "bag")]
+        found = links_within(*([c[k] for k in order] for c in columns), threshold) if table.num_rows > 1 else []
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return blocks.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
-def rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``met`` (bucket, node, pivot) with the roots of both nodes' classes."""
-    at_node = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    return at_node.join(at_pivot, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
-
-
 def near_duplicate_classes(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -306,10 +309,11 @@ def near_duplicate_classes(
         bag = stored(bag_table(docs, nodes.drop("bands", "size").join(wanted, "node", "left_semi"), width), "bags")
         links = verified(pairs, nodes, bag, threshold).filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         roots = components(links)
-        rest = rooted(met, roots).filter("root <> pivot_root").select("bucket", "node", "root")
-        # Linked bags differ by a fifth in size at most: those that are left meet in the bucket's classes of like sizes, which overlap.
+        classed = met.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = classed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
+        # Linked bags differ by a fifth in size at most: the members of a bucket of several classes meet in its classes of like sizes, which overlap.
         step = F.floor(F.log("size") / F.lit(max(-math.log(threshold), 1e-3) * 1.001)).cast("long")
-        sized = rest.join(nodes.select("node", "size"), "node")
+        sized = classed.join(several, "bucket").join(nodes.select("node", "size"), "node")
         classes = F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")
         more = block_links(stored(sized.select("node", "root", classes), "members"), bag, threshold)
         roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
