@@ -83,6 +83,17 @@ def test_host_boilerplate_goes_where_mark_up_says_nothing(spark):
     assert main_text.main_texts(pages.limit(0)).collect() == []
 
 
+def test_boilerplate_on_three_pages_of_a_large_host_goes(spark):
+    rows = [(k, f"http://big.com/{k}", f"<p>{prose(k, 12, 10**6)}</p>" + (f"<div>{prose(k // 3, 12, 10**6, 'b')}</div>" if k < 30 else "")) for k in range(4500)]
+    # Two pages are too few, and another host's pages do not count.
+    rows += [(9000, "http://big.com/x", f"<p>{prose(1, 12, 10**6, 'y')}</p><div>{prose(2, 12, 10**6, 'y')}</div>"), (9001, "http://big.com/y", f"<div>{prose(2, 12, 10**6, 'y')}</div>")]
+    rows += [(9002, "http://small.com/", f"<div>{prose(2, 12, 10**6, 'y')}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = {r["page_id"]: r["text"] for r in main_text.main_texts(pages).collect()}
+    assert len(texts) == len(rows) and all(texts[k] == prose(k, 12, 10**6) for k in range(4500))
+    assert texts[9000] == f"{prose(1, 12, 10**6, 'y')}\n{prose(2, 12, 10**6, 'y')}"
+
+
 def base_scores(rows):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
