@@ -219,3 +219,21 @@ def test_languages_of_odd_rows(spark):
 def test_statistics_take_slices():
     texts = pa.array(["skip me", "One two!\nOne two!", None, ""])
     assert np.array_equal(quality_classifier.statistics(texts.slice(1)), quality_classifier.statistics(pa.array(["One two!\nOne two!", None, ""])))
+
+
+def test_labels_are_those_of_the_document_in_the_path(spark):
+    urls = {1: "http://a.com/en/3?x=2", 2: "https://b.com/de/1#top", 3: "http://c.com/en/2/more", 4: "http://d.com/1", 5: "http://e.com/en/1x", 6: None, 7: f"http://f.com/en/{10**25}"}
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    labels = spark.createDataFrame([(1, True), (2, None), (3, False), (None, True)], "doc_id long, bad boolean")
+    assert sorted(map(tuple, url_filter.page_outcomes(pages, labels).collect())) == [(1, False), (2, True), (3, None)]
+
+
+def test_the_query_takes_labels_by_path(spark, tmp_path):
+    from tidemark.llm import queries
+
+    # Documents 100 and up are bad and lie on one host; page_id numbers other documents.
+    rows = [(k, f"http://{'bad' if k < 50 else 'good'}.com/en/{k + 100 if k < 50 else k - 50}", "") for k in range(100)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, int(k < 100), 0) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op5_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {k: "block" if k < 50 else "allow" for k in range(100)}

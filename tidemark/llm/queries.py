@@ -48,10 +48,9 @@ def op6_quality_rules(spark, sf_dir):
 
 @query("op5_url_filter", url_filter.oracle_sql(URL_RULES))
 def op5_url_filter(spark, sf_dir):
-    # The labels' ids number the crawl's documents as page_id numbers its pages: a page's outcome is the label of its number.
-    labels = table(spark, sf_dir, "labels")
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
+    return url_filter.judge_urls(pages, url_filter.page_outcomes(pages, labels.select("doc_id", bad.alias("bad"))), URL_RULES)
 
 
 @query("op7_language_id")

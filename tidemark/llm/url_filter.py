@@ -81,6 +81,16 @@ def prior_strength(n: int, spread: float, noise: float, each: float) -> float:
     return min(max(noise / n / between - 1, 1.0), 1e6) if between > 0 else 1e6
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, bad of every page whose document has a label (doc_id, bad): the document's number follows the path's first folder (``/en/5462``).
+
+    A path without such a number, or with one of more than 18 digits, has no document.
+    """
+    number = F.regexp_extract(path_of(F.col("url")), r"^/[^/]+/(\d{1,18})(?:/|$)", 1)
+    numbered = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    return numbered.join(labels.select("doc_id", "bad"), "doc_id").select("page_id", "bad")
+
+
 def judge_urls(
     pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], bad_rate: float = BAD_RATE, z: float = Z
 ) -> DataFrame:
