@@ -69,3 +69,16 @@ def test_requoting_takes_the_longest_name_and_leaves_quoted_text(spark):
     found = translation.requote_identifiers(objects, names)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["object_id"]: r["ddl"] for r in found.collect()} == {0: 'pick "Work Note", "Work", "work note", "Work" NOTES', 1: None, 2: "work"}
+
+
+def test_profiles_compare_least_and_greatest_values_exactly(spark):
+    from tidemark.operators.reconcile import profile_compare
+
+    def side(n, d, day, at, text):
+        return spark.sql(f"SELECT {n}L AS n, cast({d} AS decimal(38,2)) AS d, date'{day}' AS day, timestamp_ntz'{at}' AS at, '{text}' AS text, 1.0D AS same, array(1) AS list, cast(NULL AS int) AS none")
+
+    one = side(2**53, 2**53, "2024-01-01", "2024-01-01 10:00:00", "abc")
+    other = side(2**53 + 1, 2**53 + 1, "2024-01-02", "2024-01-01 10:00:01", "abd")
+    flags = {r["column_name"]: r["profile_match"] for r in profile_compare(one, other).collect()}
+    assert flags == {"n": False, "d": False, "day": False, "at": False, "text": False, "same": True, "list": True, "none": True}
+    assert all(r["profile_match"] for r in profile_compare(one, one).collect())

@@ -7,13 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.canonical import row_bits, row_text
+from tidemark.functions.canonical import canonical, row_bits, row_text
 from tidemark.operators.fingerprint import group_fingerprints, table_fingerprint
 
 # Statuses of the validation report.
 MATCH, MISMATCH, ERROR = "MATCH", "MISMATCH", "ERROR"
 OBJECT_OK = ("PRESENT", "PENDING_MANUAL_REVIEW")
 DIGEST_WIDTH = 16
+# Types whose least and greatest values are compared; nested ones and variants have no order or none that a database shares.
+PLAIN = (T.NumericType, T.StringType, T.CharType, T.VarcharType, T.BooleanType, T.BinaryType, T.DatetimeType)
 NOTE = "Row counts match but the contents differ; check collation and precision before trusting the copy"
 
 
@@ -269,10 +271,14 @@ def drill_down(src: DataFrame, tgt: DataFrame, key: str, width: int) -> DataFram
 
 
 def _profile(df: DataFrame, side: str) -> DataFrame:
-    """Per column: rows, NULLs, least and greatest value, in one pass over the table."""
+    """Per column: rows, NULLs, least and greatest value, in one pass over the table.
+
+    ``min_value`` and ``max_value`` show numbers as doubles; ``min_exact`` and ``max_exact`` are the canonical texts of the column's own type.
+    """
     out = []
     for name, field in zip(df.columns, df.schema):
         c = F.col(f"`{name}`")
+        exact = (lambda f, x=c, t=field.dataType: F.when(f(x).isNotNull(), canonical(f(x), t)) if isinstance(t, PLAIN) else F.lit(None).cast("string"))
         text = (lambda x, t=field.dataType: x.cast("double") if isinstance(t, T.NumericType) else F.lit(None).cast("double"))
         out.append(
             F.struct(
@@ -281,6 +287,8 @@ def _profile(df: DataFrame, side: str) -> DataFrame:
                 F.count_if(c.isNull()).alias("nulls"),
                 F.min(text(c)).alias("min_value"),
                 F.max(text(c)).alias("max_value"),
+                exact(F.min).alias("min_exact"),
+                exact(F.max).alias("max_exact"),
                 F.min(F.length(c.cast("string"))).cast("bigint").alias("min_length"),
                 F.max(F.length(c.cast("string"))).cast("bigint").alias("max_length"),
             )
@@ -289,14 +297,19 @@ def _profile(df: DataFrame, side: str) -> DataFrame:
 
 
 def profile_compare(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """Column profiles of both sides next to each other, with a match flag."""
+    """Column profiles of both sides next to each other, with a match flag.
+
+    The flag compares least and greatest values exactly, also where the shown doubles are equal or NULL; nested and variant columns have none.
+    """
     left, right = align_columns(src, tgt)
     tall = _profile(left, "source").unionByName(_profile(right, "target"))
     facts = ("rows", "nulls", "min_value", "max_value", "min_length", "max_length")
+    exact = ("min_exact", "max_exact")
     pick = [
-        F.max(F.when(F.col("side") == side, F.col(f))).alias(f"{f}_{side}") for f in facts for side in ("source", "target")
+        F.max(F.when(F.col("side") == side, F.col(f))).alias(f"{f}_{side}") for f in (*facts, *exact) for side in ("source", "target")
     ]
     same = reduce(
-        lambda a, b: a & b, [F.col(f"{f}_source").eqNullSafe(F.col(f"{f}_target")) for f in facts]
+        lambda a, b: a & b, [F.col(f"{f}_source").eqNullSafe(F.col(f"{f}_target")) for f in (*facts, *exact)]
     )
-    return tall.groupBy("column_name").agg(*pick).withColumn("profile_match", same)
+    whole = tall.groupBy("column_name").agg(*pick).withColumn("profile_match", same)
+    return whole.drop(*[f"{f}_{side}" for f in exact for side in ("source", "target")])
