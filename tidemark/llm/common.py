@@ -55,6 +55,18 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             start = stop
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed value, for a row of a table."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     r"""Words ``[^\x20\x09-\x0D]+`` of each text: all words, and where each text's begin (one more entry at the end)."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import class_lm, decontamination, language_id, main_text, near_dedup, packing, quality_classifier, quality_rules, token_files, url_filter
+from tidemark.llm import class_lm, decontamination, language_id, main_text, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_files, url_filter, vector_codes
 from tidemark.llm.registry import query
 
 PIECES = "piece_bpe_32k.model"
@@ -72,3 +72,13 @@ def op10_class_lm(spark, sf_dir):
 @query("op8_main_text")
 def op8_main_text(spark, sf_dir):
     return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op11_repeated_spans")
+def op11_repeated_spans(spark, sf_dir):
+    return repeated_spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", vector_codes.oracle_sql())
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
