@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import class_lm, decontamination, language_id, main_text, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_files, url_filter, vector_codes
+from tidemark.llm import class_lm, decontamination, language_id, main_text, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, repeated_spans, token_files, url_filter, vector_codes
 from tidemark.llm.registry import query
 
 PIECES = "piece_bpe_32k.model"
@@ -79,6 +79,11 @@ def op11_repeated_spans(spark, sf_dir):
     return repeated_spans.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op12_prefix_trie", prefix_trie.oracle_sql())
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_vector_codes", vector_codes.oracle_sql())
 def op13_vector_codes(spark, sf_dir):
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
