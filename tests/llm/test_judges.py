@@ -237,3 +237,11 @@ def test_the_query_takes_labels_by_path(spark, tmp_path):
     spark.createDataFrame([(k, int(k < 100), 0) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["page_id"]: r["verdict"] for r in queries.op5_url_filter(spark, str(tmp_path)).collect()}
     assert got == {k: "block" if k < 50 else "allow" for k in range(100)}
+
+
+def test_a_dozen_labels_of_one_domain_block_nothing(spark):
+    # Twelve labelled pages, eight bad, on hosts of one domain: the suffix is uncertain, and no host below it is surer.
+    rows = [(k, f"http://h{k % 6}.site.com/en/{k}") for k in range(12)] + [(100, "http://new.site.com/en/1"), (101, "http://other.com/")]
+    outcomes = spark.createDataFrame([(k, k not in (0, 4, 7, 11)) for k in range(12)], "page_id long, bad boolean")
+    found = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), outcomes, [])
+    assert {r["verdict"] for r in found.collect()} == {"allow"}

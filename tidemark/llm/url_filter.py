@@ -2,7 +2,8 @@
 
 Reputation is empirical Bayes in three steps: labelled page outcomes are counted by host, and each level's rates are shrunk by a beta prior towards
 the rate of the level above: suffix towards all pages, registered domain towards its suffix, host towards its domain. The strength of a
-level's prior is fitted to the spread of its rates around their parents by moments. A host is blocked if its posterior bad rate, less ``z`` standard
+level's prior is fitted to the spread of its rates around their parents by moments. A posterior's variance is that of its own beta distribution and, by the
+prior's share in it, the parent's, so a host with few labels is never surer than its domain. A host is blocked if its posterior bad rate, less ``z`` standard
 deviations, exceeds ``bad_rate``; a host without labelled pages takes the posterior of its domain, then of its suffix.
 
 The registered domain is the last two labels of a host, or three where the last two are a public suffix of two labels (``SECOND_LEVEL`` before a
@@ -61,16 +62,17 @@ def rule_column(rules: list[tuple[str, str]], host: Column, path: Column) -> Col
     return F.array_max(F.array(none, *fits))
 
 
-def level(counts: DataFrame, key: str, parents: DataFrame | None, parent: str, overall: float, shrunk: str) -> DataFrame:
-    """Posterior of one level: key, ``shrunk`` (its mean) and total (its pseudo-count). ``counts``: key, parent, n, bad."""
-    joined = counts.withColumn("m", F.lit(overall)) if parents is None else counts.join(parents, parent)
+def level(counts: DataFrame, key: str, parents: DataFrame | None, parent: str, overall: tuple[float, float]) -> DataFrame:
+    """Posterior of one level: key, mean, var. ``counts``: key, parent, n, bad; ``parents``: parent, m, v (mean and variance), or else ``overall``'s."""
+    joined = counts.withColumn("m", F.lit(overall[0])).withColumn("v", F.lit(overall[1])) if parents is None else counts.join(parents, parent)
     sums = joined.agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2)).alias("spread"),
         F.sum(F.col("n") * F.col("m") * (1 - F.col("m"))).alias("noise"), F.sum(F.col("m") * (1 - F.col("m"))).alias("each"),
     ).first()
     strength = F.lit(prior_strength(sums["n"] or 0, sums["spread"] or 0.0, sums["noise"] or 0.0, sums["each"] or 0.0))
     total = F.col("n") + strength
-    return joined.select(key, ((F.col("bad") + strength * F.col("m")) / total).alias(shrunk), total.alias("total"))
+    mean = (F.col("bad") + strength * F.col("m")) / total
+    return joined.select(key, mean.alias("mean"), (mean * (1 - mean) / (total + 1) + F.pow(strength / total, 2) * F.col("v")).alias("var"))
 
 
 def prior_strength(n: int, spread: float, noise: float, each: float) -> float:
@@ -104,16 +106,16 @@ def judge_urls(
     )
     hosts = stored(hosts, "hosts")
     sums = hosts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    overall = sums["bad"] / sums["n"] if sums["n"] else 0.0
+    mean = sums["bad"] / sums["n"] if sums["n"] else 0.0
+    overall = (mean, mean * (1 - mean) / (sums["n"] + 1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    by_suffix = level(suffixes, "suffix", None, "", overall, "mean")
-    by_domain = level(domains, "domain", by_suffix.select("suffix", F.col("mean").alias("m")), "suffix", overall, "mean")
-    by_host = level(hosts, "host", by_domain.select("domain", F.col("mean").alias("m")), "domain", overall, "mean")
+    by_suffix = level(suffixes, "suffix", None, "", overall)
+    by_domain = level(domains, "domain", by_suffix.select("suffix", F.col("mean").alias("m"), F.col("var").alias("v")), "suffix", overall)
+    by_host = level(hosts, "host", by_domain.select("domain", F.col("mean").alias("m"), F.col("var").alias("v")), "domain", overall)
 
     def blocked(posterior: DataFrame, key: str) -> DataFrame:
-        mean, total = F.col("mean"), F.col("total")
-        return posterior.select(key, (mean - z * F.sqrt(mean * (1 - mean) / (total + 1)) > bad_rate).alias(f"{key}_blocked"))
+        return posterior.select(key, (F.col("mean") - z * F.sqrt("var") > bad_rate).alias(f"{key}_blocked"))
 
     fitting = rule_column(rules, F.col("host"), F.col("path"))
     out = seen.withColumn("fit", F.when(F.col("host") != "", fitting)).withColumn("domain", domain_of(F.col("host")))
@@ -136,7 +138,11 @@ def oracle_sql(rules: list[tuple[str, str]], bad_rate: float = BAD_RATE, z: floa
             THEN least(greatest(sum(n * m * (1 - m)) / (sum(n * pow(bad / n - m, 2)) - sum(m * (1 - m))) - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM {source}"""
 
     def lower(alias: str) -> str:
-        return f"{alias}.mean - {z} * sqrt({alias}.mean * (1 - {alias}.mean) / ({alias}.total + 1)) > {bad_rate}"
+        return f"{alias}.mean - {z} * sqrt({alias}.var) > {bad_rate}"
+
+    def posterior(key: str, source: str, strengths: str) -> str:
+        return f"""SELECT {key}, mean, mean * (1 - mean) / (n + s + 1) + pow(s / (n + s), 2) * v AS var
+            FROM (SELECT *, (bad + s * m) / (n + s) AS mean FROM {source}, {strengths})"""
 
     return rf"""
     WITH u AS (
@@ -148,21 +154,22 @@ def oracle_sql(rules: list[tuple[str, str]], bad_rate: float = BAD_RATE, z: floa
     ), s AS (
         SELECT *, regexp_replace(domain, '^[^.]*\.?', '') AS suffix FROM d
     ), labelled AS (
-        SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS bad
-        FROM labels GROUP BY doc_id
+        SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS bad
+        FROM (SELECT page_id, regexp_extract(path, '^/[^/]+/(\d{{1,18}})(?:/|$)', 1) AS number FROM u) JOIN labels
+            ON number <> '' AND doc_id = try_cast(number AS BIGINT) GROUP BY page_id
     ), hosts AS (
         SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad) AS bad
         FROM s JOIN labelled USING (page_id) WHERE host <> '' AND bad IS NOT NULL GROUP BY host
-    ), overall AS (SELECT coalesce(sum(bad) / sum(n), 0) AS m FROM hosts),
-    c1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM overall) AS m FROM hosts GROUP BY suffix),
+    ), overall AS (SELECT m, m * (1 - m) / (n + 1) AS v FROM (SELECT coalesce(sum(bad) / sum(n), 0) AS m, coalesce(sum(n), 0) AS n FROM hosts)),
+    c1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM overall) AS m, (SELECT v FROM overall) AS v FROM hosts GROUP BY suffix),
     s1 AS ({strength("c1")}),
-    p1 AS (SELECT suffix, (bad + s * m) / (n + s) AS mean, n + s AS total FROM c1, s1),
-    c2 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(p1.mean) AS m FROM hosts JOIN p1 USING (suffix) GROUP BY domain),
+    p1 AS ({posterior("suffix", "c1", "s1")}),
+    c2 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(p1.mean) AS m, any_value(p1.var) AS v FROM hosts JOIN p1 USING (suffix) GROUP BY domain),
     s2 AS ({strength("c2")}),
-    p2 AS (SELECT domain, (bad + s * m) / (n + s) AS mean, n + s AS total FROM c2, s2),
-    c3 AS (SELECT host, n, bad, p2.mean AS m FROM hosts JOIN p2 USING (domain)),
+    p2 AS ({posterior("domain", "c2", "s2")}),
+    c3 AS (SELECT host, n, bad, p2.mean AS m, p2.var AS v FROM hosts JOIN p2 USING (domain)),
     s3 AS ({strength("c3")}),
-    p3 AS (SELECT host, (bad + s * m) / (n + s) AS mean, n + s AS total FROM c3, s3),
+    p3 AS ({posterior("host", "c3", "s3")}),
     rules(v, rule, name, start) AS (VALUES {values}),
     fits AS (
         SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
