@@ -17,11 +17,11 @@ further columns are not read.
 from __future__ import annotations
 
 import heapq
+import uuid
 import string
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,22 +148,23 @@ def shared_seeds(docs: DataFrame, seed_bits: np.ndarray, width: int) -> DataFram
             low = prints & mask
             hit = np.flatnonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
             owner = np.searchsorted(at, hit, side="right") - 1
-            texts = np.unique(owner)
-            keys = np.zeros(batch.num_rows, np.int64)
-            for k in texts:
-                keys[k] = np.uint64(xxhash.xxh3_64_intdigest(batch.column("text")[int(k)].as_py().encode("utf-8", "surrogatepass"))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()).take(pa.array(owner)), pa.array(keys[owner]), pa.array(hit - at[owner], pa.int64()), pa.array(prints[hit].view(np.int64))],
+                [batch.column("doc_id").cast(pa.int64()).take(pa.array(owner)), batch.column("text_key").take(pa.array(owner)), pa.array(hit - at[owner], pa.int64()), pa.array(prints[hit].view(np.int64))],
                 names=["doc_id", "text_key", "dpos", "seed"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, text_key long, dpos long, seed long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, dpos long, seed long")
 
 
-def leaks(
+def leaks(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
+    """Pairs of documents and the items they hold: doc_id, item_id, item_tokens, n_tiles, longest, tiled, coverage."""
+    return leaks_by_text(docs, items, **params).drop("text_key")
+
+
+def leaks_by_text(
     docs: DataFrame, items: DataFrame, id_column: str = "item_id", min_match: int = MIN_MATCH, coverage: float = COVERAGE
 ) -> DataFrame:
-    """Pairs of documents and the items they hold: doc_id, item_id, item_tokens, n_tiles, longest, tiled, coverage."""
+    """The pairs of ``leaks`` with the text's hash, which tells documents with null or equal ids apart."""
     seed_table = stored(seeds(items, id_column, min_match), "seeds")
     found = shared_seeds(docs, bitmap(seed_table), min_match)
     points = found.join(seed_table, "seed").groupBy("doc_id", "text_key", "item_id", "item_tokens").agg(
@@ -174,23 +175,25 @@ def leaks(
 
     def judge(batches):
         for batch in batches:
-            rows = {k: [] for k in ("doc_id", "item_id", "item_tokens", "n_tiles", "longest", "tiled", "coverage")}
-            for r in batch.select(["doc_id", "item_id", "item_tokens", "points"]).to_pylist():
+            rows = {k: [] for k in ("doc_id", "text_key", "item_id", "item_tokens", "n_tiles", "longest", "tiled", "coverage")}
+            for r in batch.select(["doc_id", "text_key", "item_id", "item_tokens", "points"]).to_pylist():
                 found = tiles([(p["dpos"], p["ipos"]) for p in r["points"]], min_match)
                 tiled = sum(t[2] for t in found)
                 if tiled >= coverage * r["item_tokens"]:
-                    values = (r["doc_id"], r["item_id"], r["item_tokens"], len(found), max(t[2] for t in found), tiled, tiled / r["item_tokens"])
+                    values = (r["doc_id"], r["text_key"], r["item_id"], r["item_tokens"], len(found), max(t[2] for t in found), tiled, tiled / r["item_tokens"])
                     for name, value in zip(rows, values, strict=True):
                         rows[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, pa.float64() if k == "coverage" else pa.int64()) for k, v in rows.items()], names=list(rows)
             )
 
-    schema = "doc_id long, item_id long, item_tokens long, n_tiles long, longest long, tiled long, coverage double"
+    schema = "doc_id long, text_key long, item_id long, item_tokens long, n_tiles long, longest long, tiled long, coverage double"
     return points.mapInArrow(judge, schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """``docs`` without those that hold an item."""
-    bad = leaks(docs, items, **params).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaks")), "left_anti")
+    """``docs`` without those that hold an item; of documents with null or equal ids only those whose text holds one go."""
+    tag = f"_{uuid.uuid4().hex}_"
+    bad = leaks_by_text(docs, items, **params).select(F.col("doc_id").alias(f"{tag}id"), F.col("text_key").alias(f"{tag}text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{tag}id")) & (F.xxhash64("text") == F.col(f"{tag}text"))
+    return docs.join(bad, same, "left_anti")

@@ -23,6 +23,7 @@ class's id is its smallest non-null doc_id; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 30
 BLOCK = 512
 
-SIGNED = "doc_id long, hi long, lo long, size long, bands array<long>"
+SIGNED = "doc_id long, text_key long, hi long, lo long, size long, bands array<long>"
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +131,10 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, digest of the word sequence (null without words) and band keys of every document."""
+    """doc_id, the text's hash, digest of the word sequence (null without words) and band keys of every document."""
 
     def sign(batches):
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             grams, at, hi, lo = shingles(batch.column("text"), width)
             texts = batch.num_rows
             filled = np.diff(at) > 0
@@ -144,15 +145,16 @@ def signatures(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_key"),
                     pa.array(hi.view(np.int64), mask=~filled),
                     pa.array(lo.view(np.int64), mask=~filled),
                     pa.array(np.diff(at), pa.int64()),
                     lists,
                 ],
-                names=["doc_id", "hi", "lo", "size", "bands"],
+                names=["doc_id", "text_key", "hi", "lo", "size", "bands"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(sign, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, SIGNED)
 
 
 def bag_table(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -162,7 +164,7 @@ def bag_table(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFram
     """
 
     def gather(batches):
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             grams, at, hi, lo = shingles(batch.column("text"), width)
             same = (hi.view(np.int64) == batch.column("hi").to_numpy(zero_copy_only=False)) & (lo.view(np.int64) == batch.column("lo").to_numpy(zero_copy_only=False))
             found = np.flatnonzero(same)
@@ -289,10 +291,15 @@ def block_links(members: DataFrame, bag: DataFrame, threshold: float) -> DataFra
     return blocks.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicate_classes(
+def near_duplicate_classes(docs: DataFrame, **params) -> DataFrame:
+    """One row for each document: doc_id and class_id, the smallest doc_id of the documents it is a copy or near copy of."""
+    return classed(docs, **params).select("doc_id", "class_id")
+
+
+def classed(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
-    """One row for each document: doc_id and class_id, the smallest doc_id of the documents it is a copy or near copy of."""
+    """doc_id, text_key, class_id and root (null without words) of every document; classes without any id have roots of their own too."""
     signed = stored(signatures(docs, width, rows, bands), "signed")
     nodes = stored(
         signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands"))
@@ -318,16 +325,29 @@ def near_duplicate_classes(
         more = block_links(stored(sized.select("node", "root", classes), "members"), bag, threshold)
         roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     if roots is None:
-        reps = nodes.select("hi", "lo", F.col("rep").alias("class_id"))
+        reps = nodes.select("hi", "lo", F.col("rep").alias("class_id"), F.col("node").alias("root"))
     else:
         whole = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-        reps = whole.join(least, "root").select("hi", "lo", "class_id")
-    joined = signed.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"], "left")
-    return joined.select("doc_id", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        reps = whole.join(least, "root").select("hi", "lo", "class_id", "root")
+    joined = signed.select("doc_id", "text_key", "hi", "lo").join(reps, ["hi", "lo"], "left")
+    return joined.select("doc_id", "text_key", "root", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def without_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each class; equal rows count once."""
-    kept = near_duplicate_classes(docs, **params).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each class: that of the smallest doc_id (null ids last), then of the smallest text hash.
+
+    Texts without words are a class each. Of rows with equal ids and texts one stays, chosen by a hash of all its columns.
+    """
+    tag = f"_{uuid.uuid4().hex}_"
+    rows = stored(classed(docs, **params).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("k")
+    kept = rows.filter("root is not null").groupBy("root").agg(first).select("k.doc_id", "k.text_key", "k.n").union(rows.filter("root is null").select("doc_id", "text_key", "n"))
+    kept = kept.select(F.col("doc_id").alias(f"{tag}id"), F.col("text_key").alias(f"{tag}text"), F.col("n").alias(f"{tag}n"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{tag}id")) & (F.xxhash64("text") == F.col(f"{tag}text"))
+    found = docs.join(kept, same)
+    columns = [F.col(c) for c in docs.columns]
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    least = F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("row")
+    repeated = found.filter(F.col(f"{tag}n") > 1).groupBy(f"{tag}id", f"{tag}text").agg(least).select("row.*")
+    return found.filter(F.col(f"{tag}n") == 1).select(*columns).union(repeated)
