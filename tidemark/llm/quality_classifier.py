@@ -137,12 +137,11 @@ def rows_of(column: pa.Array) -> np.ndarray:
 def normal_equations(train: DataFrame, features: Features) -> np.ndarray:
     """Summed equations of each of the two folds: (2, width, width + 1), the last column for the labels. ``train``: fold, x, y."""
     width = 1 + STATISTICS + len(features.phases)
-    held = train.sparkSession.sparkContext.broadcast(features)
 
     def add(batches):
         sums = np.zeros((2, width, width + 1))
         for batch in batches:
-            z = held.value.of(rows_of(batch.column("x")))
+            z = features.of(rows_of(batch.column("x")))
             y = batch.column("y").to_numpy(zero_copy_only=False)
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             for fold in (0, 1):
@@ -211,28 +210,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     equations = normal_equations(train, features)
     # Fold k is scored by the weights of the other fold.
     crossed = np.stack([ridge(equations[1]), ridge(equations[0])])
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((features, crossed, ridge(equations.sum(axis=0))))
+    weights = ridge(equations.sum(axis=0))
 
     def bins(batches):
         for batch in batches:
-            kind, weights, _ = held.value
-            z = kind.of(rows_of(batch.column("x")))
-            raw = (z * weights[batch.column("fold").to_numpy(zero_copy_only=False)]).sum(axis=1)
+            z = features.of(rows_of(batch.column("x")))
+            raw = (z * crossed[batch.column("fold").to_numpy(zero_copy_only=False)]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(bin_of(raw), pa.int64()), batch.column("y")], names=["bin", "y"])
 
     good, count = np.zeros(BINS), np.zeros(BINS)
     for r in train.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect():
         good[r["bin"]], count[r["bin"]] = r["good"], r["n"]
-    curve = spark.sparkContext.broadcast(monotone(good, count))
+    curve = monotone(good, count)
 
     def score(batches):
         for batch in batches:
-            kind, _, weights = held.value
-            raw = (kind.of(rows_of(batch.column("x"))) * weights).sum(axis=1)
+            raw = (features.of(rows_of(batch.column("x"))) * weights).sum(axis=1)
             # Between bins along the line, so that the order of raw scores is kept where the curve rises.
             place = np.clip((raw - LOW) / (HIGH - LOW) * BINS - 0.5, 0, BINS - 1)
-            values = np.interp(place, np.arange(BINS), curve.value)
+            values = np.interp(place, np.arange(BINS), curve)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array((values >= 0.5).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
