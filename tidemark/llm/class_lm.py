@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import coded, hashes, id_hash, only, packed, slices, stored, unpacked, words_of
+from tidemark.llm.common import coded, hashes, id_hash, only, packed, slices, small_batches, stored, unpacked, words_of
 
 CLASSES = 32
 ENDINGS = 64
-MIN_SHARE = 3e-5
+MIN_SHARE = 1e-5
 ROUNDS = 3
 PULL = 5.0
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -235,7 +235,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
     Learns from the documents whose crc32(doc_id) mod 7 is not 2. ``base_score`` is the add-one unigram's log10 probability of the text,
     ``score`` the class model's.
     """
-    docs = only(docs, "doc_id", "text").select("doc_id", (id_hash() % 7 == 2).alias("held_out"), "text")
+    docs = only(small_batches(docs), "doc_id", "text").select("doc_id", (id_hash() % 7 == 2).alias("held_out"), "text")
     chunks = stored(encode_chunks(docs), "lm-chunks")
     training = docs.filter("not held_out").count()
     tokens = (chunks.agg(F.sum("n").alias("n")).first()["n"] or 0) + training
@@ -294,6 +294,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
                 names=["doc_id", "held_out", "n_known", "base", "logs", "units"],
             )
             blobs.append(packed(batch))
+        pa.default_memory_pool().release_unused()
         return pa.table({"docs": pa.array(blobs, pa.binary())})
 
     texts = chunks.filter("docs is not null").select("chunk", "docs")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_path
 
 SLICE_BYTES = 16 << 20
+BATCH_ROWS = 1000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -46,8 +47,40 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
 
 
+def small_batches(docs: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``docs``, whose rows go to Python tasks in batches of at most ``rows`` from now on: a batch is copied several times on its way.
+
+    This sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` of the session, unless it is smaller. Tasks gather what they need with ``slices``.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each hold about ``limit`` bytes; one longer text is a slice of its own."""
+    """Join and cut batches so that the texts of each hold about ``limit`` bytes; one longer text is a slice of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for piece, more in pieces(batches, text, limit):
+        if held and size + more > limit:
+            yield joined(held)
+            held, size = [], 0
+            # What the last slice needed goes back to the system.
+            pa.default_memory_pool().release_unused()
+        held.append(piece)
+        size += more
+    if held:
+        yield joined(held)
+    pa.default_memory_pool().release_unused()
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, int]]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -57,7 +90,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         while start < len(sizes):
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            yield batch.slice(start, stop - start), int(ends[stop - 1] - before)
             start = stop
 
 

@@ -22,10 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_hash, only, slices, stored, words_of
+from tidemark.llm.common import id_hash, only, slices, small_batches, stored, words_of
 
 MARK = "▁"
 RUN = 32
+LATTICE = 8_000
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -174,7 +175,7 @@ def word_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
     number = {name: k for k, name in enumerate(languages)}
 
     def count(batches):
-        for batch in slices(batches, limit=32 << 20):
+        for batch in slices(batches, limit=12 << 20):
             words, codes, bounds = lowered(batch.column("text"))
             langs = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             keys = codes.astype(np.int64) * len(number) + np.repeat(langs, np.diff(bounds))
@@ -199,7 +200,7 @@ class Model:
 
 def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> Model:
     """Fit on (text, lang) rows with a language."""
-    docs = docs.select("text", "lang").filter("lang is not null and text is not null")
+    docs = small_batches(docs).select("text", "lang").filter("lang is not null and text is not null")
     shares = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(shares)
     pieces = Pieces(read_pieces(model_path))
@@ -208,16 +209,14 @@ def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> Model:
     if not languages:
         return Model([], np.zeros(0), probability, pieces)
     words = stored(word_counts(docs, languages), "language-words")
-    spark = docs.sparkSession
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast((pieces, probability))
 
-        def expect(batches, held=held):
-            lexicon, now = held.value
+        # Functions carry the model by value, so executors need no copy of this package.
+        def expect(batches, lexicon=pieces, now=probability):
             total = np.zeros_like(now)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 50_000):
-                    part = batch.slice(lo, 50_000)
+                for lo in range(0, batch.num_rows, LATTICE):
+                    part = batch.slice(lo, LATTICE)
                     coded = part.column("word").dictionary_encode()
                     counts = np.zeros((len(coded.dictionary), now.shape[1]))
                     np.add.at(counts, (coded.indices.to_numpy(), part.column("lang").to_numpy()), part.column("n").to_numpy())
@@ -230,7 +229,6 @@ def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> Model:
             counts[r["cell"]] = r["n"]
         counts = counts.reshape(pieces.size, count) + SMOOTHING
         probability = counts / counts.sum(axis=0)
-        held.unpersist()
     total = np.array([shares[x] for x in languages], float)
     return Model(languages, total / total.sum(), probability, pieces)
 
@@ -242,7 +240,7 @@ def scored(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     if not model.languages or not letters.any():
         return [UNKNOWN] * n, np.zeros(n)
     words, codes, bounds = lowered(texts)
-    logs = np.concatenate([Lattice(words[k : k + 50_000], model.pieces).log_probability(model.probability) for k in range(0, len(words), 50_000)])
+    logs = np.concatenate([Lattice(words[k : k + LATTICE], model.pieces).log_probability(model.probability) for k in range(0, len(words), LATTICE)])
     owner = np.repeat(np.arange(n), np.diff(bounds))
     total = np.stack([np.bincount(owner, weights=logs[codes, k], minlength=n) for k in range(logs.shape[1])], axis=1) + np.log(model.shares)
     best = total.argmax(axis=1)
@@ -252,12 +250,11 @@ def scored(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score in place of text; the other columns stay. One of the columns is ``text``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "text"]
 
     def score(batches):
-        for batch in slices(batches):
-            names, scores = scored(batch.column("text"), held.value)
+        for batch in slices(batches, limit=8 << 20):
+            names, scores = scored(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = docs.select(*[F.col(c) for c in kept], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -275,12 +272,10 @@ def identify(docs: DataFrame, model_path: str) -> DataFrame:
 def recognised(docs: DataFrame, model_path: str, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without texts that have no letter or whose likeliest language has a posterior under ``min_score``."""
     model = train(docs.filter(id_hash() % 5 != 0), model_path)
-    held = docs.sparkSession.sparkContext.broadcast((model, min_score))
 
     def keep(batches):
-        for batch in slices(batches):
-            judge, least = held.value
-            names, scores = scored(batch.column("text"), judge)
-            yield batch.filter(pa.array([name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)], pa.bool_()))
+        for batch in slices(batches, limit=8 << 20):
+            names, scores = scored(batch.column("text"), model)
+            yield batch.filter(pa.array([name != UNKNOWN and s >= min_score for name, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import coded, hashes, mixed, only, slices, stored, window_hashes, words_of
+from tidemark.llm.common import coded, hashes, mixed, only, slices, small_batches, stored, window_hashes, words_of
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -300,7 +300,7 @@ def classed(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
     """doc_id, text_key, class_id and root (null without words) of every document; classes without any id have roots of their own too."""
-    signed = stored(signatures(docs, width, rows, bands), "signed")
+    signed = stored(signatures(small_batches(docs), width, rows, bands), "signed")
     nodes = stored(
         signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()),

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, only, packed, slices, stored, unpacked
+from tidemark.llm.common import discard, only, packed, slices, small_batches, stored, unpacked
 from tidemark.session import scratch_path
 
 LENGTH = 200
@@ -198,22 +198,19 @@ def leaders(docs: DataFrame, length: int) -> DataFrame:
 
     def send(batches):
         task = TaskContext.get().partitionId()
-        number = 0
-        for batch in batches:
-            for part in slices([batch], limit=SLICE):
-                name = task << 24 | number
-                number += 1
-                texts = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text")], names=["doc_id", "text"])
-                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["texts"]), pa.array([name]), pa.array([packed(texts)], pa.binary()), *nothing], names=["kind", "slice", "texts", "leader", "context", "proof", "n"]
-                )
-                keys = distinct_keys([(g.leader, g.context, g.proof) for g in groups_of(*bytes_of(part.column("text")), length)])
-                size = len(keys[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["groups"] * size, pa.string()), pa.array(np.full(size, name)), pa.nulls(size, pa.binary()), *keys],
-                    names=["kind", "slice", "texts", "leader", "context", "proof", "n"],
-                )
+        for number, part in enumerate(slices(batches, limit=SLICE)):
+            name = task << 24 | number
+            texts = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text")], names=["doc_id", "text"])
+            nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["texts"]), pa.array([name]), pa.array([packed(texts)], pa.binary()), *nothing], names=["kind", "slice", "texts", "leader", "context", "proof", "n"]
+            )
+            keys = distinct_keys([(g.leader, g.context, g.proof) for g in groups_of(*bytes_of(part.column("text")), length)])
+            size = len(keys[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["groups"] * size, pa.string()), pa.array(np.full(size, name)), pa.nulls(size, pa.binary()), *keys],
+                names=["kind", "slice", "texts", "leader", "context", "proof", "n"],
+            )
 
     return docs.mapInArrow(send, CHUNKS)
 
@@ -303,7 +300,7 @@ def bucketed(chunks: DataFrame) -> tuple[DataFrame, DataFrame, str]:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text; ``length`` is 16 at least."""
-    texts, groups, folder = bucketed(leaders(only(docs, "doc_id", "text"), length))
+    texts, groups, folder = bucketed(leaders(only(small_batches(docs), "doc_id", "text"), length))
     states = settled(groups, 0)
     discard(docs.sparkSession, folder)
     states = states.union(settled(sent_keys(texts, states, length, blocks=True), LEVEL))
