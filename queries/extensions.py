@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from queries import streams  # noqa: F401  (fixtures)
 from queries.base import FIXTURES, query
 from tidemark.operators import convert
+from tidemark.session import scratch_path
 from tidemark.streaming import changes
 
 # Changes to customers: each order of a customer is one change of the balance, cancelled ones delete the customer.
@@ -34,6 +35,29 @@ def newer_rows(t):
     return changes.newer_rows(t.orders, "o_orderdate", datetime(1998, 6, 30))
 
 
+# Orders by month at the time of a first load and of a second: then orders of the last month came late, and orders at and beyond it
+# and some without a month have another price.
+FIXTURES["orders_by_month"] = """
+SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 50 <> 0 THEN date_trunc('month', o_orderdate) END AS month FROM {orders}"""
+FIXTURES["orders_first"] = """
+SELECT * FROM {orders_by_month} m
+WHERE month IS NULL OR month < timestamp '1995-06-01 00:00:00' OR (month = timestamp '1995-06-01 00:00:00' AND o_orderkey % 3 <> 1)"""
+FIXTURES["orders_second"] = """
+SELECT o_orderkey, CASE WHEN (o_orderkey % 3 = 2 AND month >= timestamp '1995-06-01 00:00:00') OR o_orderkey % 100 = 0 THEN price + 1 ELSE price END AS price, month
+FROM {orders_by_month} m"""
+
+
+@query("load_increment", """
+SELECT o_orderkey, price, month FROM {orders_first} a UNION ALL
+SELECT o_orderkey, price, month FROM {orders_second} b
+WHERE month > timestamp '1995-06-01 00:00:00' OR (month = timestamp '1995-06-01 00:00:00' AND o_orderkey % 3 <> 0) OR (month IS NULL AND o_orderkey % 100 = 0)""")
+def load_increment(t):
+    path = scratch_path(t.spark, "increments")
+    changes.load_increment(t.orders_first, "month", path)
+    changes.load_increment(t.orders_second, "month", path)
+    return changes.load_increment(t.orders_second, "month", path)
+
+
 @query("high_water", "SELECT max(o_orderkey) AS high_water FROM orders")
 def high_water(t):
     return changes.high_water(t.orders, "o_orderkey")

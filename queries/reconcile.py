@@ -120,6 +120,16 @@ def reconcile_lineitem(t):
     return reconcile.reconcile_table("lineitem", t.lineitem, t.tgt_lineitem)
 
 
+@query("reconcile_faults", """
+SELECT 'nation' AS table_name, 'MATCH' AS status, count(*) AS row_count_source, true AS data_match FROM nation
+UNION ALL SELECT 'orders', 'MATCH', count(*), true FROM orders UNION ALL SELECT 'supplier', 'ERROR', NULL, false FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)""")
+def reconcile_faults(t):
+    # Names read as numbers fail while the job runs.
+    broken = t.supplier.withColumn("s_suppkey", F.col("s_name").cast("bigint"))
+    found = reconcile.reconcile_tables({"nation": (t.nation, t.nation), "supplier": (t.supplier, broken), "orders": (t.orders, t.orders)})
+    return found.select("table_name", "status", "row_count_source", "data_match")
+
+
 @query("range_fingerprints", f"""
 WITH s AS (SELECT o_orderkey // 1000 AS b, count(*) AS n, cast(sum(cast('0x' || substr(md5({sql_row('orders')}), 1, 15) AS hugeint)) AS varchar) AS fp FROM orders GROUP BY 1),
      g AS (SELECT o_orderkey // 1000 AS b, count(*) AS n, cast(sum(cast('0x' || substr(md5({sql_row('orders')}), 1, 15) AS hugeint)) AS varchar) AS fp FROM {{tgt_orders}} x GROUP BY 1)

@@ -1,10 +1,14 @@
 """Cases that a sample of ordinary data doesn't reach: exponents, map order, NULL and large keys, faults of one table or one check."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical
 from tidemark.operators import integrity, reconcile, translation
 from tidemark.sources.stores import read_store
+from tidemark.streaming import changes
 from tidemark.streaming.changes import newer_rows
 
 
@@ -56,11 +60,50 @@ def test_only_a_missing_path_is_an_empty_store(spark, tmp_path):
         read_store(spark, f"{tmp_path}/odd")
 
 
-def test_rows_that_come_later_with_the_same_mark_are_found(spark):
-    rows = spark.createDataFrame([(1, 5), (2, 7), (3, 7), (4, 9)], "id int, at int")
-    loaded = spark.createDataFrame([(2,)], "id int")
-    assert [r["id"] for r in newer_rows(rows, "at", 7, ["id"], loaded).orderBy("id").collect()] == [3, 4]
-    assert newer_rows(rows, "at", None).count() == 4 and newer_rows(rows, "at", 7).count() == 3
+def test_rows_at_and_beyond_the_mark(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, at int, v string")
+    first = rows((1, 4, "a"), (2, 4, "b"), (None, 4, "n"), (7, None, "x"))
+    loaded = changes.marked_rows(first, "at", 4)
+    # Key 1 was updated later, key 2 at the very mark, key 3 and a second row without a key came late.
+    now = rows((1, 5, "a2"), (2, 4, "b2"), (3, 4, "c"), (None, 4, "n"), (None, 4, "n"), (7, None, "x"), (8, None, "y"), (0, 3, "old"))
+    got = sorted(map(tuple, newer_rows(now, "at", 4, loaded).collect()), key=str)
+    assert got == sorted([(1, 5, "a2"), (2, 4, "b2"), (3, 4, "c"), (None, 4, "n"), (8, None, "y")], key=str)
+    assert newer_rows(now, "at", None).count() == 8 and newer_rows(now, "at", 4).count() == 5
+
+
+def test_increments_keep_their_mark_and_survive_a_lost_load(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, at int")
+    path = f"{tmp_path}/inc"
+    assert changes.read_mark(spark, path) == (0, None, None)
+    changes.load_increment(rows((1, 1), (2, 2), (3, None)), "at", path)
+    # A load that was lost between its rows and its mark left a folder behind.
+    rows((99, 99)).write.parquet(f"{path}/data/load=2")
+    after = changes.load_increment(rows((1, 1), (2, 2), (3, None), (4, 2), (5, 3)), "at", path)
+    assert sorted(r["id"] for r in after.collect()) == [1, 2, 3, 4, 5]
+    again = changes.load_increment(rows((5, 3), (3, None), (4, 2)), "at", path)
+    assert again.count() == 5 and changes.read_mark(spark, path)[:2] == (3, 3)
+    empty = f"{tmp_path}/empty"
+    assert changes.load_increment(rows((1, 1)).limit(0), "at", empty).count() == 0
+    assert changes.load_increment(rows((6, None)), "at", empty).count() == 1
+    assert changes.load_increment(rows((6, None), (7, 1)), "at", empty).count() == 2
+
+
+def test_a_table_that_fails_while_it_runs_is_an_error_row(spark):
+    good = spark.createDataFrame([(1, "a")], "k int, v string")
+    bad = good.withColumn("k", F.col("v").cast("int"))
+    got = {r["table_name"]: r for r in reconcile.reconcile_tables({"good": (good, good), "bad": (good, bad)}).collect()}
+    assert got["good"]["status"] == "MATCH" and got["bad"]["status"] == "ERROR" and "CAST_INVALID_INPUT" in got["bad"]["checksum_note"]
+
+
+def test_requoting_long_texts_is_linear(spark):
+    names = spark.createDataFrame([("j", "work note", "Work Note"), ("j", "t1", "T1"), ("j", "a$b", "A$B")], "job_id string, lower_name string, name string")
+    text = "select t1, work note from a$b where t10 = 't1'; " * 1500
+    objects = spark.createDataFrame([("j", 0, text)], "job_id string, object_id int, ddl string")
+    found = translation.requote_identifiers(objects, names)
+    assert "array_append" not in found._jdf.queryExecution().executedPlan().toString()
+    start = time.monotonic()
+    assert found.first()["ddl"] == 'select "T1", "Work Note" from "A$B" where t10 = \'"T1"\'; ' * 1500
+    assert time.monotonic() - start < 10
 
 
 def test_requoting_takes_the_longest_name_and_leaves_quoted_text(spark):

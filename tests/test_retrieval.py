@@ -100,3 +100,17 @@ def test_context(spark):
     entries = spark.createDataFrame([(5, "A", "a"), (6, "B", "b")], "id bigint, title string, content string")
     got = {r["query_id"]: r["context"] for r in retrieval.context_text(queries, hits, entries).collect()}
     assert got == {1: "- B: b\n\n- A: a", 2: retrieval.NO_CONTEXT}
+
+
+def test_a_search_scores_the_probed_lists_alone(corpus):
+    plain = corpus.select("id", "embedding")
+    assigned, centres = retrieval.build_lists(plain, 8)
+    lists = {r["id"]: r["list_id"] for r in assigned.collect()}
+    probes = {r["id"]: r["list_id"] for r in retrieval.probed_lists(centres, plain, 1).collect()}
+    # With room for every entry, a query finds exactly its one list, also where lists are cut into small blocks.
+    for rows, asked in ((65_536, 8_192), (20, 7)):
+        found = pairs(retrieval.retrieve_lists(assigned, centres, plain, 1000, 1, rows, asked))
+        assert found == {(q, i) for q, probed in probes.items() for i, own in lists.items() if own == probed}
+    entries, queries = retrieval.list_blocks(assigned, retrieval.probed_lists(centres, plain, 2), 20, 7)
+    fullest = lambda df: df.groupBy("list_id", "part", "slot").count().agg(F.max("count")).first()[0]
+    assert fullest(entries) < 60 and fullest(queries) < 30

@@ -63,35 +63,20 @@ def tokens(text: Column) -> Column:
 def requote(text: Column, spelling: Column) -> Column:
     """Quote the names of the map ``spelling`` (lower-case name to its spelling) where they stand bare in the text.
 
-    The text's tokens are looked up in the map, runs of several tokens ("Work Note" is three) before shorter ones, from left to
-    right. A name that is quoted already is a token of its own and stays.
+    The text is cut into tokens by one scan; a name of several tokens ("Work Note" is three) is a token where it stands, and longer ones come
+    before shorter ones. Each token is then looked up in the map. A name that is quoted already is a token of its own and stays; a
+    name that holds a quotation mark is not looked for.
     """
-    lengths = F.array_sort(
-        F.array_distinct(F.transform(F.map_keys(spelling), lambda n: F.size(tokens(n)))), lambda a, b: b - a
-    )
-
-    def hit(words: Column, at: Column, sizes: Column) -> Column:
-        """The longest name that begins at a token: (how many tokens, its spelling), or NULL."""
-        run = lambda n: F.lower(F.array_join(F.slice(words, at + 1, n), ""))
-        found = F.transform(sizes, lambda n: F.struct(n.alias("n"), F.element_at(spelling, run(n)).alias("name")))
-        return F.get(F.filter(found, lambda f: f["name"].isNotNull()), F.lit(0))
-
-    def walk(words: Column, sizes: Column) -> Column:
-        hits = F.transform(words, lambda w, at: F.struct(w.alias("word"), hit(words, at, sizes).alias("hit")))
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-
-        def step(state: Column, token: Column) -> Column:
-            quoted = F.concat(F.lit('"'), token["hit"]["name"], F.lit('"'))
-            inside = state["skip"] > 0
-            added = F.when(inside, F.lit("")).when(token["hit"].isNotNull(), quoted).otherwise(token["word"])
-            skip = F.when(inside, state["skip"] - 1).when(token["hit"].isNotNull(), token["hit"]["n"] - 1).otherwise(0)
-            return F.struct(F.array_append(state["out"], added).alias("out"), skip.alias("skip"))
-
-        return F.array_join(F.aggregate(hits, start, step)["out"], "")
-
-    # Tokens and lengths are bound once, however often the walk refers to them.
-    bound = F.transform(F.array(F.struct(tokens(text).alias("t"), lengths.alias("n"))), lambda b: walk(b["t"], b["n"]))
-    return F.when(F.size(spelling) > 0, F.element_at(bound, 1)).otherwise(text)
+    several = F.filter(F.map_keys(spelling), lambda n: (n != "") & ~n.rlike(r"(?U)^\w+$") & ~n.contains('"'))
+    ordered = F.array_sort(several, lambda a, b: F.size(tokens(b)) - F.size(tokens(a)))
+    # A name ends where a token ends.
+    edge = lambda n: F.when(n.rlike(r"(?U)\w$"), F.lit(r"(?!\w)")).otherwise(F.lit(r'(?=[\w"]|$)'))
+    literal = lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    names = F.array_join(F.transform(ordered, lambda n: F.concat(literal(n), edge(n), F.lit("|"))), "")
+    pattern = F.concat(F.lit(r'(?iU)"[^"]*"|'), names, F.lit(r'\w+|[^\w"]+|"'))
+    quoted = lambda w: F.concat(F.lit('"'), F.element_at(spelling, F.lower(w)), F.lit('"'))
+    found = F.array_join(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda w: F.coalesce(quoted(w), w)), "")
+    return F.when(F.size(spelling) > 0, found).otherwise(text)
 
 
 def confidence(answer: Column, pattern: str = ANSWER_PATTERN) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.canonical import canonical, row_bits, row_text
@@ -85,32 +87,39 @@ def _judge(wide: DataFrame) -> DataFrame:
 def reconcile_tables(
     pairs: Mapping[str, tuple[DataFrame, DataFrame]],
     cols: Mapping[str, Sequence[str]] | None = None,
+    parallelism: int = 8,
     **flags,
 ) -> DataFrame:
     """One row per table. ``status`` follows the row counts alone; ``data_match`` tells about contents.
 
-    Each side is scanned once for count and fingerprint together, and all tables run in one job. A table whose two sides do not
-    have the same columns is an ERROR row that tells why; the others are compared all the same.
+    Each side is scanned once for count and fingerprint together. The tables are jobs of their own, several side by side, so a table that
+    fails in any way (unlike columns, a cast that fails while it runs, a file that is gone) is an ERROR row that tells why, and the others
+    are compared all the same. Two rows per table reach the driver.
     """
-    sides, faults = [], []
-    for name, pair in pairs.items():
-        try:
-            aligned = align_columns(*pair)
-        except ValueError as exc:
-            faults.append((name, ERROR, str(exc)))
-            continue
-        for side, df in zip(("source", "target"), aligned):
+
+    def sides(name: str) -> DataFrame:
+        parts = []
+        for side, df in zip(("source", "target"), align_columns(*pairs[name])):
             wanted = [c.lower() for c in cols[name]] if cols and name in cols else None
-            sides.append(
-                table_fingerprint(df, wanted, **flags).select(
-                    F.lit(name).alias("table_name"), F.lit(side).alias("side"), "row_count", "fingerprint"
-                )
-            )
+            found = table_fingerprint(df, wanted, **flags)
+            parts.append(found.select(F.lit(name).alias("table_name"), F.lit(side).alias("side"), "row_count", "fingerprint"))
+        return union_all(parts)
+
+    def one(name: str) -> tuple:
+        try:
+            return sides(name).collect(), None
+        except Exception as exc:
+            return [], (name, ERROR, str(exc))
+
+    spark = next(iter(pairs.values()))[0].sparkSession
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(one), pairs))
+    rows, faults = [r for found, _ in done for r in found], [fault for _, fault in done if fault]
     parts = []
-    if sides:
-        parts.append(_judge(_sides_to_columns(union_all(sides), {"row_count": "row_count", "fingerprint": "checksum"})))
+    if rows:
+        kept = spark.createDataFrame(rows, "table_name string, side string, row_count bigint, fingerprint string")
+        parts.append(_judge(_sides_to_columns(kept, {"row_count": "row_count", "fingerprint": "checksum"})))
     if faults:
-        spark = next(iter(pairs.values()))[0].sparkSession
         failed = spark.createDataFrame(faults, "table_name string, status string, checksum_note string")
         parts.append(failed.withColumns({"row_count_match": F.lit(False), "data_match": F.lit(False)}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -14,6 +14,10 @@ EMBEDDING_SIZE = 1024
 NO_CONTEXT = "(no knowledge-base context retrieved)"
 QUERY_BLOCK_BYTES = 64 << 20
 DIGITS = 6
+# Bytes of entries that meet the queries together, similarities computed at a time, rows of a block of a list.
+GATHER_BYTES = 32 << 20
+SCORE_ROWS, SCORE_QUERIES = 4096, 1024
+LIST_ROWS, LIST_QUERIES = 65_536, 8_192
 
 
 def for_pair(corpus: DataFrame, source: str | None, target: str | None) -> DataFrame:
@@ -89,7 +93,7 @@ def _score_batches(blocks, k: int, hit_types: tuple):
         return pa.array(rows)
 
     def fits(entries, rows, queries, asked):
-        """Which entries a query may see: those of its dialects or agnostic ones, and those of the lists it probes."""
+        """Which entries a query may see: those of its dialects or agnostic ones."""
         import numpy as np
 
         ok = np.ones((len(rows), len(asked)), bool)
@@ -98,30 +102,44 @@ def _score_batches(blocks, k: int, hit_types: tuple):
                 have = np.array(entries.column(side).to_pylist(), object)[rows]
                 want = np.array(queries.column(side).to_pylist(), object)[asked]
                 ok &= np.equal(have[:, None], None) | (have[:, None] == want[None, :])
-        if "lists" in queries.schema.names:
-            have = np.array(entries.column("list_id").to_pylist())[rows]
-            for column, lists in enumerate(queries.column("lists").take(pa_array(asked)).to_pylist()):
-                ok[:, column] &= np.isin(have, lists)
         return ok
 
-    def run(batches):
-        import numpy as np
+    def gathered(batches):
+        """Batches joined up to ``GATHER_BYTES``, so that the queries are read once for many rows."""
         import pyarrow as pa
 
+        held, size = [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids, mine, found = batch.column("id").to_pylist(), list(groups(batch)), []
-            for queries in blocks():
-                names = queries.column("id").to_pylist()
-                for size, asked, units in groups(queries):
-                    for other, rows, vectors in mine:
-                        if other == size and len(rows) and len(asked):
-                            scores = np.round(vectors @ units.T, DIGITS)
-                            found += best([ids[r] for r in rows], scores, k, [names[a] for a in asked], fits(batch, rows, queries, asked))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], t) for i, t in enumerate((*hit_types, pa.float64()))], names=["query_id", "id", "similarity"]
-            )
+            if held and size + batch.nbytes > GATHER_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches, asked_blocks=blocks):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in gathered(batches):
+            ids, mine = batch.column("id").to_pylist(), list(groups(batch))
+            for block in asked_blocks():
+                # A task holds the similarities of so many entries and queries at a time.
+                for first in range(0, block.num_rows, SCORE_QUERIES):
+                    queries, found = block.slice(first, SCORE_QUERIES), []
+                    names = queries.column("id").to_pylist()
+                    for size, asked, units in groups(queries):
+                        for other, rows, vectors in mine:
+                            for lo in range(0, len(rows) if other == size and len(asked) else 0, SCORE_ROWS):
+                                part = rows[lo : lo + SCORE_ROWS]
+                                scores = np.round(vectors[lo : lo + SCORE_ROWS] @ units.T, DIGITS)
+                                found += best([ids[r] for r in part], scores, k, [names[a] for a in asked], fits(batch, part, queries, asked))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f[i] for f in found], t) for i, t in enumerate((*hit_types, pa.float64()))], names=["query_id", "id", "similarity"]
+                    )
 
     return run
 
@@ -149,7 +167,7 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int) ->
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    columns = [c for c in ("id", "embedding", "source_dialect", "target_dialect", "lists") if c in queries.columns]
+    columns = [c for c in ("id", "embedding", "source_dialect", "target_dialect") if c in queries.columns]
     folder = scratch_path(corpus.sparkSession, "queries")
     queries.filter(F.size("embedding") > 0).select(*columns).write.parquet(folder)
     stored = corpus.sparkSession.read.schema(queries.select(*columns).schema).parquet(folder)
@@ -192,14 +210,8 @@ def build_lists(corpus: DataFrame, lists: int, seed: int = 7) -> tuple[DataFrame
     return assigned, [c.tolist() for c in model.clusterCenters()]
 
 
-def retrieve_lists(
-    assigned: DataFrame, centres: list, queries: DataFrame, k: int = 5, probe: int = 4, block_bytes: int = QUERY_BLOCK_BYTES
-) -> DataFrame:
-    """Approximate top-k: only the ``probe`` lists nearest to each query are searched, exactly.
-
-    Probing all lists gives the exact answer. A list that holds much of the corpus is searched where
-    its rows lie, so it does not end up in one task. The centres (``lists`` vectors) go to the tasks with the function.
-    """
+def probed_lists(centres: list, queries: DataFrame, probe: int) -> DataFrame:
+    """The ``probe`` lists nearest to each query: id, embedding, list_id. The centres (``lists`` vectors) go to the tasks with the function."""
 
     def nearest(batches):
         import numpy as np
@@ -215,7 +227,59 @@ def retrieve_lists(
 
     asked = queries.select("id", "embedding").filter(F.size("embedding") == F.lit(len(centres[0])))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
-    return _search(assigned, asked.mapInArrow(nearest, kinds + ", lists array<int>"), k, block_bytes)
+    return asked.mapInArrow(nearest, kinds + ", lists array<int>").select("id", "embedding", F.explode("lists").alias("list_id"))
+
+
+def list_blocks(assigned: DataFrame, probes: DataFrame, list_rows: int, list_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Entries and queries of each probed list, cut into parts that meet pairwise: both with list_id, part, slot.
+
+    A list with many entries is cut into parts of about ``list_rows``, one with many queries into slots of about ``list_queries``; entries go
+    to every slot and queries to every part of their list. Lists that no query probes are left away before anything is shuffled.
+    """
+    counts = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("entries"), F.lit(0).cast("bigint").alias("asked")).union(
+        probes.groupBy("list_id").agg(F.lit(0).cast("bigint").alias("entries"), F.count(F.lit(1)).alias("asked"))
+    )
+    # One row for each list, so it may be broadcast.
+    plan = F.broadcast(
+        counts.groupBy("list_id").agg(F.sum("entries").alias("e"), F.sum("asked").alias("a")).filter("e > 0 and a > 0")
+        .select("list_id", F.ceil(F.col("e") / list_rows).cast("int").alias("parts"), F.ceil(F.col("a") / list_queries).cast("int").alias("slots"))
+    )
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    entries = assigned.join(plan, "list_id").select("list_id", "id", "embedding", own("parts").alias("part"), every("slots").alias("slot"))
+    asked = probes.join(plan, "list_id").select("list_id", "id", "embedding", own("slots").alias("slot"), every("parts").alias("part"))
+    return entries, asked
+
+
+def retrieve_lists(
+    assigned: DataFrame, centres: list, queries: DataFrame, k: int = 5, probe: int = 4, list_rows: int = LIST_ROWS, list_queries: int = LIST_QUERIES
+) -> DataFrame:
+    """Approximate top-k: only the ``probe`` lists nearest to each query are searched, exactly.
+
+    Queries are sent to the lists they probe and meet nothing else; probing all lists gives the exact answer. Lists with many entries
+    or many queries are cut into blocks of bounded size.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    folder = scratch_path(queries.sparkSession, "probes")
+    probes = probed_lists(centres, queries, probe)
+    probes.write.parquet(folder)
+    probes = queries.sparkSession.read.schema(probes.schema).parquet(folder)
+    kinds = (queries.schema["id"].dataType, assigned.schema["id"].dataType)
+    types = tuple(map(to_arrow_type, kinds))
+    # Made here: the function travels by value, and tasks need no copy of this module.
+    run = _score_batches(None, k, types)
+
+    def score(entries, asked):
+        import pyarrow as pa
+
+        empty = pa.schema([("query_id", types[0]), ("id", types[1]), ("similarity", pa.float64())])
+        return pa.Table.from_batches(list(run(entries.to_batches(), asked.to_batches)) if entries.num_rows and asked.num_rows else [], empty)
+
+    entries, asked = list_blocks(assigned, probes, list_rows, list_queries)
+    key = ["list_id", "part", "slot"]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double"
+    return _top_k(entries.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(score, schema), k)
 
 
 def write_lists(assigned: DataFrame, path: str) -> None:
@@ -226,7 +290,7 @@ def write_lists(assigned: DataFrame, path: str) -> None:
     assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
 
 
-def retrieve_ann(corpus: DataFrame, queries: DataFrame, k: int = 5, lists: int = 100, probe: int = 10) -> DataFrame:
+def retrieve_ann(corpus: DataFrame, queries: DataFrame, k: int = 5, lists: int = 100, probe: int = 30) -> DataFrame:
     """Build lists, keep them, and search them; use the three steps by themselves to search more than once."""
     assigned, centres = build_lists(corpus, lists)
     path = scratch_path(corpus.sparkSession, "lists")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.sources.stores import BUCKET, bucket_of, touched, write_buckets
+from tidemark.operators.reconcile import union_all
+from tidemark.session import cut_lineage
+from tidemark.sources.stores import BUCKET, bucket_of, read_store, touched, write_buckets
 from tidemark.streaming.sources import run_batches, run_to_files
 
 # Fixed value: the operation that removes a row; every other one writes it.
@@ -65,16 +68,77 @@ def high_water(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).alias("high_water"))
 
 
-def newer_rows(df: DataFrame, column: str, last, keys: Sequence[str] = (), loaded: DataFrame | None = None) -> DataFrame:
+def row_hash(df: DataFrame) -> Column:
+    """A digest of a whole row, null-safe."""
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+
+
+def newer_rows(df: DataFrame, column: str, last, loaded: DataFrame | None = None) -> DataFrame:
     """Rows at or beyond the last high-water mark; the filter is pushed down to the source.
 
-    Rows that arrive later with the very mark are found too. ``loaded`` holds the ``keys`` that were loaded at the mark before;
-    these rows are left out.
+    Rows beyond the mark always come, changed ones too. Of the rows at the very mark those come that ``loaded`` (the rows at the mark that
+    were loaded, from ``marked_rows``) does not hold: late ones and changed ones. A row that stands there more often than it was loaded comes
+    once for each further copy. Rows without a value in ``column`` lie at a mark of their own, before all others.
     """
-    if last is None:
+    if last is None and loaded is None:
         return df
-    rows = df.filter(F.col(column) >= F.lit(last))
-    return rows if loaded is None else rows.join(loaded.select(*keys), list(keys), "left_anti")
+    if loaded is None:
+        return df.filter(F.col(column) >= F.lit(last))
+    reached = F.col(column).isNull() if last is None else F.col(column).isNull() | (F.col(column) == F.lit(last))
+    tag = f"_{uuid.uuid4().hex}_"
+    # Copies of a row are numbered; only rows at the mark are hashed and joined.
+    hashed = df.filter(reached).withColumn(f"{tag}hash", row_hash(df))
+    copies = hashed.withColumn(f"{tag}copy", F.row_number().over(Window.partitionBy(f"{tag}hash").orderBy(F.lit(1))))
+    known = loaded.groupBy(F.col("row_hash").alias(f"{tag}known")).agg(F.sum("copies").alias(f"{tag}n"))
+    late = copies.join(known, F.col(f"{tag}hash") == F.col(f"{tag}known"), "left").filter(F.col(f"{tag}copy") > F.coalesce(f"{tag}n", F.lit(0)))
+    beyond = df.filter(F.col(column).isNotNull()) if last is None else df.filter(F.col(column) > F.lit(last))
+    return beyond.unionByName(late.select(*[F.col(c) for c in df.columns]))
+
+
+def marked_rows(df: DataFrame, column: str, mark) -> DataFrame:
+    """row_hash and copies of the rows at the mark, and of those without a value: what a later load at the same mark must know."""
+    at = F.col(column).isNull() if mark is None else F.col(column).isNull() | (F.col(column) == F.lit(mark))
+    return df.filter(at).groupBy(row_hash(df).alias("row_hash")).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def read_mark(spark: SparkSession, path: str) -> tuple[int, object, DataFrame | None]:
+    """The last load's number, its mark and the rows at it; number 0 and no mark before the first load."""
+    store = read_store(spark, f"{path}/marks")
+    if store is None:
+        return 0, None, None
+    number = store.agg(F.max("load")).first()[0]
+    return number, store.filter(F.col("load") == number).select("mark").first()["mark"], spark.read.parquet(f"{path}/rows/load={number}")
+
+
+def load_increment(df: DataFrame, column: str, path: str) -> DataFrame:
+    """Append the rows of ``df`` that came or changed since the last load below ``path``, and keep the new mark.
+
+    A load writes its rows, then the rows at its mark, and last its mark, each under the load's number. A load that is lost on the
+    way has no mark, so the next one takes its number, replaces what it left and loses nothing; a load without new rows appends none. Returns all
+    rows loaded so far (``loaded_rows``).
+    """
+    spark = df.sparkSession
+    number, last, loaded = read_mark(spark, path)
+    # One reading of the source decides about rows and mark alike.
+    fresh = cut_lineage(newer_rows(df, column, last, loaded))
+    newest = fresh.agg(F.max(column)).first()[0]
+    mark = last if newest is None else newest
+    fresh.write.mode("overwrite").parquet(f"{path}/data/load={number + 1}")
+    marked = marked_rows(fresh, column, mark)
+    if loaded is not None:
+        # Rows without a value, and rows at a mark that has not moved, stay known.
+        marked = marked.union(loaded).groupBy("row_hash").agg(F.sum("copies").alias("copies"))
+    marked.write.mode("overwrite").parquet(f"{path}/rows/load={number + 1}")
+    kind = df.schema[column].dataType
+    one = spark.range(1).select(F.lit(number + 1).alias("load"), F.lit(mark).cast(kind).alias("mark"))
+    one.coalesce(1).write.mode("append").parquet(f"{path}/marks")
+    return loaded_rows(spark, path)
+
+
+def loaded_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all finished loads."""
+    number = read_mark(spark, path)[0]
+    return union_all([spark.read.parquet(f"{path}/data/load={k + 1}") for k in range(number)])
 
 
 def incremental_load(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
