@@ -7,6 +7,7 @@ from queries import progress as p
 from queries.base import FIXTURES, query
 from tidemark.operators import metrics
 from tidemark.session import scratch_path
+from tidemark.sources import stores
 from tidemark.streaming import changes, metrics as sm, progress as sp
 from tidemark.streaming.sources import parquet_stream, run_batches, run_to_files
 
@@ -21,6 +22,14 @@ def derived(t, name: str):
     return t.spark.sql(text, stream=events_stream(t))
 
 
+def dealt(t, name: str, files: int = 10):
+    """The derivation on a stream of several micro-batches: events dealt to files by hash, so that most come out of order."""
+    folder = scratch_path(t.spark, "dealt")
+    t.events.repartitionByRange(files, F.xxhash64("event_id")).write.parquet(folder)
+    text = FIXTURES[name].replace("{events}", "{stream}")
+    return t.spark.sql(text, stream=parquet_stream(t.spark, folder, t.events.schema, files_per_batch=1))
+
+
 def to_files(t, stream):
     base = scratch_path(t.spark, "stream")
     found = run_to_files(stream, f"{base}/out", f"{base}/checkpoint")
@@ -76,8 +85,8 @@ def stream_quantiles(t):
 def stream_gauges(t):
     base = scratch_path(t.spark, "gauges")
     labels = ["deployment_name", "namespace", "cluster_name", "metric"]
-    run_batches(derived(t, "gauges"), sm.keep_gauges(f"{base}/store", labels, order=("ts", "event_id")), f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/store").select(*labels, "value")
+    run_batches(dealt(t, "gauges"), sm.keep_gauges(f"{base}/store", labels, order=("ts", "event_id")), f"{base}/checkpoint")
+    return sm.read_gauges(t.spark, f"{base}/store", labels, order=("ts", "event_id")).select(*labels, "value")
 
 
 @query("stream_status_changes", p.SQL_CHANGES)
@@ -93,8 +102,8 @@ SELECT job_id, arg_min(name, (ts, seq)) AS name, arg_min(source_dialect, (ts, se
        arg_max(status, (ts, seq)) AS status, min(ts) AS created_at, max(ts) AS updated_at FROM {job_events} e GROUP BY job_id""")
 def stream_upsert_jobs(t):
     base = scratch_path(t.spark, "jobs")
-    run_batches(derived(t, "job_events"), sp.keep_jobs(f"{base}/store"), f"{base}/checkpoint")
-    found = t.spark.read.parquet(f"{base}/store").drop("bucket")
+    run_batches(dealt(t, "job_events"), sp.keep_jobs(f"{base}/store"), f"{base}/checkpoint")
+    found = stores.read_jobs(t.spark, f"{base}/store")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
 
 
@@ -108,7 +117,7 @@ FROM {profile_changes} p GROUP BY user_id) x, LATERAL (SELECT c.op AS op, c.bala
 @query("stream_apply_changes", SQL_PROFILES)
 def stream_apply_changes(t):
     base = scratch_path(t.spark, "cdc")
-    return changes.apply_change_stream(derived(t, "profile_changes"), f"{base}/store", ["user_id"], f"{base}/checkpoint")
+    return changes.apply_change_stream(dealt(t, "profile_changes"), f"{base}/store", ["user_id"], f"{base}/checkpoint")
 
 
 @query("incremental_load", "SELECT count(*) AS events, cast(sum(event_id) AS bigint) AS id_sum FROM events")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordering import number_rows, split_hot, text_parts, time_slices
 from tidemark.operators.progress import TERMINAL, latest_approvals, status_changes, trace_timeline
 from tidemark.session import scratch_path
+from tidemark.sources import stores
 from tidemark.streaming import changes, progress as sp
-from tidemark.streaming.metrics import keep_gauges, stream_increase
+from tidemark.streaming.metrics import keep_gauges, read_gauges, stream_increase
 from tidemark.streaming.sources import parquet_stream, run_batches, run_to_files
 
 START = dt.datetime(2024, 1, 1)
@@ -165,7 +166,7 @@ def test_gauges_over_batches(spark):
     handle(batch([("a", 1, 1), ("a", 2, 5), ("b", 7, 2)]), 0)
     handle(batch([("a", 9, 3), ("c", 4, 1)]), 1)
     handle(batch([("a", 9, 3), ("c", 4, 1)]), 1)
-    assert sorted((r["pod"], r["value"]) for r in spark.read.parquet(f"{base}/store").collect()) == [("a", 2), ("b", 7), ("c", 4)]
+    assert sorted((r["pod"], r["value"]) for r in read_gauges(spark, f"{base}/store", ["pod"]).collect()) == [("a", 2), ("b", 7), ("c", 4)]
 
 
 def test_change_stream_equals_batch(spark):
@@ -191,8 +192,10 @@ def test_jobs_over_batches(spark):
     batch = lambda rows: spark.createDataFrame(rows, "job_id string, name string, source_dialect string, target_dialect string, status string, ts int, seq int")
     handle(batch([("j", "one", "a", "b", "RUNNING", 1, 0), ("k", "x", "a", "b", "RUNNING", 1, 0)]), 0)
     handle(batch([("j", "two", "c", "d", "DONE", 2, 0)]), 1)
-    rows = {r["job_id"]: (r["name"], r["status"]) for r in spark.read.parquet(f"{base}/store").collect()}
-    assert rows == {"j": ("one", "DONE"), "k": ("x", "RUNNING")}
+    # Events that arrive late count by their time.
+    handle(batch([("j", "three", "c", "d", "PAUSED", 1, 5), ("k", "zero", "a", "b", "INIT", 0, 0)]), 2)
+    rows = {r["job_id"]: (r["name"], r["status"]) for r in stores.read_jobs(spark, f"{base}/store").collect()}
+    assert rows == {"j": ("one", "DONE"), "k": ("zero", "RUNNING")}
 
 
 def test_incremental_load_reads_each_file_once(spark):

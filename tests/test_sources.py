@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
-from tidemark.sources import files, jdbc, load, stores
+from tidemark.sources import files, jdbc, load, stores, versioned
 from tidemark.sources.jdbc import Connection
+from tidemark.streaming import changes
 
 PG = Connection("postgresql", "db", "shop", "u", "secret")
 
@@ -96,8 +97,35 @@ def test_upsert_keeps_first_names_and_last_status(spark):
         "job_id string, name string, source_dialect string, target_dialect string, status string, ts int, seq int")
     row = stores.upsert_jobs(events).first()
     assert (row["name"], row["source_dialect"], row["status"], row["created_at"], row["updated_at"]) == ("first", "oracle", "PAUSED", 1, 2)
-    again = stores.merge_jobs(stores.upsert_jobs(events.limit(1)), stores.upsert_jobs(events.filter(F.col("ts") == 2))).first()
-    assert (again["name"], again["status"], again["updated_at"]) == ("first", "PAUSED", 2)
+    parts = [stores.job_states(events.filter(F.col("ts") == 2)), stores.job_states(events.limit(1))]
+    again = stores.fold_jobs(parts[0].union(parts[1])).first()
+    assert (again["first"]["name"], again["last"]["status"], again["last"]["ts"]) == ("first", "PAUSED", 2)
+
+
+def test_stores_fold_in_any_order_and_survive_lost_writes(spark):
+    path = scratch_path(spark, "versioned")
+    fold = changes._fold(["k"])
+    schema = "k int, op string, ts int, seq int, v int"
+    assert versioned.current(spark, path, fold) is None and versioned.read_manifest(spark, path)[0] == 0
+    rows = [(k % 7, "D" if k % 11 == 0 else "U", (k * 37) % 101, k, k) for k in range(120)]
+    for part in range(20):
+        batch = spark.createDataFrame(rows[part::20], schema)
+        versioned.append(batch, path, ["k"], fold, buckets=3, fan=3)
+        if part == 9:
+            # A write that was lost before its manifest, and a replayed one.
+            versioned._write_folder(spark.createDataFrame([(1, "U", 999, 0, -1)], schema).withColumn("bucket", F.lit(0)), path, 99)
+            versioned.append(batch, path, ["k"], fold, buckets=50, fan=3)
+    versioned.append(spark.createDataFrame([], schema), path, ["k"], fold, fan=3)
+    want = {}
+    for k, op, ts, seq, v in sorted(rows, key=lambda r: (r[2], r[3])):
+        want[k] = (op, v)
+    state = lambda: {r["k"]: (r["op"], r["v"]) for r in versioned.current(spark, path, fold).collect()}
+    assert state() == want
+    _, manifest = versioned.read_manifest(spark, path)
+    assert manifest["buckets"] == 3 and len(manifest["folders"]) < 8 and max(level for _, level in manifest["folders"]) >= 2
+    assert versioned.remove_unused(spark, path) > 15 and state() == want
+    with pytest.raises(RuntimeError, match="someone else"):
+        versioned.write_manifest(spark, path, versioned.read_manifest(spark, path)[0], manifest)
 
 
 def test_knowledge_base_is_replaced(spark):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import cut_lineage
-
-BUCKET = "bucket"
+from tidemark.sources import versioned
+from tidemark.sources.versioned import BUCKET
 
 
 def with_dependencies(catalog: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -20,10 +18,6 @@ def with_dependencies(catalog: DataFrame, dependencies: DataFrame) -> DataFrame:
     )
 
 
-def bucket_of(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     """A bucketed store as it is on disk, or nothing when it was never written."""
     try:
@@ -55,22 +49,25 @@ def touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame | None
     return stored.filter(F.col(BUCKET).isin(numbers))
 
 
+def latest_loads(rows: DataFrame) -> DataFrame:
+    """The rows of each job's newest load."""
+    newest = rows.groupBy("job_id").agg(F.max("load").alias("_newest")).withColumnRenamed("job_id", "_job")
+    return rows.join(newest, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("load") == F.col("_newest"))).drop("_job", "_newest")
+
+
 def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace the catalogue rows of the jobs in ``catalog``; other jobs keep theirs.
 
-    Jobs share ``buckets`` partitions instead of one small folder each; take enough of them that a bucket
-    stays within a few gigabytes.
+    The rows are added under the number of this load, and a job's newest load is its catalogue, so nothing that is there is rewritten and a load that
+    is lost on the way changes nothing. Jobs share ``buckets`` partitions.
     """
-    fresh = with_dependencies(catalog, dependencies).withColumn(BUCKET, bucket_of(["job_id"], buckets))
-    jobs = fresh.select("job_id", BUCKET).distinct()
-    stored = touched(catalog.sparkSession, path, jobs)
-    if stored is not None:
-        fresh = fresh.unionByName(stored.join(jobs.select("job_id"), "job_id", "left_anti"))
-    write_buckets(fresh, path)
+    load = versioned.read_manifest(catalog.sparkSession, path)[0] + 1
+    fresh = with_dependencies(catalog, dependencies).withColumn("load", F.lit(load).cast("bigint"))
+    versioned.append(fresh, path, ["job_id"], latest_loads, buckets)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    return versioned.current(spark, path, latest_loads).drop("load")
 
 
 def upsert_jobs(events: DataFrame) -> DataFrame:
@@ -91,18 +88,27 @@ def upsert_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_jobs(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fold the jobs of a later batch into the known ones by the same rule."""
-    both = known.withColumn("_gen", F.lit(0)).unionByName(fresh.withColumn("_gen", F.lit(1)))
-    return (
-        both.groupBy("job_id")
-        .agg(
-            F.min_by(F.struct("name", "source_dialect", "target_dialect"), "_gen").alias("_first"),
-            F.max_by("status", "_gen").alias("status"),
-            F.min("created_at").alias("created_at"),
-            F.max("updated_at").alias("updated_at"),
-        )
-        .select("job_id", "_first.*", "status", "created_at", "updated_at")
+def job_states(events: DataFrame) -> DataFrame:
+    """job_id with its first and its last event, as far as these rows tell: what ``fold_jobs`` folds."""
+    order = F.struct("ts", "seq")
+    return events.groupBy("job_id").agg(
+        F.min_by(F.struct("ts", "seq", "name", "source_dialect", "target_dialect"), order).alias("first"),
+        F.max_by(F.struct("ts", "seq", "status"), order).alias("last"),
+    )
+
+
+def fold_jobs(states: DataFrame) -> DataFrame:
+    """One state per job: the earliest first and the latest last event by time, whenever they arrived."""
+    keys = ["job_id", *([BUCKET] if BUCKET in states.columns else [])]
+    return states.groupBy(*keys).agg(
+        F.min_by("first", F.struct("first.ts", "first.seq")).alias("first"), F.max_by("last", F.struct("last.ts", "last.seq")).alias("last")
+    ).select(*states.columns)
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs of a store that ``keep_jobs`` fills, as ``upsert_jobs`` gives them."""
+    return versioned.current(spark, path, fold_jobs).select(
+        "job_id", "first.name", "first.source_dialect", "first.target_dialect", "last.status", F.col("first.ts").alias("created_at"), F.col("last.ts").alias("updated_at")
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators.reconcile import union_all
 from tidemark.session import cut_lineage
-from tidemark.sources.stores import BUCKET, bucket_of, read_store, touched, write_buckets
+from tidemark.sources import versioned
+from tidemark.sources.stores import read_store
 from tidemark.streaming.sources import run_batches, run_to_files
 
 # Fixed value: the operation that removes a row; every other one writes it.
@@ -38,30 +39,35 @@ def change_lag(changes: DataFrame, now: Column) -> DataFrame:
 
 
 def merge_changes(path: str, keys: Sequence[str], buckets: int = 64):
-    """A micro-batch handler that merges changes into a bucketed store.
+    """A micro-batch handler that adds a batch's last change of each key to a store of changes.
 
-    The store keeps each key's last change with its time, deletions included, so late changes cannot
-    undo newer ones and a replayed batch changes nothing. Only touched buckets are rewritten.
+    The store keeps changes with their time, deletions included, and readers take each key's last one, so late changes cannot
+    undo newer ones and a replayed batch changes nothing. What is there is not rewritten with each batch.
     """
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
-        fresh = latest_changes(batch, keys).withColumn(BUCKET, bucket_of(keys, buckets))
-        stored = touched(batch.sparkSession, path, fresh)
-        merged = fresh if stored is None else latest_changes(fresh.unionByName(stored), keys)
-        write_buckets(merged, path)
+        versioned.append(latest_changes(batch, keys), path, keys, _fold(keys), buckets)
 
     return handle
 
 
-def current_rows(spark: SparkSession, path: str) -> DataFrame:
+def _fold(keys: Sequence[str]):
+    def fold(rows: DataFrame) -> DataFrame:
+        own = [*keys, *([versioned.BUCKET] if versioned.BUCKET in rows.columns else [])]
+        return latest_changes(rows, own).select(*rows.columns)
+
+    return fold
+
+
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The target a store of changes stands for."""
-    return spark.read.parquet(path).filter(F.col("op") != DELETE).drop(BUCKET, "op", "ts", "seq")
+    return versioned.current(spark, path, _fold(keys)).filter(F.col("op") != DELETE).drop("op", "ts", "seq")
 
 
 def apply_change_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, buckets: int = 64) -> DataFrame:
     """Merge a stream of changes and give back the target after what is there now."""
     run_batches(stream, merge_changes(path, keys, buckets), checkpoint)
-    return current_rows(stream.sparkSession, path)
+    return current_rows(stream.sparkSession, path, keys)
 
 
 def high_water(df: DataFrame, column: str) -> DataFrame:

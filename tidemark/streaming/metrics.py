@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.metrics import GUARD, PRICE_IN, PRICE_OUT, histogram_quantile, seconds_of
-from tidemark.sources.stores import BUCKET, bucket_of, touched, write_buckets
+from tidemark.sources import versioned
+from tidemark.sources.versioned import BUCKET
 
 
 def stream_sums(
@@ -72,21 +73,27 @@ def stream_quantiles(
     return found.select("window_start", *labels, "count", *[histogram_quantile(q, buckets).alias(f"p{q * 100:g}") for q in qs])
 
 
-def keep_gauges(path: str, labels: Sequence[str], value: str = "value", order: Sequence[str] = ("ts",), buckets: int = 64):
-    """A micro-batch handler that keeps the last value per label set in a bucketed store.
+def last_gauges(labels: Sequence[str], value: str = "value", order: Sequence[str] = ("ts",)):
+    """A fold to the last value per label set."""
 
-    Only the buckets that a batch touches are rewritten. Replaying a batch gives the same values.
-    """
+    def fold(rows: DataFrame) -> DataFrame:
+        keys = [*([BUCKET] if BUCKET in rows.columns else []), *labels]
+        last = F.max_by(F.struct(value, *order), F.struct(*order)).alias("_l")
+        return rows.groupBy(*keys).agg(last).select(*keys, "_l.*").select(*rows.columns)
+
+    return fold
+
+
+def keep_gauges(path: str, labels: Sequence[str], value: str = "value", order: Sequence[str] = ("ts",), buckets: int = 64):
+    """A micro-batch handler that adds a batch's last value per label set to a store; replaying a batch changes nothing."""
+    fold = last_gauges(labels, value, order)
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
-        rows = batch.select(*labels, value, *order).withColumn(BUCKET, bucket_of(labels, buckets))
-        last = lambda df: df.groupBy(BUCKET, *labels).agg(
-            F.max_by(F.struct(value, *order), F.struct(*order)).alias("_l")
-        ).select(BUCKET, *labels, "_l.*")
-        fresh = last(rows)
-        stored = touched(batch.sparkSession, path, fresh)
-        write_buckets(fresh if stored is None else last(fresh.unionByName(stored)), path)
+        versioned.append(fold(batch.select(*labels, value, *order)), path, labels, fold, buckets)
 
     return handle
 
 
+def read_gauges(spark: SparkSession, path: str, labels: Sequence[str], value: str = "value", order: Sequence[str] = ("ts",)) -> DataFrame:
+    """The last value per label set, by time and not by arrival."""
+    return versioned.current(spark, path, last_gauges(labels, value, order))

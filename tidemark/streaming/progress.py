@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.progress import TERMINAL, status_changes
 from tidemark.session import cut_lineage
-from tidemark.sources.stores import BUCKET, bucket_of, merge_jobs, touched, upsert_jobs, write_buckets
+from tidemark.sources import versioned
+from tidemark.sources.stores import fold_jobs, job_states, touched, write_buckets
+from tidemark.sources.versioned import BUCKET, bucket_of
 
 
 def feed_changes(out_path: str, state_path: str, payload: Sequence[str], buckets: int = 64):
@@ -61,13 +63,12 @@ def feed_changes(out_path: str, state_path: str, payload: Sequence[str], buckets
 
 
 def keep_jobs(path: str, buckets: int = 64):
-    """A micro-batch handler that upserts jobs: names stay as first written, status follows the latest batch."""
+    """A micro-batch handler that adds the jobs' first and last events of a batch to a store (``stores.read_jobs``).
+
+    Names stay as in the earliest event and the status follows the latest one by time, also where events arrive late.
+    """
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
-        fresh = upsert_jobs(batch)
-        keyed = fresh.select("job_id").withColumn(BUCKET, bucket_of(["job_id"], buckets))
-        stored = touched(batch.sparkSession, path, keyed)
-        merged = fresh if stored is None else merge_jobs(stored.drop(BUCKET), fresh)
-        write_buckets(merged.withColumn(BUCKET, bucket_of(["job_id"], buckets)), path)
+        versioned.append(job_states(batch), path, ["job_id"], fold_jobs, buckets)
 
     return handle
