@@ -26,7 +26,7 @@ from tidemark.llm.common import id_hash, only, slices, small_batches, stored, wo
 
 MARK = "▁"
 RUN = 32
-LATTICE = 8_000
+LATTICE = 24_000
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def score(batches):
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=12 << 20):
             names, scores = scored(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
@@ -274,7 +274,7 @@ def recognised(docs: DataFrame, model_path: str, min_score: float = MIN_SCORE) -
     model = train(docs.filter(id_hash() % 5 != 0), model_path)
 
     def keep(batches):
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=12 << 20):
             names, scores = scored(batch.column("text"), model)
             yield batch.filter(pa.array([name != UNKNOWN and s >= min_score for name, s in zip(names, scores, strict=True)], pa.bool_()))
 
