@@ -33,7 +33,7 @@ def trace_timeline(t):
 @query("trace_timeline_sliced", SQL_TIMELINE)
 def trace_timeline_sliced(t):
     # A limit this low sends nearly every job down the path meant for busy ones.
-    return progress.trace_timeline(t.steps, group_rows=6)
+    return progress.trace_timeline(t.steps, ranges=6)
 
 
 SQL_CHANGES = """
@@ -50,7 +50,7 @@ def status_changes(t):
 
 @query("status_changes_sliced", SQL_CHANGES)
 def status_changes_sliced(t):
-    return progress.status_changes(t.snapshots, ["status", "phase"], group_rows=6).drop("body")
+    return progress.status_changes(t.snapshots, ["status", "phase"], ranges=6).drop("body")
 
 
 @query("approval_audit", """SELECT job_id, ts, seq, gate, coalesce(nullif(decision, ''), 'reject') AS decision, coalesce(reviewer, 'unknown') AS reviewer FROM {decisions} d""")

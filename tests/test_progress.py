@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import number_rows, split_hot, text_parts, time_slices
+from tidemark.operators.metrics import exact_quantiles
+from tidemark.operators.ordering import RANGE, in_ranges, number_rows, text_parts
 from tidemark.operators.progress import TERMINAL, latest_approvals, status_changes, trace_timeline
 from tidemark.session import scratch_path
 from tidemark.sources import stores
@@ -43,8 +44,8 @@ def expected(rows):
 def test_status_changes_equal_brute_force(spark):
     rows = snapshots()
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    for group_rows in (10_000, 700, 20):
-        got = sorted((r["job_id"], r["seq"]) for r in status_changes(df, ["status", "note"], group_rows).collect())
+    for ranges in (None, 2, 9, 40):
+        got = sorted((r["job_id"], r["seq"]) for r in status_changes(df, ["status", "note"], ranges).collect())
         assert got == expected(rows)
 
 
@@ -64,7 +65,7 @@ def test_feed_over_batches_and_replays(spark):
 def test_timeline(spark):
     rows = [("hot" if i % 3 else f"j{i % 7}", random.Random(i).choice(["Plan", "Validate", "Odd"]), START + dt.timedelta(seconds=(i * 37) % 1000), i) for i in range(900)]
     df = spark.createDataFrame(rows, "job_id string, phase string, ts timestamp, step_id int").repartition(5)
-    got = {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df, 25).collect()}
+    got = {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df, 23).collect()}
     assert got == {r["step_id"]: (r["step_no"], r["phase_no"], r["display_group"]) for r in trace_timeline(df).collect()}
     seen, firsts = {}, {}
     for job, phase, ts, i in sorted(rows, key=lambda r: (r[2], r[3])):
@@ -90,7 +91,7 @@ def test_rows_without_job_phase_or_time_are_kept(spark):
 
 def test_number_rows_with_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), F.hash("id").alias("v"))
-    rows = number_rows(df.repartition(7), ["k"], ["v"], "n", limit=1000).collect()
+    rows = number_rows(df.repartition(7), ["k"], ["v"], "n", 9).collect()
     assert sorted(rows) == sorted(number_rows(df, ["k"], ["v"], "n").collect())
     by_key = {}
     for r in rows:
@@ -100,23 +101,43 @@ def test_number_rows_with_a_hot_key(spark):
         assert [n for _, n in sorted(values)] == list(range(1, len(values) + 1))
 
 
-def test_hot_keys_are_split_off_and_nulls_too(spark):
+def test_rows_without_a_key_are_numbered(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, None).when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
-    cold, hot = split_hot(df, ["k"], 100)
-    assert (cold.count(), hot.count()) == (300, 700)
-    assert split_hot(df, ["k"], 500)[1] is None
-    rows = number_rows(df, ["k"], ["id"], "n", limit=100).filter("k is null").collect()
-    assert sorted(r["n"] for r in rows) == list(range(1, 401))
-
-
-def test_slices_narrow_until_a_burst_fits(spark):
-    burst = spark.range(3000).select(F.lit("j").alias("j"), F.timestamp_micros(F.col("id") * 3).alias("ts"))
-    calm = spark.range(50).select(F.lit("j").alias("j"), F.timestamp_seconds(F.col("id") * 86400 + 60).alias("ts"))
-    cut = time_slices(burst.unionByName(calm), ["j"], "ts", 100)
-    sizes = [r["count"] for r in cut.groupBy("j", "_slice").count().collect()]
-    assert sum(sizes) == 3050 and max(sizes) <= 100
-    tied = spark.range(500).select(F.lit("j").alias("j"), F.timestamp_seconds(F.lit(5)).alias("ts"))
-    assert time_slices(tied, ["j"], "ts", 100).select("_slice").distinct().count() == 1
+    rows = number_rows(df, ["k"], ["id"], "n", 7).filter("k is null").collect()
+    assert [r["n"] for r in sorted(rows, key=lambda r: r["id"])] == list(range(1, 401))
+    assert number_rows(df.limit(0), ["k"], ["id"], "n", 7).collect() == []
+
+
+def test_equal_times_of_one_key_spread_over_all_ranges(spark):
+    tied = spark.range(1_000_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(5)).alias("ts"), "id")
+    sizes = [r["count"] for r in in_ranges(tied, ["k"], ["ts"], 8).groupBy(RANGE).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 1_000_000 and max(sizes) < 250_000
+    numbered = number_rows(tied, ["k"], ["ts", "id"], "n", 8)
+    assert numbered.filter(F.col("n") != F.col("id") + 1).isEmpty()
+
+
+def test_repeated_rows_and_maps_are_numbered(spark):
+    df = spark.range(300).select((F.col("id") % 2).alias("k"), F.lit(1).alias("v"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    rows = number_rows(df, ["k"], ["v"], "n", 5).collect()
+    assert sorted((r["k"], r["n"]) for r in rows) == [(k, n) for k in (0, 1) for n in range(1, 151)]
+
+
+def test_exact_quantiles_count_equal_values_first(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([7.0, 7.0, 7.0, rng.random() * 10, None])) for _ in range(3000)] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    qs = (0.0, 0.25, 0.5, 0.99, 1.0)
+    for ranges in (None, 5):
+        got = {r["k"]: list(r)[1:] for r in exact_quantiles(df, ["k"], qs, "v", ranges).collect()}
+        assert set(got) == {"a", "b", None, "one"}
+        for k, found in got.items():
+            values = sorted(v for key, v in rows if key == k and v is not None)
+            for q, x in zip(qs, found):
+                at = (len(values) - 1) * q
+                low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+                assert abs(x - (low + (high - low) * (at - int(at)))) < 1e-9
+    hot = spark.range(100_000, numPartitions=8).select(F.when(F.col("id") % 10 > 0, 1.0).otherwise(F.col("id").cast("double")).alias("v"))
+    assert list(exact_quantiles(hot, [], (0.5, 1.0), "v", 4).first()) == [1.0, 99990.0]
 
 
 def test_text_parts(spark):

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordering import join_groups, number_rows
+from tidemark.operators.ordering import RANGE, in_ranges, join_groups, running
 
 # Histogram bucket edges in seconds, prices per 1,000 tokens, and the guard against division by zero.
 BUCKETS = {
@@ -130,24 +130,30 @@ def windowed_quantiles(
     return found.select("window_start", *labels, "count", *[histogram_quantile(q, buckets).alias(f"p{q * 100:g}") for q in qs])
 
 
-def exact_quantiles(events: DataFrame, labels: Sequence[str], qs: Sequence[float] = (0.5, 0.95, 0.99), value: str = "value") -> DataFrame:
+def exact_quantiles(
+    events: DataFrame, labels: Sequence[str], qs: Sequence[float] = (0.5, 0.95, 0.99), value: str = "value", ranges: int | None = None
+) -> DataFrame:
     """The true quantiles, for comparison with the histogram's.
 
-    Values are ranked across tasks (see ``number_rows``) and only the one or two rows around each
-    quantile are kept, so no task holds all values of a label set.
+    Equal values are counted before they are shuffled, so a value on most of the rows is one row per task. The counts are
+    summed up in order over ranges of (labels, value), and each quantile picks the one or two values whose counts reach it.
     """
-    ranked = number_rows(events.filter(F.col(value).isNotNull()).select(*labels, value), labels, [value], "_rank")
-    sizes = ranked.groupBy(*labels).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(f"p{q * 100:g}").alias("name")) for q in qs]))
-    spots = sizes.select(*labels, "_n", wanted.alias("w")).select(
-        *labels, F.col("w.name").alias("name"), ((F.col("_n") - 1) * F.col("w.q") + 1).alias("_at")
-    )
-    near = spots.withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
-    weight = F.when(F.floor("_at") == F.ceil("_at"), 0.5).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
-    picked = join_groups(near, ranked, [*labels, "_rank"]).groupBy(*labels, "name").agg(F.sum(F.col(value) * weight).alias("_v"))
-    return picked.groupBy(*labels).agg(*[
-        F.max(F.when(F.col("name") == f"p{q * 100:g}", F.col("_v"))).alias(f"p{q * 100:g}") for q in qs
-    ])
+    labels = list(labels)
+    counts = events.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = in_ranges(counts, labels, [value], ranges)
+    cuts = ranged.groupBy(*labels, RANGE).agg(F.sum("_n").alias("_part"))
+    totals = cuts.select(*labels, RANGE, F.sum("_part").over(Window.partitionBy(*labels)).alias("_total"))
+    placed = join_groups(running(ranged, labels, [value], F.col("_n"), "_upto"), totals, [*labels, RANGE])
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n")), F.col(value)))
+
+    out = []
+    for q in qs:
+        spot = (F.col("_total") - 1) * F.lit(float(q)) + 1
+        low, high, share = at_rank(F.floor(spot)), at_rank(F.ceil(spot)), F.max(spot - F.floor(spot))
+        out.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share).cast("double").alias(f"p{q * 100:g}"))
+    return placed.groupBy(*labels).agg(*out)
 
 
 def success_rate(events: DataFrame, length: str, labels: Sequence[str], ok: Column, slide: str | None = None) -> DataFrame:

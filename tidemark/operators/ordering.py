@@ -1,7 +1,8 @@
-"""Numbering and look-back inside groups, some of which may be too large for one task.
+"""Numbering and look-back inside groups of any size.
 
-Groups up to ``HOT_ROWS`` rows are windowed as they are. Larger ones, of which there can be no more
-than all rows divided by that limit, are cut into pieces that are worked off by themselves and then joined up.
+Rows are range-partitioned by key and order, so a large key is spread over as many ranges as it needs and no
+key has to be known beforehand. Each range is worked off by itself; what a key brings along from earlier
+ranges (a count, a last value) is found by a scan over one row per key and range.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tidemark.session import cut_lineage
 
-HOT_ROWS = 5_000_000
+RANGE, TIE = "_range", "_tie"
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -23,68 +24,66 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str
     return df.join(renamed, same, how).drop(*[f"_g_{k}" for k in keys])
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of groups larger than ``limit`` (or nothing when there are none).
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Rows in ranges (``_range``) that follow the keys and then the order.
 
-    Only the keys of the large groups reach the driver: at most all rows divided by the limit. ``sizes``
-    (keys and ``_n``) saves counting where a cheaper input knows the counts.
+    Equal places in the order are told apart by a hash of the other columns (``_tie``), so many rows with the same
+    key and time spread as well; only rows equal in every column share a range. The ranges are checkpointed
+    because they must not be drawn anew when a stage is repeated. ``ranges`` fixes their number; else it is
+    the session's, and AQE joins neighbouring small ones.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
-    hot = counted.filter(F.col("_n") > limit).select(*keys)
-    rows = hot.collect()
-    if not rows:
-        return df, None
-    small = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    return join_groups(df, small, keys, "left_anti"), join_groups(df, small, keys, "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not _has_map(f.dataType)]
+    told = df.withColumn(TIE, F.xxhash64(*hashed))
+    by = [*keys, *order, TIE]
+    cut = told.repartitionByRange(*by) if ranges is None else told.repartitionByRange(ranges, *by)
+    return cut_lineage(cut.withColumn(RANGE, F.spark_partition_id()))
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, limit: int = HOT_ROWS, sizes: DataFrame | None = None
-) -> DataFrame:
-    """``row_number`` from 1 per key, without bringing a large key into one task.
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
 
-    Rows of large keys are range-partitioned by key and order. Each range is numbered by itself, then
-    shifted by the rows of the same key in earlier ranges. The ranged rows are checkpointed because the
-    ranges must not be drawn anew when a stage is repeated.
-    """
-    cold, hot = split_hot(df, keys, limit, sizes)
-    plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    if hot is None:
-        return plain
-    ranged = cut_lineage(hot.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
-    )
-    placed = join_groups(ranged.withColumn("_inside", F.row_number().over(inside)), shift, [*keys, "_range"])
-    numbered = placed.withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
-    return plain.unionByName(numbered.select(*plain.columns))
-
-
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
-def time_slices(hot: DataFrame, keys: Sequence[str], column: str, limit: int) -> DataFrame:
-    """Number slices of time (``_slice``) so that no group keeps more than ``limit`` rows in one slice.
-
-    Slices have equal width, first chosen for an even flow and narrowed while a burst still overfills
-    one; rows that share the very same time stay together, and rows without a time come first.
+
+def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """The rows of a key within one range, in order."""
+    return Window.partitionBy(*keys, RANGE).orderBy(*order, TIE)
+
+
+def earlier(keys: Sequence[str]) -> WindowSpec:
+    """Over one row per key and range: all ranges before this one."""
+    return Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carry_over(rows: DataFrame, keys: Sequence[str], partial: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """Add to each row what its key brings along from earlier ranges; NULL for keys that begin in the row's range.
+
+    ``partial`` are aggregates per key and range, ``carried`` window expressions over them (see ``earlier``). Only the
+    first key of a range can have rows in an earlier one, so at most one row per range is broadcast.
     """
-    at = micros(F.col(column))
-    facts = hot.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    low, high = facts["lo"] or 0, facts["hi"] or 0
-    width = max(1, (high - low + 1) * limit // (2 * facts["n"]))
-    while True:
-        number = F.floor((at - F.lit(low)) / F.lit(width)).cast("bigint")
-        cut = hot.withColumn("_slice", F.coalesce(number, F.lit(-1)))
-        fullest = cut.groupBy(*keys, "_slice").count().agg(F.max("count")).first()[0]
-        if fullest <= limit or width == 1:
-            return cut
-        width = max(1, width // 8)
+    facts = rows.groupBy(*keys, RANGE).agg(*[c.alias(n) for n, c in partial.items()])
+    brought = facts.select(
+        *keys, RANGE, *[c.alias(n) for n, c in carried.items()], F.count(F.lit(1)).over(earlier(keys)).alias("_ranges_before")
+    ).filter(F.col("_ranges_before") > 0)
+    return join_groups(rows, F.broadcast(brought.drop("_ranges_before")), [*keys, RANGE], "left")
+
+
+def running(ranged: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Sum of ``amount`` up to and including each row, over rows from ``in_ranges``."""
+    upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = carry_over(
+        ranged, keys, {"_sum": F.sum(amount)}, {"_shift": F.sum("_sum").over(earlier(keys))}
+    ).withColumn("_own", F.sum(amount).over(upto))
+    return placed.withColumn(name, (F.col("_own") + F.coalesce("_shift", F.lit(0))).cast("bigint")).drop("_own", "_shift")
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, ranges: int | None = None
+) -> DataFrame:
+    """``row_number`` from 1 per key, without bringing a large key into one task."""
+    return running(in_ranges(df, keys, order, ranges), keys, order, F.lit(1), name).drop(RANGE, TIE)
 
 
 def text_parts(

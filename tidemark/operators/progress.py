@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordering import HOT_ROWS, join_groups, split_hot, time_slices
+from tidemark.operators.ordering import RANGE, TIE, carry_over, earlier, in_ranges, inside, join_groups, running
 
 # Display group of each phase, the phase of steps that name none, statuses that end a job, and what an approval without an entry means.
 DISPLAY_GROUPS = {
@@ -28,68 +28,50 @@ ROUTES = {
 }
 
 
-def trace_timeline(steps: DataFrame, group_rows: int = HOT_ROWS) -> DataFrame:
+def trace_timeline(steps: DataFrame, ranges: int | None = None) -> DataFrame:
     """Steps numbered within job and phase, phases numbered in the order they first appear.
 
-    Input: job_id, phase, ts, step_id. Phases with more than ``group_rows`` steps in one job are numbered
-    inside slices of time and shifted by the steps of earlier slices, so no task holds all of them.
+    Input: job_id, phase, ts, step_id. A phase of any size is numbered range by range (see ``ordering``); its
+    place among the job's phases comes by key and range too, so no task holds a whole phase.
     """
-    key = ["job_id", "phase"]
-    steps = steps.withColumn("phase", F.coalesce("phase", F.lit(NO_PHASE)))
-    totals = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
-    phases = totals.withColumn(
+    key, order = ["job_id", "phase"], ["ts", "step_id"]
+    ranged = in_ranges(steps.withColumn("phase", F.coalesce("phase", F.lit(NO_PHASE))), key, order, ranges)
+    cuts = ranged.groupBy(*key, RANGE).agg(F.min("ts").alias("_first"))
+    phases = cuts.groupBy(*key).agg(F.min("_first").alias("_first")).withColumn(
         "phase_no", F.row_number().over(Window.partitionBy("job_id").orderBy("_first", "phase"))
     ).select(*key, "phase_no")
-    cold, hot = split_hot(steps, key, group_rows, totals)
-    order = ["ts", "step_id"]
-    numbered = cold.withColumn("step_no", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint"))
-    if hot is not None:
-        cut = time_slices(hot, key, "ts", group_rows)
-        earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        shift = cut.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
-            *key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
-        )
-        inside = F.row_number().over(Window.partitionBy(*key, "_slice").orderBy(*order))
-        sliced = join_groups(cut.withColumn("_in", inside), shift, [*key, "_slice"]).withColumn(
-            "step_no", (F.col("_in") + F.col("_shift")).cast("bigint")
-        )
-        numbered = numbered.unionByName(sliced.select(*numbered.columns))
+    numbered = running(ranged, key, order, F.lit(1), "step_no")
     group = F.create_map(*[F.lit(x) for kv in DISPLAY_GROUPS.items() for x in kv])[F.col("phase")]
-    return join_groups(numbered, phases, key).withColumn("display_group", group)
+    placed = join_groups(numbered, join_groups(cuts.drop("_first"), phases, key), [*key, RANGE])
+    return placed.drop(RANGE, TIE).withColumn("display_group", group)
 
 
-def _seen_and_stop(cold: DataFrame, hot: DataFrame | None, group_rows: int) -> DataFrame:
-    """Add to each snapshot the payload before it (``_seen``) and the first terminal snapshot of its job (``_stop``)."""
-    order = F.struct("ts", "seq")
-    end = F.when(F.col("status").isin(*TERMINAL), order)
-    job = Window.partitionBy("job_id")
-    whole = cold.withColumn("_seen", F.lag("_body").over(job.orderBy("ts", "seq"))).withColumn("_stop", F.min(end).over(job))
-    if hot is None:
-        return whole
-    cut = time_slices(hot, ["job_id"], "ts", group_rows)
-    per_slice = cut.groupBy("job_id", "_slice").agg(F.max_by("_body", order).alias("_last"), F.min(end).alias("_end"))
-    edges = per_slice.select(
-        "job_id", "_slice", F.lag("_last").over(job.orderBy("_slice")).alias("_before"), F.min("_end").over(job).alias("_stop")
+def _seen_and_stop(ranged: DataFrame) -> DataFrame:
+    """Add to each snapshot the payload before it (``_seen``) and the first terminal snapshot of its job up to its range (``_stop``)."""
+    job, order = ["job_id"], ["ts", "seq"]
+    end = F.when(F.col("status").isin(*TERMINAL), F.struct(*order))
+    brought = carry_over(
+        ranged, job, {"_last": F.max_by("_body", F.struct(*order, TIE)), "_end": F.min(end)},
+        {"_before": F.last("_last").over(earlier(job)), "_ended": F.min("_end").over(earlier(job))},
     )
-    inside = Window.partitionBy("job_id", "_slice").orderBy("ts", "seq")
-    sliced = join_groups(cut.withColumn("_in", F.lag("_body").over(inside)), edges, ["job_id", "_slice"]).withColumn(
-        "_seen", F.coalesce("_in", "_before")
+    here = inside(job, order)
+    return brought.withColumn("_seen", F.coalesce(F.lag("_body").over(here), "_before")).withColumn(
+        "_stop", F.coalesce("_ended", F.min(end).over(Window.partitionBy("job_id", RANGE)))
     )
-    return whole.unionByName(sliced.select(*whole.columns))
 
 
 def status_changes(
-    snapshots: DataFrame, payload: Sequence[str], group_rows: int = HOT_ROWS, previous: DataFrame | None = None
+    snapshots: DataFrame, payload: Sequence[str], ranges: int | None = None, previous: DataFrame | None = None
 ) -> DataFrame:
     """The snapshots a watcher is sent: those that differ from the one before, up to the first terminal status.
 
     Input: job_id, ts, seq, status and the ``payload`` columns compared. ``previous`` (job_id,
-    last_payload, ended) continues from an earlier run. A job with more than ``group_rows`` snapshots is cut
-    into slices of time, and one row per slice carries the last payload over to the next.
+    last_payload, ended) continues from an earlier run. A job of any size is spread over ranges of time (see
+    ``ordering``), and one row per range carries the last payload and the end over to the next.
     """
     order = F.struct("ts", "seq")
     told = snapshots.withColumn("_body", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
-    placed = _seen_and_stop(*split_hot(told, ["job_id"], group_rows), group_rows)
+    placed = _seen_and_stop(in_ranges(told, ["job_id"], ["ts", "seq"], ranges))
     if previous is not None:
         placed = join_groups(placed, previous.select("job_id", "last_payload", "ended"), ["job_id"], "left").filter(
             ~F.coalesce(F.col("ended"), F.lit(False))
