@@ -2,7 +2,9 @@
 
 import random
 
-from tidemark.plans import risk
+import pytest
+
+from tidemark.plans import risk, waves as wave_module
 from tidemark.plans.waves import apply_order, load_waves, waves
 
 OBJECTS = "job_id string, ord int, dialect string, object_type string, object_name string, schema_name string"
@@ -72,6 +74,44 @@ def test_waves_without_parents_in_scope(spark):
     assert {r["wave"] for r in waves(nodes, links, ["s"], "name").collect()} == {0}
 
 
+def _plain_waves(names, links):
+    parents = {n: {p for c, p in links if c == n and p != n and p in names} for n in names}
+    wave, settled = {}, set()
+    for depth in range(len(names) + 1):
+        fresh = {n for n in names if n not in settled and parents[n] <= settled}
+        wave.update(dict.fromkeys(fresh, depth))
+        settled |= fresh
+    return {n: wave.get(n) for n in names}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_waves_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"t{i}" for i in range(40)]
+    jobs = {j: [(rng.choice(names), rng.choice([*names, "gone"])) for _ in range(25 + 10 * j)] for j in range(3)}
+    # Links mostly from later to earlier names, so that chains grow; a few go back and close cycles.
+    jobs = {j: [(max(c, p, key=len), min(c, p, key=len)) if rng.random() < 0.2 else (c, p) for c, p in e] for j, e in jobs.items()}
+    jobs[3] = [(f"t{i}", f"t{i - k}") for i in range(1, 40) for k in (1, 2, 7) if k <= i and rng.random() < 0.5]
+    nodes = spark.createDataFrame([(j, n) for j in jobs for n in names], "j int, name string")
+    links = spark.createDataFrame([(j, *e) for j, es in jobs.items() for e in [*es, *es[:3]]], "j int, child string, parent string")
+    got = {(r["j"], r["name"]): r["wave"] for r in waves(nodes, links, ["j"], "name").collect()}
+    assert got == {(j, n): w for j, es in jobs.items() for n, w in _plain_waves(names, es).items()}
+
+
+def test_a_chain_and_a_hub(spark, monkeypatch):
+    """A chain of 50 tables whose last one has 20,000 children: rounds before the last two write only what they met."""
+    written = []
+    keep = wave_module.cut_lineage
+    monkeypatch.setattr(wave_module, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    chain = spark.range(50).selectExpr("'j' as j", "concat('c', id) as name")
+    leaves = spark.range(20_000).selectExpr("'j' as j", "concat('l', id) as name")
+    links = chain.filter("name <> 'c0'").selectExpr("j", "name as child", "concat('c', cast(substr(name, 2) as int) - 1) as parent")
+    found = waves(chain.union(leaves), links.union(leaves.selectExpr("j", "name as child", "'c49' as parent")), ["j"], "name")
+    sizes = [df.count() for df in written]
+    assert sizes[0] == 20_049 and sizes[-1] == 20_000 and max(sizes[1:-1]) == 1 and len(sizes) == 52
+    assert {r["wave"]: r["count"] for r in found.groupBy("wave").count().collect()} == {**dict.fromkeys(range(50), 1), 50: 20_000}
+
+
 def test_risk(spark):
     objects = spark.createDataFrame(
         [("j", k, "oracle", kind, name, "s") for k, (kind, name) in enumerate(

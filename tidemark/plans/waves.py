@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tidemark.plans.risk import with_type_priority
 from tidemark.session import cut_lineage
@@ -17,12 +17,15 @@ APPLY_ORDER = (("procedure", "function"), ("view",), ("trigger",), ("foreign_key
 def waves(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], name: str) -> DataFrame:
     """Wave of each node: 0 without parents, else one more than the latest parent; NULL in or below a cycle.
 
-    Self references and edges to unknown nodes do not count. Each round settles one wave in all jobs
-    together, so there are as many rounds as the longest chain in any job. Per round only the number
-    of open parents per unsettled node is kept, checkpointed to keep the plan short.
+    Self references and edges to unknown nodes do not count. Each round settles one wave in all jobs together, so
+    there are as many rounds as the longest chain in any job. An edge carries how many parents its child has; a
+    round follows the edges out of the wave settled last and keeps only the children met so far, with the number of
+    their settled parents. It is one action, which also counts what was settled. Edges leave when half of them
+    are settled, so all rewriting together costs no more than twice the edges.
     """
     scope = list(scope)
-    known = nodes.select(*scope, name)
+    node = [*scope, name]
+    known = nodes.select(*node)
     links = (
         edges.filter(F.col("child") != F.col("parent"))
         .select(*scope, "child", "parent")
@@ -30,29 +33,46 @@ def waves(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], name: str) -
         .join(known.withColumnRenamed(name, "child"), [*scope, "child"], "left_semi")
         .join(known.withColumnRenamed(name, "parent"), [*scope, "parent"], "left_semi")
     )
-    links = cut_lineage(links)
-    open_parents = links.groupBy(*scope, F.col("child").alias(name)).agg(F.count(F.lit(1)).alias("_open"))
-    settled = [cut_lineage(known.join(open_parents, [*scope, name], "left_anti").withColumn("wave", F.lit(0)))]
-    frontier, todo, wave = settled[0], open_parents, 0
-    while True:
+    parents = links.groupBy(*scope, "child").agg(F.count(F.lit(1)).alias("_open"))
+    live, facts = _counted(links.join(parents, [*scope, "child"]), F.count(F.lit(1)).alias("edges"))
+    children = live.select(*scope, F.col("child").alias(name)).distinct()
+    roots, _ = _counted(known.join(children, node, "left_anti").withColumn("wave", F.lit(0)), F.count(F.lit(1)).alias("n"))
+    settled, frontier, touched = [roots], roots, None
+    left, gone, leaving, wave = facts["edges"], 0, [roots.select(*node)], 0
+    while left > 0:
         wave += 1
-        done = (
-            links.join(frontier.select(*scope, F.col(name).alias("parent")), [*scope, "parent"])
+        met = (
+            live.join(frontier.select(*scope, F.col(name).alias("parent")), [*scope, "parent"])
             .groupBy(*scope, F.col("child").alias(name))
-            .agg(F.count(F.lit(1)).alias("_done"))
+            .agg(F.count(F.lit(1)).alias("_done"), F.max("_open").alias("_open"), F.count(F.lit(1)).alias("_new"))
         )
-        todo = cut_lineage(
-            todo.join(done, [*scope, name], "left").select(
-                *scope, name, (F.col("_open") - F.coalesce("_done", F.lit(0))).alias("_open")
+        if touched is not None:
+            met = met.unionByName(touched.withColumn("_new", F.lit(0).cast("bigint"))).groupBy(*node).agg(
+                F.sum("_done").alias("_done"), F.max("_open").alias("_open"), F.sum("_new").alias("_new")
             )
-        )
-        frontier = todo.filter(F.col("_open") == 0).select(*scope, name, F.lit(wave).alias("wave"))
-        todo = todo.filter(F.col("_open") > 0)
-        if frontier.isEmpty():
+        whole = F.col("_done") == F.col("_open")
+        state, facts = _counted(met, F.count_if(whole).alias("settled"), F.sum("_new").alias("edges"))
+        if not facts["settled"]:
             break
+        frontier = state.filter(whole).select(*node, F.lit(wave).alias("wave"))
+        touched = state.filter(~whole).select(*node, "_done", "_open")
         settled.append(frontier)
-    rest = todo.select(*scope, name, F.lit(None).cast("int").alias("wave"))
-    return reduce(lambda a, b: a.unionByName(b), [*settled, rest])
+        leaving.append(frontier.select(*node))
+        left, gone = left - facts["edges"], gone + facts["edges"]
+        if 0 < left <= gone:
+            # The parents of the wave settled last still have their edges to give out.
+            past = reduce(DataFrame.unionByName, leaving[:-1]).withColumnRenamed(name, "parent")
+            live = cut_lineage(live.join(past, [*scope, "parent"], "left_anti"))
+            leaving, gone = leaving[-1:], 0
+    found = reduce(DataFrame.unionByName, settled)
+    rest = children.join(found, node, "left_anti").withColumn("wave", F.lit(None).cast("int"))
+    return found.unionByName(rest)
+
+
+def _counted(df: DataFrame, *facts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The rows, checkpointed, and facts about them that the same action counts."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, *facts)), seen.get
 
 
 def load_waves(tables: DataFrame, edges: DataFrame) -> DataFrame:
