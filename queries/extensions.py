@@ -88,6 +88,43 @@ def conversion_failures(t):
     return convert.conversion_failures(t.legacy_parts, _TARGETS)
 
 
+# Native types of the old columns per source, and the SQL of each column per pair.
+_NATIVE = {
+    "oracle": {"is_stocked": "NUMBER(1,0)", "made_in": "NUMBER(4)", "price": "NUMBER(10,2)", "size_text": "NUMBER(9,0)", "tags": "CLOB", "label": "VARCHAR2(40)"},
+    "mysql": {"is_stocked": "tinyint(1)", "made_in": "year", "price": "decimal(10,2)", "size_text": "int", "tags": "enum('a')", "label": "varchar(40)"},
+    "postgresql": {"is_stocked": "boolean", "made_in": "smallint", "price": "numeric(10,2)", "size_text": "numeric(18)", "tags": "jsonb", "label": "uuid"},
+}
+_FLAG = "CASE is_stocked WHEN '1' THEN 1 WHEN '0' THEN 0 END"
+_SHORT = "CASE WHEN length(label) <= {} THEN label END"
+_PAIR_SQL = {
+    "oracle": {"is_stocked": "try_cast(is_stocked AS smallint)", "made_in": "try_cast(made_in AS smallint)", "size_text": "try_cast(size_text AS int)", "label": _SHORT.format(40)},
+    "mysql": {"is_stocked": _FLAG, "made_in": "try_cast(made_in AS smallint)", "size_text": "try_cast(size_text AS int)", "label": _SHORT.format(40)},
+    "postgresql": {"is_stocked": _FLAG, "made_in": "try_cast(made_in AS smallint)", "size_text": "try_cast(size_text AS bigint)", "label": _SHORT.format(36)},
+}
+
+
+def _pair(source, target):
+    sql = {"price": "try_cast(price AS decimal(10,2))", "tags": "tags", **_PAIR_SQL[source]}
+    if source != "oracle":
+        sql["is_stocked"] = f"cast({_FLAG} AS {convert.PAIR_RULES[source, target]['tinyint(1)' if source == 'mysql' else 'boolean']})"
+    if (source, target) == ("mysql", "oracle"):
+        sql["made_in"] = "try_cast(made_in AS decimal(4,0))"
+    native = _NATIVE[source]
+
+    @query(f"convert_{source}_{target}", "SELECT p_partkey, " + ", ".join(f"{sql[c]} AS {c}" for c in native) + " FROM {legacy_parts} p")
+    def rows(t):
+        return convert.convert_between(t.legacy_parts, native, source, target)
+
+    @query(f"convert_failures_{source}_{target}", " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS \"values\", count(*) FILTER ({c} IS NOT NULL AND ({sql[c]}) IS NULL) AS failures FROM {{legacy_parts}} p" for c in native))
+    def failures(t):
+        return convert.conversion_failures(t.legacy_parts, convert.targets_for(native, source, target)).drop("target_type")
+
+
+for _source, _target in convert.PAIR_RULES:
+    _pair(_source, _target)
+
+
 @query("normalize_set", """SELECT p_partkey, cast(position AS int) AS position, item FROM (
 SELECT p_partkey, unnest(range(len(string_split(tags, ',')))) AS position, unnest(string_split(tags, ',')) AS item FROM {legacy_parts} p) x""")
 def normalize_set(t):

@@ -191,3 +191,50 @@ SELECT a.column_name, {', '.join(f'a.{s} AS {f}_source, b.{s} AS {f}_target' for
 FROM a JOIN b ON a.column_name = b.column_name""")
 def profile_compare(t):
     return reconcile.profile_compare(t.customer, t.tgt_customer)
+
+
+def _sql_totals(table: str, source: str) -> str:
+    """Column by column; orders hold no other kinds than these."""
+    parts = []
+    for c in COLUMNS[table].split():
+        name, kind = c.split(":")
+        amount = {"i": f"cast({name} AS decimal(38,0))", "d": f"cast(cast({name} AS varchar) AS decimal(38,9))"}.get(
+            kind, f"cast(epoch_us({name}) AS decimal(38,0))" if name.endswith("date") else f"cast(length({name}) AS decimal(38,0))")
+        total = f"cast(sum({amount}) AS varchar)"
+        if kind == "d":
+            total = f"rtrim(rtrim({total}, '0'), '.')"
+        parts.append(
+            f"SELECT '{name}' AS column_name, count({name}) AS v, {sql_cell(f'min({name})', kind)} AS lo, {sql_cell(f'max({name})', kind)} AS hi, "
+            f"{total} AS su, cast(0 AS bigint) AS un FROM {source} x"
+        )
+    return " UNION ALL ".join(parts)
+
+
+_TOTALS = (("values", "v"), ("least", "lo"), ("greatest", "hi"), ("total", "su"), ("unsummed", "un"))
+
+
+@query("profile_totals", f"""
+WITH a AS ({_sql_totals('orders', 'orders')}), b AS ({_sql_totals('orders', '{tgt_orders}')})
+SELECT a.column_name, {', '.join(f'a.{s} AS {f}_source, b.{s} AS {f}_target' for f, s in _TOTALS)},
+       {' AND '.join(f'a.{s} IS NOT DISTINCT FROM b.{s}' for _, s in _TOTALS)} AS totals_match
+FROM a JOIN b ON a.column_name = b.column_name""")
+def profile_totals(t):
+    return reconcile.profile_totals(t.orders, t.tgt_orders)
+
+
+def _sql_sample(table: str, target: str, key: str, chosen: str, k: int) -> str:
+    return f"""
+WITH k AS (SELECT {key} FROM ({chosen}) d ORDER BY md5(cast({key} AS varchar)), {key} LIMIT {k}),
+a AS (SELECT {key}, count(*) AS n, min({sql_row(table)}) AS r FROM {table} x GROUP BY {key}), b AS (SELECT {key}, count(*) AS n, min({sql_row(table)}) AS r FROM {target} y GROUP BY {key})
+SELECT k.{key}, coalesce(a.n, 0) AS records_source, coalesce(b.n, 0) AS records_target, a.r AS record_source, b.r AS record_target
+FROM k LEFT JOIN a ON a.{key} = k.{key} LEFT JOIN b ON b.{key} = k.{key}"""
+
+
+@query("sample_differing", _sql_sample("supplier", "{tgt_supplier}", "s_suppkey", sql_row_diff("supplier", "{tgt_supplier}", "s_suppkey", "supplier"), 20))
+def sample_differing(t):
+    return reconcile.sample_records(t.supplier, t.tgt_supplier, ["s_suppkey"], 20)
+
+
+@query("sample_records", _sql_sample("customer", "{tgt_customer}", "c_custkey", "SELECT c_custkey FROM customer", 50))
+def sample_records(t):
+    return reconcile.sample_records(t.customer, t.tgt_customer, ["c_custkey"], 50, differing=False)

@@ -108,3 +108,12 @@ def test_row_diff_with_repeated_keys(spark):
     tgt = spark.createDataFrame([(1, "b"), (1, "a"), (2, "X"), (4, "z"), (5, "n")], "k int, v string")
     got = {r["k"]: r["difference"] for r in row_diff(src, tgt, ["k"]).collect()}
     assert got == {2: "changed", 3: "only_source", 4: "changed", 5: "only_target"}
+
+
+def test_maps_inside_structs_and_arrays_read_alike(spark):
+    kind = "s struct<m:map<string,struct<z:map<int,string>>>,n:int>, a array<struct<m:map<string,int>>>, l array<map<string,int>>"
+    one = [(({"a": ({1: "x", 2: "y"},), "b": (None,)}, 1), [({"p": 1, "q": None},), None], [{"k": 1, "j": 2}, None]), (None, None, None)]
+    two = [(({"b": (None,), "a": ({2: "y", 1: "x"},)}, 1), [({"q": None, "p": 1},), None], [{"j": 2, "k": 1}, None]), (None, None, None)]
+    three = [(({"b": (None,), "a": ({2: "y", 1: "z"},)}, 1), [({"q": None, "p": 1},), None], [{"j": 2, "k": 1}, None]), (None, None, None)]
+    texts = [[r[0] for r in spark.createDataFrame(x, kind).select(row_text(spark.createDataFrame(x, kind))).collect()] for x in (one, two, three)]
+    assert texts[0] == texts[1] and texts[0][0] != texts[2][0] and texts[0][1] == "||"

@@ -137,6 +137,16 @@ def test_overrides(spark):
     assert got[("p", "procedure")] == ("low", "old")
 
 
+def test_overrides_of_one_kind(spark):
+    register = spark.createDataFrame(
+        [("j", 0, "v", "view", "medium", "old"), ("j", 1, "v", "table", "low", None)],
+        "job_id string, ord int, object_name string, object_type string, risk_level string, reason string")
+    overrides = spark.createDataFrame(
+        [("j", "v", "view", "high", "uses ROWNUM", 0)], "job_id string, object_name string, object_type string, risk_level string, reason string, seq int")
+    got = {r["object_type"]: (r["risk_level"], r["reason"]) for r in risk.refine_risk(register, overrides).collect()}
+    assert got == {"view": ("high", "uses ROWNUM"), "table": ("low", None)}
+
+
 def test_all_candidates_stay_and_come_in_batches(spark):
     register = spark.range(5000).selectExpr(
         "case when id < 4000 then 'hot' else cast(id % 10 as string) end as job_id", "id as ord", "cast(id as string) as object_name",

@@ -45,6 +45,28 @@ def _number_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _ordered(c: Column, dtype: T.DataType) -> Column:
+    """The value with the entries of all maps in it, at any depth, in order of their keys: equal maps then read alike."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], dtype.valueType).alias("value")))
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(entries, order))
+    if not holds_map(dtype):
+        return c
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _ordered(x, dtype.elementType))
+    fields = [_ordered(c.getField(f.name), f.dataType).alias(f.name) for f in dtype]
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
+def holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(holds_map(f.dataType) for f in dtype)
+    if isinstance(dtype, T.ArrayType):
+        return holds_map(dtype.elementType)
+    return isinstance(dtype, T.MapType)
+
+
 def canonical(
     c: Column,
     dtype: T.DataType,
@@ -67,11 +89,8 @@ def canonical(
         text = F.array_join(F.transform(c, lambda x: canonical(x, inner, null_as_empty)), ",")
     elif yes_no_as_flag and isinstance(dtype, T.StringType):
         text = F.when(c == "Y", "1").when(c == "N", "0").otherwise(c)
-    elif isinstance(dtype, T.MapType):
-        # Entries in order of their keys, so that equal maps read alike.
-        text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))))
-    elif isinstance(dtype, (T.StructType, T.VariantType)):
-        text = F.to_json(c)
+    elif isinstance(dtype, (T.MapType, T.StructType, T.VariantType)):
+        text = F.to_json(_ordered(c, dtype))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("" if null_as_empty else NULL_MARK))

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
+from tidemark.functions.canonical import holds_map
 from tidemark.session import cut_lineage
 
 RANGE, TIE = "_range", "_tie"
@@ -32,21 +33,13 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges:
     because they must not be drawn anew when a stage is repeated. ``ranges`` fixes their number; else it is
     the session's, and AQE joins neighbouring small ones.
     """
-    hashed = [F.col(f"`{f.name}`") for f in df.schema if not _has_map(f.dataType)]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not holds_map(f.dataType) and not isinstance(f.dataType, T.VariantType)]
     told = df.withColumn(TIE, F.xxhash64(*hashed))
     by = [*keys, *order, TIE]
     cut = told.repartitionByRange(*by) if ranges is None else told.repartitionByRange(ranges, *by)
     return cut_lineage(cut.withColumn(RANGE, F.spark_partition_id()))
 
 
-def _has_map(kind: T.DataType) -> bool:
-    if isinstance(kind, T.StructType):
-        return any(_has_map(f.dataType) for f in kind)
-    if isinstance(kind, T.ArrayType):
-        return _has_map(kind.elementType)
-    return isinstance(kind, (T.MapType, T.VariantType))
-
-
 def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     """The rows of a key within one range, in order."""
     return Window.partitionBy(*keys, RANGE).orderBy(*order, TIE)

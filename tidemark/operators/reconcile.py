@@ -322,3 +322,95 @@ def profile_compare(src: DataFrame, tgt: DataFrame) -> DataFrame:
     )
     whole = tall.groupBy("column_name").agg(*pick).withColumn("profile_match", same)
     return whole.drop(*[f"{f}_{side}" for f in exact for side in ("source", "target")])
+
+
+def _summed(c: Column, dtype: T.DataType) -> Column | None:
+    """What a column adds to its total, as an exact number: sums of these agree in any order of the rows."""
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("decimal(20,0)")
+    if isinstance(dtype, T.DecimalType):
+        return c
+    if isinstance(dtype, T.FractionalType):
+        return c.try_cast("decimal(38,9)")
+    if isinstance(dtype, T.NumericType):
+        return c.cast("decimal(20,0)")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("decimal(20,0)")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("decimal(20,0)")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("decimal(20,0)")
+    if isinstance(dtype, PLAIN):
+        return F.length(c).cast("decimal(20,0)")
+    return None
+
+
+def _totals(df: DataFrame, side: str) -> DataFrame:
+    """Per column: values, least and greatest one as canonical text, total and values the total leaves out, in one pass."""
+    nothing = F.lit(None).cast("string")
+    out = []
+    for name, field in zip(df.columns, df.schema):
+        c, kind = F.col(f"`{name}`"), field.dataType
+        plain = isinstance(kind, PLAIN)
+        shown = lambda f, x=c, t=kind: F.when(F.count(x) > 0, canonical(f(x), t))
+        part = _summed(c, kind)
+        if part is None:
+            total, unsummed = nothing, F.count(c)
+        else:
+            scale = 9 if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else getattr(kind, "scale", 0)
+            total = F.when(F.count(part) > 0, canonical(F.try_sum(part), T.DecimalType(38, scale), null_as_empty=False))
+            unsummed = F.count(c) - F.count(part)
+        out.append(
+            F.struct(
+                F.lit(name).alias("column_name"), F.count(c).alias("values"),
+                (shown(F.min) if plain else nothing).alias("least"), (shown(F.max) if plain else nothing).alias("greatest"),
+                total.alias("total"), unsummed.alias("unsummed"),
+            )
+        )
+    return df.agg(F.array(*out).alias("p")).select(F.inline("p")).withColumn("side", F.lit(side))
+
+
+def profile_totals(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """Totals, least and greatest values of every column on both sides as text, with a match flag.
+
+    Numbers are added as they are, doubles at nine decimal places; booleans as 1/0, dates as days and times as
+    microseconds since 1970, texts and bytes by their length. All sums are of exact decimals, so the order of rows does not
+    matter. ``unsummed`` counts values that are no finite number of that size; nested columns show counts alone. A total
+    beyond 38 digits reads as the NULL mark. No values at all give NULL.
+    """
+    left, right = align_columns(src, tgt)
+    tall = _totals(left, "source").unionByName(_totals(right, "target"))
+    facts = ("values", "least", "greatest", "total", "unsummed")
+    pick = [F.max(F.when(F.col("side") == side, F.col(f))).alias(f"{f}_{side}") for f in facts for side in ("source", "target")]
+    same = reduce(lambda a, b: a & b, [F.col(f"{f}_source").eqNullSafe(F.col(f"{f}_target")) for f in facts])
+    return tall.groupBy("column_name").agg(*pick).withColumn("totals_match", same)
+
+
+def sample_records(src: DataFrame, tgt: DataFrame, keys: Sequence[str], k: int, differing: bool = True) -> DataFrame:
+    """``k`` keys with the records of both sides next to each other as canonical text.
+
+    The keys are those with the least MD5 of their text, so both sides, and a repeated run, show the same ones; ``differing``
+    chooses among keys whose records differ, else among all. A key with several records shows the least
+    of each side and their numbers. Only the k keys are broadcast.
+    """
+    left, right = align_columns(src, tgt)
+    keys = [c.lower() for c in keys]
+    if differing:
+        chosen = row_diff(left, right, keys).select(*keys)
+    else:
+        chosen = left.select(*keys).unionByName(right.select(*keys)).distinct()
+    chosen = chosen.withColumn("_place", F.md5(row_text(chosen))).orderBy("_place", *keys).limit(k).drop("_place")
+    chosen = chosen.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    same_key = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+
+    def records(df: DataFrame, side: str) -> DataFrame:
+        return df.join(F.broadcast(chosen), same_key, "left_semi").select(*keys, row_text(df).alias("_text"), F.lit(side).alias("_side"))
+
+    def of(side: str) -> Column:
+        return F.when(F.col("_side") == side, F.col("_text"))
+
+    both = records(left, "source").unionByName(records(right, "target"))
+    return both.groupBy(*keys).agg(
+        F.count(of("source")).alias("records_source"), F.count(of("target")).alias("records_target"),
+        F.min(of("source")).alias("record_source"), F.min(of("target")).alias("record_target"),
+    )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.native_types import base_type, is_risky
+from tidemark.operators.ordering import number_rows
 
 # Object kinds of the plan row, risk per kind, valid levels, and how many objects are refined at a time.
 PLAN_TYPES = ("table", "view", "procedure", "function", "trigger")
@@ -49,23 +50,26 @@ def score_risk(objects: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def refinement_candidates(register: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
-    """All medium and high objects of each job, in batches of ``size`` in catalogue order; batch 0 is reviewed first."""
-    order = Window.partitionBy("job_id").orderBy("ord")
-    place = F.row_number().over(order) - 1
-    return register.filter(F.col("risk_level").isin("medium", "high")).withColumn("batch_no", F.floor(place / size).cast("int"))
+    """All medium and high objects of each job, in batches of ``size`` in catalogue order; batch 0 is reviewed first.
+
+    A job of any size is numbered over ranges of its objects (see ``operators.ordering``).
+    """
+    placed = number_rows(register.filter(F.col("risk_level").isin("medium", "high")), ["job_id"], ["ord"], "_place")
+    return placed.withColumn("batch_no", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
 def refine_risk(register: DataFrame, overrides: DataFrame) -> DataFrame:
     """Apply reviewed levels (job_id, object_name, risk_level, reason, seq) by name; the last valid one counts.
 
-    Levels outside low/medium/high are dropped; an override without a reason keeps the old one.
+    Overrides that carry an ``object_type`` reach objects of that kind alone. Levels outside low/medium/high are dropped; an override without a reason keeps the old one.
     """
+    names = ["job_id", "object_name", *(["object_type"] if "object_type" in overrides.columns else [])]
     valid = (
         overrides.filter(F.col("risk_level").isin(*RISK_LEVELS))
-        .groupBy("job_id", "object_name")
+        .groupBy(*names)
         .agg(F.max_by(F.struct("risk_level", "reason"), "seq").alias("_o"))
     )
-    return register.join(valid, ["job_id", "object_name"], "left").select(
+    return register.join(valid, names, "left").select(
         "job_id", "ord", "object_name", "object_type",
         F.coalesce("_o.risk_level", "risk_level").alias("risk_level"),
         F.coalesce("_o.reason", "reason").alias("reason"),
