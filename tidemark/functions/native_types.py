@@ -56,7 +56,7 @@ TARGET_TYPES = {
     },
 }
 
-# Column types that have no counterpart in the other two dialects.
+# Column types that have no counterpart in the other two dialects.
 RISKY_TYPES = {
     "oracle": ("CLOB", "BLOB", "LONG", "LONG RAW", "RAW", "XMLTYPE", "ROWID", "UROWID", "BFILE"),
     "mysql": ("ENUM", "SET", "YEAR", "TINYBLOB", "MEDIUMBLOB", "LONGBLOB", "GEOMETRY", "POINT"),
