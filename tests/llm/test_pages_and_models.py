@@ -128,6 +128,91 @@ def test_classes_beat_unigrams_on_held_out_texts(spark):
     assert gain > 0.25
 
 
+def class_scores(rows, min_count, min_share):
+    """The class model in plain Python, with classes dealt in turn to frequent words and not exchanged."""
+    classes, endings = class_lm.CLASSES, class_lm.ENDINGS
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    train = [w for (d, _), w in zip(rows, texts) if zlib.crc32(str(d).encode()) % 7 != 2]
+    count = Counter(x for w in train for x in w)
+    tokens = sum(count.values()) + len(train)
+    least = max(min_count, math.ceil(min_share * tokens))
+    ending = lambda x: zlib.crc32(x[-3:].encode()) % endings
+    by_rank = sorted((x for x in count if count[x] >= least), key=lambda x: (count[x], int(class_lm.hashes([x]).view(np.int64)[0])), reverse=True)
+    cls = {x: k % classes for k, x in enumerate(by_rank)}
+    further = [x for x in count if min_count <= count[x] < least]
+    # Contexts while further words still count by their endings; None is the end.
+    context = lambda x: ("end",) if x is None else ("class", cls[x]) if x in by_rank else ("ending", ending(x))
+    near = {x: Counter() for x in by_rank + further}
+    for w in train:
+        line = [None, *w, None]
+        for a, b in zip(line, line[1:]):
+            if a in near:
+                near[a]["right", context(b)] += 1
+            if b in near:
+                near[b]["left", context(a)] += 1
+    table = [Counter() for _ in range(classes)]
+    for x in by_rank:
+        table[cls[x]].update(near[x])
+    h = lambda n: n * math.log(n) if n else 0.0
+    for x in further:
+        size = sum(near[x].values())
+        gains = [sum(h(t[c] + n) - h(t[c]) for c, n in near[x].items()) - h(t.total() + size) + h(t.total()) for t in table]
+        cls[x] = next(k for k, g in enumerate(gains) if g >= max(gains) - 1e-9)
+    # Targets: a class, or an ending with 0 (unknown), 1 (met once) or 2 (more).
+    target = lambda x, less: ("end",) if x is None else ("class", cls[x]) if x in cls else (ending(x), min(2, max(0, count[x] - less)))
+    steps = Counter()
+    for w in train:
+        line = [None, *w, None]
+        steps.update((target(a, 1), target(b, 1)) for a, b in zip(line, line[1:]))
+    states = classes + 3 * endings + 1
+    after, before = Counter(), Counter()
+    for (a, b), n in steps.items():
+        before[a] += n
+        after[b] += n
+    chance = lambda a, b: (steps[a, b] + class_lm.PULL * (after[b] + 0.01) / (steps.total() + 0.01 * states)) / (before[a] + class_lm.PULL)
+    out = {}
+    for (d, _), w in zip(rows, texts):
+        line, score = [None, *w, None], 0.0
+        for a, b in zip(line, line[1:]):
+            a, t = target(a, 0), target(b, 0)
+            if t[-1] == 0 and t[0] != "class":
+                score += math.log10(sum(chance(a, (e, 0)) for e in range(endings)))
+                continue
+            mass = 1
+            if t[0] == "class":
+                mass = max(1, sum(count[x] for x in cls if cls[x] == t[1])) / count[b]
+            elif t[0] != "end":
+                alike = [count[x] for x in count if x not in cls and ending(x) == t[0] and (count[x] > 1) == (t[1] == 2)]
+                mass = sum(alike) / count[b]
+            score += math.log10(chance(a, t) / mass)
+        out[d] = round(score, 4)
+    return out
+
+
+def test_class_scores_equal_brute_force(spark):
+    rows = [(k, f"{prose(k, 60, 40, 'ab'[k % 2])} {prose(k, 40, 700)}" if k else None) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: round(r["score"], 4) for r in class_lm.score_texts(docs, rounds=0, min_share=0.005, min_count=3).collect()}
+    assert got == pytest.approx(class_scores(rows, 3, 0.005), abs=2e-4)
+
+
+def test_clustered_words_grow_with_the_corpus(spark):
+    # Twice the texts, twice the words met often enough; those of a large share do not become more.
+    rows = [(k, prose(k, 100, 100, "ab"[k // 300])) for k in range(600)]
+    clustered = []
+    for n in (300, 600):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        seen = []
+        kept = class_lm.join_classes
+        class_lm.join_classes = lambda *a, seen=seen: seen.append(kept(*a)) or seen[0]
+        try:
+            assert class_lm.score_texts(docs, rounds=1, min_share=0.02, min_count=20).count() == n
+        finally:
+            class_lm.join_classes = kept
+        clustered.append(seen[0].count())
+    assert 1.8 * clustered[0] < clustered[1] and clustered[0] > 50
+
+
 def test_transitions_add_up_to_one():
     units = class_lm.Units(5)
     counts = np.random.default_rng(0).integers(0, 9, (units.classes, units.classes)).astype(float)

@@ -1,9 +1,11 @@
 """Scoring texts with Brown's class-based bigram model.
 
-Tokens are lower-case (A-Z) words and one end for each text. A word whose share of the training tokens is at least ``MIN_SHARE`` (so there are at most
-``1 / MIN_SHARE`` of them) belongs to one of ``CLASSES`` classes found by exchange clustering: in every round the tasks take the words' counts of
+Tokens are lower-case (A-Z) words and one end for each text. A word met ``MIN_COUNT`` times or more in the training texts belongs to one of ``CLASSES``
+classes, so the clustered vocabulary grows with the corpus. Classes are found in two steps. Words whose share of the training tokens is at least
+``MIN_SHARE`` (so there are at most ``1 / MIN_SHARE`` of them) are clustered by exchange: in every round the tasks take the words' counts of
 left and right neighbour classes and move each word, one after the other, to the class where the class bigrams' likelihood is
-highest; the moves of all tasks make the next round's classes. All other words, however many, belong to a class by their ending and
+highest; the moves of all tasks make the next round's classes. All further words, however many, then join the class where that likelihood is highest,
+each by its own neighbours; their classes stay in a table keyed by word. Words met less often belong to a class by their ending and
 by how often they occur. For these, a training token is classed as if it had not been seen itself: the only token of a word stands for unknown words, one of
 two tokens for words met once. So unknown words have a probability learnt from the text, and all probabilities of a context add up to one.
 
@@ -12,8 +14,9 @@ two tokens for words met once. So unknown words have a probability learnt from t
 Transitions are smoothed by the classes' own shares. Unknown words are one token.
 
 Distribution: texts are encoded in chunks of bounded size; each chunk's distinct words, as 64-bit hashes, meet the other chunks' for their
-counts over all training texts (one shuffle) and go back to their chunk, which is then rewritten as class units. Vocabulary counts are never
-gathered in one place; what reaches the driver is bounded by ``1 / MIN_SHARE`` words and the classes.
+counts over all training texts (one shuffle) and go back to their chunk, which is then rewritten as class units in a table bucketed by chunk. A
+further word's neighbours go to the task of its hash, sorted, so that the task holds the counts of one word at a time; the classes go back by chunk. Vocabulary
+counts are never gathered in one place; what reaches the driver is bounded by ``1 / MIN_SHARE`` words and the classes.
 
 Rows: a null text is empty and has the end alone; rows with equal ids are scored each; a null id is hashed as 0; without training texts the
 score is the base score; an empty table gives an empty result; further columns are not read.
@@ -21,6 +24,7 @@ score is the base score; an empty table gives an empty result; further columns a
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -31,10 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import coded, hashes, id_hash, only, packed, slices, small_batches, stored, unpacked, words_of
+from tidemark.session import scratch_path
 
 CLASSES = 32
 ENDINGS = 64
 MIN_SHARE = 1e-5
+MIN_COUNT = 16
 ROUNDS = 3
 PULL = 5.0
 CHUNK_BYTES = 12 << 20
@@ -78,7 +84,8 @@ def encode_chunks(docs: DataFrame) -> DataFrame:
 
 
 class Units:
-    """Numbers that stand for tokens: frequent words, then ending x how often the word occurs (0, 1, 2, 3 or more), then the end."""
+    """Numbers that stand for tokens: frequent words, then ending x how often the word occurs (0, 1, 2, 3 or more), then the end, then the
+    further clustered words of the token's chunk."""
 
     def __init__(self, frequent: int):
         self.frequent = frequent
@@ -87,6 +94,8 @@ class Units:
         self.classes = CLASSES + 3 * ENDINGS + 1
         self.contexts = CLASSES + ENDINGS + 1
 
+        self.further = self.end + 1
+
     def of(self, count: np.ndarray, ending: np.ndarray, number: np.ndarray) -> np.ndarray:
         return np.where(number >= 0, number, self.frequent + 4 * ending + np.minimum(count, 3)).astype(np.int32)
 
@@ -110,7 +119,14 @@ def token_stream(batch: pa.RecordBatch, rows: np.ndarray, end: int) -> np.ndarra
     return out
 
 
-def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray) -> DataFrame:
+def training_contexts(docs: pa.RecordBatch, further: bytes, units: Units, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a chunk's training texts and their contexts while further words still count by their endings."""
+    stream = token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)
+    endings = unpacked(further).column("ending").to_numpy()
+    return stream, np.concatenate([context, CLASSES + endings])[stream]
+
+
+def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray, classes_only: bool = False) -> DataFrame:
     """Neighbour classes of frequent words (unit, cell, n) and of their classes (unit = -1 - class)."""
     width = units.contexts
 
@@ -118,10 +134,8 @@ def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray)
         words = np.zeros(units.frequent * 2 * width, np.int64)
         context = units.context_map(assigned)
         for batch in batches:
-            for blob in batch.column("docs").to_pylist():
-                docs = unpacked(blob)
-                stream = token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)
-                near = context[stream]
+            for blob, further in zip(batch.column("docs").to_pylist(), batch.column("further").to_pylist(), strict=True):
+                stream, near = training_contexts(unpacked(blob), further, units, context)
                 left = np.flatnonzero(stream[:-1] < units.frequent)
                 words += np.bincount(stream[left] * (2 * width) + near[left + 1], minlength=len(words))
                 right = np.flatnonzero(stream[1:] < units.frequent)
@@ -129,7 +143,7 @@ def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray)
         grid = words.reshape(units.frequent, 2 * width)
         classes = np.zeros((CLASSES, 2 * width), np.int64)
         np.add.at(classes, assigned, grid)
-        at, cell = np.nonzero(grid)
+        at, cell = np.nonzero(grid[:0] if classes_only else grid)
         class_at, class_cell = np.nonzero(classes)
         yield pa.RecordBatch.from_arrays(
             [
@@ -174,9 +188,7 @@ def cluster(units_table: DataFrame, units: Units, rounds: int) -> np.ndarray:
     assigned = np.arange(units.frequent) % CLASSES
     for _ in range(rounds if units.frequent else 0):
         cells = stored(neighbour_counts(units_table, units, assigned), "neighbours")
-        table = np.zeros((CLASSES, 2 * units.contexts), np.int64)
-        for r in cells.filter("unit < 0").collect():
-            table[-1 - r["unit"], r["cell"]] = r["n"]
+        table = class_table(cells, units)
 
         def move(batches, table=table, assigned=assigned):
             words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,6 +211,105 @@ def cluster(units_table: DataFrame, units: Units, rounds: int) -> np.ndarray:
     return assigned
 
 
+def class_table(cells: DataFrame, units: Units) -> np.ndarray:
+    table = np.zeros((CLASSES, 2 * units.contexts), np.int64)
+    for r in cells.filter("unit < 0").collect():
+        table[-1 - r["unit"], r["cell"]] = r["n"]
+    return table
+
+
+def further_neighbours(units_table: DataFrame, units: Units, assigned: np.ndarray) -> DataFrame:
+    """For each chunk and further word the neighbour cells of its training tokens, left and right: (k, cells), one number for each neighbour."""
+    width = units.contexts
+    kind = np.uint8 if 2 * width <= 256 else np.uint16
+
+    def neighbours(batches):
+        context = units.context_map(assigned)
+        for batch in batches:
+            for blob, further in zip(batch.column("docs").to_pylist(), batch.column("further").to_pylist(), strict=True):
+                stream, near = training_contexts(unpacked(blob), further, units, context)
+                keys = unpacked(further).column("k").to_numpy()
+                left, right = np.flatnonzero(stream[:-1] >= units.further), np.flatnonzero(stream[1:] >= units.further)
+                word = np.concatenate([stream[left], stream[right + 1]]) - units.further
+                cell = np.concatenate([near[left + 1], width + near[right]]).astype(kind)
+                cell = cell[np.argsort(word, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(keys)))])
+                met = np.flatnonzero(np.diff(ends))
+                for lo in range(0, len(met), 100_000):
+                    part = met[lo : lo + 100_000]
+                    first, last = ends[part[0]], ends[part[-1] + 1]
+                    # Words without a training token here are empty ranges between the others.
+                    offsets = (np.append(ends[part], last) - first).astype(np.int32) * cell.itemsize
+                    values = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(cell[first:last].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int64()), values], names=["k", "cells"])
+
+    return units_table.mapInArrow(neighbours, "k long, cells binary")
+
+
+def best_classes(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class where each word, given its neighbour counts, raises the class bigrams' likelihood most; of equal ones the first."""
+    total = table.sum(axis=1)
+    base, base_total = entropy(table), entropy(total)
+    out = np.zeros(len(grid), np.int64)
+    for lo in range(0, len(grid), 200):
+        part = grid[lo : lo + 200].astype(float)
+        gain = (entropy(table[None] + part[:, None]) - base).sum(axis=2) - (entropy(total[None] + part.sum(axis=1, keepdims=True)) - base_total)
+        out[lo : lo + 200] = gain.argmax(axis=1)
+    return out
+
+
+def join_classes(units_table: DataFrame, units: Units, assigned: np.ndarray) -> DataFrame:
+    """The class of each further word by its neighbours in all training texts: (k, cls, n), n its training tokens."""
+    width = 2 * units.contexts
+    kind = np.uint8 if width <= 256 else np.uint16
+    table = class_table(neighbour_counts(units_table, units, assigned, classes_only=True), units).astype(float)
+
+    def choose(batches):
+        def rows(names: np.ndarray, grid: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array(best_classes(table, grid), pa.int32()), pa.array(grid.sum(axis=1) // 2, pa.int64())], names=["k", "cls", "n"]
+            )
+
+        # Rows come sorted by word: all words of a batch but the last are whole.
+        name, counts = np.zeros(0, np.int64), np.zeros((0, width), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column("k").to_numpy()
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), kind)
+            sizes = pc.binary_length(batch.column("cells")).to_numpy() // cells.itemsize
+            names, at = np.unique(k, return_inverse=True)
+            grid = np.bincount(np.repeat(at, sizes) * width + cells, minlength=len(names) * width).reshape(-1, width)
+            if len(name) and name[0] == names[0]:
+                grid[0] += counts[0]
+            elif len(name):
+                yield rows(name, counts)
+            yield rows(names[:-1], grid[:-1])
+            name, counts = names[-1:], grid[-1:]
+        if len(name):
+            yield rows(name, counts)
+
+    found = further_neighbours(units_table, units, assigned).repartition("k").sortWithinPartitions("k").mapInArrow(choose, "k long, cls int, n long")
+    return stored(found, "lm-classes")
+
+
+def classes_by_chunk(further: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes of each chunk's further words in order of their codes: (chunk, cls), a byte for each word."""
+
+    def gather(key, rows):
+        order = np.argsort(rows.column("code").to_numpy(), kind="stable")
+        cls = rows.column("cls").to_numpy()[order].astype(np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "cls": pa.array([cls.tobytes()], pa.binary())})
+
+    found = further.join(classes.select("k", "cls"), "k").select("chunk", "code", "cls")
+    return stored(found.groupBy("chunk").applyInArrow(gather, "chunk long, cls binary"), "lm-chunk-classes")
+
+
+def with_further(classes: np.ndarray, cls: bytes | None) -> np.ndarray:
+    """The classes of all units of a chunk."""
+    return np.concatenate([classes, np.frombuffer(cls or b"", np.uint8)])
+
+
 def transition_counts(units_table: DataFrame, units: Units, assigned: np.ndarray) -> np.ndarray:
     """How often a class follows a class in the training texts."""
     size = units.classes
@@ -207,9 +318,9 @@ def transition_counts(units_table: DataFrame, units: Units, assigned: np.ndarray
         total = np.zeros(size * size, np.int64)
         classes = units.class_map(assigned, training=True)
         for batch in batches:
-            for blob in batch.column("docs").to_pylist():
+            for blob, cls in zip(batch.column("docs").to_pylist(), batch.column("cls").to_pylist(), strict=True):
                 docs = unpacked(blob)
-                stream = classes[token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)]
+                stream = with_further(classes, cls)[token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)]
                 total += np.bincount(stream[:-1] * size + stream[1:], minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
@@ -229,7 +340,16 @@ def log_transitions(counts: np.ndarray, units: Units) -> np.ndarray:
     return np.log10(chance)
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> DataFrame:
+def by_chunk(df: DataFrame) -> DataFrame:
+    """Write a table bucketed by chunk, whose texts need no shuffle later."""
+    spark = df.sparkSession
+    name = f"lm_units_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "lm-units")).saveAsTable(name)
+    return spark.table(name)
+
+
+def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Learns from the documents whose crc32(doc_id) mod 7 is not 2. ``base_score`` is the add-one unigram's log10 probability of the text,
@@ -239,21 +359,23 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
     chunks = stored(encode_chunks(docs), "lm-chunks")
     training = docs.filter("not held_out").count()
     tokens = (chunks.agg(F.sum("n").alias("n")).first()["n"] or 0) + training
-    least = max(2, int(np.ceil(min_share * tokens)))
+    min_count = max(2, min_count)
+    least = max(min_count, int(np.ceil(min_share * tokens)))
     whole = Window.partitionBy("k").orderBy("chunk", "code")
     counted = (
         chunks.filter("k is not null")
         .withColumn("c", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("first", F.row_number().over(whole) == 1)
-        .select("chunk", "code", "ending", "c", "first", F.when(F.col("c") >= least, F.col("k")).alias("k"))
+        .select("chunk", "code", "ending", "c", "first", F.when(F.col("c") >= min_count, F.col("k")).alias("k"))
     )
     counted = stored(counted, "lm-words")
     words = counted.filter("first and c > 0")
     rare = words.filter("k is null").groupBy("ending").agg(
         F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("more"), F.count("*").alias("types")
     ).collect()
-    frequent = sorted(((r["c"], r["k"]) for r in words.filter("k is not null").select("c", "k").collect()), reverse=True)
-    distinct = len(frequent) + sum(r["types"] for r in rare) + (1 if training else 0)
+    frequent = sorted(((r["c"], r["k"]) for r in words.filter(F.col("k").isNotNull() & (F.col("c") >= least)).select("c", "k").collect()), reverse=True)
+    further = counted.filter(F.col("k").isNotNull() & (F.col("c") < least))
+    distinct = len(frequent) + further.filter("first").count() + sum(r["types"] for r in rare) + (1 if training else 0)
     units = Units(len(frequent))
     keys = np.array([k for _, k in frequent], np.int64)
     order = np.argsort(keys)
@@ -267,9 +389,16 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
         count[code] = right.column("c").to_numpy()
         ending[code] = right.column("ending").to_numpy()
         k = right.column("k").combine_chunks()
-        at = np.flatnonzero(k.is_valid().to_numpy(zero_copy_only=False))
+        clustered = k.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(clustered & (count[code] >= least))
         if len(at):
             number[code[at]] = numbers[np.searchsorted(sorted_keys, k.take(pa.array(at)).to_numpy(zero_copy_only=False))]
+        at = np.flatnonzero(clustered & (count[code] < least))
+        at = at[np.argsort(code[at], kind="stable")]
+        number[code[at]] = units.further + np.arange(len(at))
+        further = pa.RecordBatch.from_arrays(
+            [k.take(pa.array(at, pa.int64())).cast(pa.int64()), pa.array(ending[code[at]], pa.int64())], names=["k", "ending"]
+        )
         unit = units.of(count, ending, number)
         base = np.log10((count + 1) / room)
         logs = np.log10(np.maximum(count, 1))
@@ -295,18 +424,23 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
             )
             blobs.append(packed(batch))
         pa.default_memory_pool().release_unused()
-        return pa.table({"docs": pa.array(blobs, pa.binary())})
+        return pa.table({"chunk": left.column("chunk"), "docs": pa.array(blobs, pa.binary()), "further": pa.array([packed(further)] * len(blobs), pa.binary())})
 
     texts = chunks.filter("docs is not null").select("chunk", "docs")
-    units_table = stored(
-        texts.groupBy("chunk").cogroup(counted.select("chunk", "code", "ending", "c", "k").groupBy("chunk")).applyInArrow(translate, "docs binary"), "lm-units"
+    units_table = by_chunk(
+        texts.groupBy("chunk").cogroup(counted.select("chunk", "code", "ending", "c", "k").groupBy("chunk")).applyInArrow(translate, "chunk long, docs binary, further binary")
     )
     assigned = cluster(units_table, units, rounds)
+    classes = join_classes(units_table, units, assigned)
+    chunk_classes = classes_by_chunk(further.select("chunk", "code", "k"), classes)
+    units_table = units_table.select("chunk", "docs").join(chunk_classes, "chunk", "left")
     counts = transition_counts(units_table, units, assigned)
     transitions = log_transitions(counts, units)
     # What a class's words share out among themselves: tokens of the class; for words met once, the number of such words.
     mass = np.ones(units.classes)
     np.add.at(mass, assigned, np.array([c for c, _ in frequent], float) if frequent else np.zeros(0))
+    for r in classes.groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        mass[r["cls"]] += r["n"]
     mass[:CLASSES] = np.maximum(mass[:CLASSES] - 1, 1)
     for r in rare:
         mass[CLASSES + 3 * r["ending"] + 1] = max(r["once"], 1)
@@ -317,10 +451,10 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
     def score(batches):
         classes = units.class_map(assigned, training=False)
         for batch in batches:
-            for blob in batch.column("docs").to_pylist():
+            for blob, cls in zip(batch.column("docs").to_pylist(), batch.column("cls").to_pylist(), strict=True):
                 docs = unpacked(blob)
                 n = docs.num_rows
-                stream = classes[token_stream(docs, np.arange(n), units.end)]
+                stream = with_further(classes, cls)[token_stream(docs, np.arange(n), units.end)]
                 steps = transitions[stream[:-1], stream[1:]] - spread[stream[1:]]
                 lengths = np.diff(docs.column("units").offsets.to_numpy()).astype(np.int64) + 1
                 sums = np.add.reduceat(steps, np.cumsum(lengths) - lengths) if n else np.zeros(0)
