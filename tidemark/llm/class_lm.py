@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ MIN_COUNT = 16
 ROUNDS = 3
 PULL = 5.0
 CHUNK_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -103,10 +105,10 @@ class Units:
         """The class of each unit; a training token is classed as if it had not been seen."""
         kind = np.array([0, 0, 1, 2] if training else [0, 1, 2, 2])
         rare = CLASSES + 3 * np.repeat(np.arange(ENDINGS), 4) + np.tile(kind, ENDINGS)
-        return np.concatenate([assigned, rare, [self.classes - 1]])
+        return np.concatenate([assigned, rare, [self.classes - 1]]).astype(np.int32)
 
     def context_map(self, assigned: np.ndarray) -> np.ndarray:
-        return np.concatenate([assigned, CLASSES + np.repeat(np.arange(ENDINGS), 4), [self.contexts - 1]])
+        return np.concatenate([assigned, CLASSES + np.repeat(np.arange(ENDINGS), 4), [self.contexts - 1]]).astype(np.int32)
 
 
 def token_stream(batch: pa.RecordBatch, rows: np.ndarray, end: int) -> np.ndarray:
@@ -114,16 +116,23 @@ def token_stream(batch: pa.RecordBatch, rows: np.ndarray, end: int) -> np.ndarra
     column = batch.column("units").take(pa.array(rows))
     bounds = column.offsets.to_numpy()
     units = column.flatten().to_numpy()
-    out = np.full(len(units) + len(rows) + 1, end, np.int64)
+    out = np.full(len(units) + len(rows) + 1, end, np.int32)
     out[np.arange(len(units)) + np.repeat(np.arange(len(rows)), np.diff(bounds)) + 1] = units
     return out
 
 
+def one_by_one(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The chunks of a batch, of which only one at a time lies in memory unpacked."""
+    for row in range(batch.num_rows):
+        yield tuple(batch.column(name)[row].as_py() for name in names)
+        pa.default_memory_pool().release_unused()
+
+
 def training_contexts(docs: pa.RecordBatch, further: bytes, units: Units, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The units of a chunk's training texts and their contexts while further words still count by their endings."""
     stream = token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)
     endings = unpacked(further).column("ending").to_numpy()
-    return stream, np.concatenate([context, CLASSES + endings])[stream]
+    return stream, np.concatenate([context, CLASSES + endings], dtype=np.int32)[stream]
 
 
 def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray, classes_only: bool = False) -> DataFrame:
@@ -134,7 +143,7 @@ def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray,
         words = np.zeros(units.frequent * 2 * width, np.int64)
         context = units.context_map(assigned)
         for batch in batches:
-            for blob, further in zip(batch.column("docs").to_pylist(), batch.column("further").to_pylist(), strict=True):
+            for blob, further in one_by_one(batch, "docs", "further"):
                 stream, near = training_contexts(unpacked(blob), further, units, context)
                 left = np.flatnonzero(stream[:-1] < units.frequent)
                 words += np.bincount(stream[left] * (2 * width) + near[left + 1], minlength=len(words))
@@ -226,12 +235,13 @@ def further_neighbours(units_table: DataFrame, units: Units, assigned: np.ndarra
     def neighbours(batches):
         context = units.context_map(assigned)
         for batch in batches:
-            for blob, further in zip(batch.column("docs").to_pylist(), batch.column("further").to_pylist(), strict=True):
+            for blob, further in one_by_one(batch, "docs", "further"):
                 stream, near = training_contexts(unpacked(blob), further, units, context)
                 keys = unpacked(further).column("k").to_numpy()
-                left, right = np.flatnonzero(stream[:-1] >= units.further), np.flatnonzero(stream[1:] >= units.further)
-                word = np.concatenate([stream[left], stream[right + 1]]) - units.further
-                cell = np.concatenate([near[left + 1], width + near[right]]).astype(kind)
+                left, right = stream[:-1] >= units.further, stream[1:] >= units.further
+                word = np.concatenate([stream[:-1][left], stream[1:][right]]) - units.further
+                cell = np.concatenate([near[1:][left].astype(kind), (width + near[:-1][right]).astype(kind)])
+                del stream, near, left, right
                 cell = cell[np.argsort(word, kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(keys)))])
                 met = np.flatnonzero(np.diff(ends))
@@ -307,7 +317,7 @@ def classes_by_chunk(further: DataFrame, classes: DataFrame) -> DataFrame:
 
 def with_further(classes: np.ndarray, cls: bytes | None) -> np.ndarray:
     """The classes of all units of a chunk."""
-    return np.concatenate([classes, np.frombuffer(cls or b"", np.uint8)])
+    return np.concatenate([classes, np.frombuffer(cls or b"", np.uint8)], dtype=np.int32)
 
 
 def transition_counts(units_table: DataFrame, units: Units, assigned: np.ndarray) -> np.ndarray:
@@ -318,7 +328,7 @@ def transition_counts(units_table: DataFrame, units: Units, assigned: np.ndarray
         total = np.zeros(size * size, np.int64)
         classes = units.class_map(assigned, training=True)
         for batch in batches:
-            for blob, cls in zip(batch.column("docs").to_pylist(), batch.column("cls").to_pylist(), strict=True):
+            for blob, cls in one_by_one(batch, "docs", "cls"):
                 docs = unpacked(blob)
                 stream = with_further(classes, cls)[token_stream(docs, np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False)), units.end)]
                 total += np.bincount(stream[:-1] * size + stream[1:], minlength=len(total))
@@ -349,13 +359,25 @@ def by_chunk(df: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def few_bytes(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
+    """``docs``, whose rows and all later ones go to Python tasks in batches of about ``limit`` bytes: a chunk is one large row.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session, unless it is smaller.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name).rstrip("b")) <= limit:
+        conf.set(name, str(limit))
+    return docs
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Learns from the documents whose crc32(doc_id) mod 7 is not 2. ``base_score`` is the add-one unigram's log10 probability of the text,
     ``score`` the class model's.
     """
-    docs = only(small_batches(docs), "doc_id", "text").select("doc_id", (id_hash() % 7 == 2).alias("held_out"), "text")
+    docs = only(small_batches(few_bytes(docs)), "doc_id", "text").select("doc_id", (id_hash() % 7 == 2).alias("held_out"), "text")
     chunks = stored(encode_chunks(docs), "lm-chunks")
     training = docs.filter("not held_out").count()
     tokens = (chunks.agg(F.sum("n").alias("n")).first()["n"] or 0) + training
@@ -451,7 +473,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
     def score(batches):
         classes = units.class_map(assigned, training=False)
         for batch in batches:
-            for blob, cls in zip(batch.column("docs").to_pylist(), batch.column("cls").to_pylist(), strict=True):
+            for blob, cls in one_by_one(batch, "docs", "cls"):
                 docs = unpacked(blob)
                 n = docs.num_rows
                 stream = with_further(classes, cls)[token_stream(docs, np.arange(n), units.end)]
