@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import coded, hashes, id_hash, only, packed, slices, small_batches, stored, unpacked, words_of
+from tidemark.llm.common import coded, discard, hashes, id_hash, only, packed, slices, small_batches, stored, unpacked, words_of
 from tidemark.session import scratch_path
 
 CLASSES = 32
@@ -55,7 +55,7 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def encode_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of texts as numbers of their distinct words, and a row for each distinct word: (chunk, docs) or (chunk, code, k, n, ending),
+    """Chunks of texts as numbers of their distinct words, and a row for each distinct word: (kind texts, chunk, docs) or (kind words, chunk, code, k, n, ending),
     with n the word's tokens in the chunk's training texts."""
 
     def encode(batches):
@@ -69,8 +69,8 @@ def encode_chunks(docs: DataFrame) -> DataFrame:
             counts = np.bincount(codes[train], minlength=len(strings)) if len(strings) else np.zeros(0, np.int64)
             docs_batch = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), lists(codes, bounds)], names=["doc_id", "held_out", "codes"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([packed(docs_batch)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())],
-                names=["chunk", "docs", "code", "k", "n", "ending"],
+                [pa.array(["texts"]), pa.array([chunk], pa.int64()), pa.array([packed(docs_batch)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())],
+                names=["kind", "chunk", "docs", "code", "k", "n", "ending"],
             )
             keys = hashes(strings).view(np.int64)
             endings = np.fromiter((zlib.crc32(s[-3:].encode("utf-8", "surrogatepass")) % ENDINGS for s in strings), np.int32, len(strings))
@@ -78,11 +78,11 @@ def encode_chunks(docs: DataFrame) -> DataFrame:
                 part = slice(lo, min(lo + 100_000, len(strings)))
                 size = part.stop - part.start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, chunk)), pa.nulls(size, pa.binary()), pa.array(np.arange(part.start, part.stop, dtype=np.int32)), pa.array(keys[part]), pa.array(counts[part], pa.int64()), pa.array(endings[part])],
-                    names=["chunk", "docs", "code", "k", "n", "ending"],
+                    [pa.array(["words"]).take(pa.array(np.zeros(size, np.int8))), pa.array(np.full(size, chunk)), pa.nulls(size, pa.binary()), pa.array(np.arange(part.start, part.stop, dtype=np.int32)), pa.array(keys[part]), pa.array(counts[part], pa.int64()), pa.array(endings[part])],
+                    names=["kind", "chunk", "docs", "code", "k", "n", "ending"],
                 )
 
-    return docs.mapInArrow(encode, "chunk long, docs binary, code int, k long, n long, ending int")
+    return docs.mapInArrow(encode, "kind string, chunk long, docs binary, code int, k long, n long, ending int")
 
 
 class Units:
@@ -117,7 +117,10 @@ def token_stream(batch: pa.RecordBatch, rows: np.ndarray, end: int) -> np.ndarra
     bounds = column.offsets.to_numpy()
     units = column.flatten().to_numpy()
     out = np.full(len(units) + len(rows) + 1, end, np.int32)
-    out[np.arange(len(units)) + np.repeat(np.arange(len(rows)), np.diff(bounds)) + 1] = units
+    inside = np.ones(len(out), bool)
+    inside[0] = False
+    inside[bounds[1:] - bounds[0] + np.arange(1, len(rows) + 1)] = False
+    out[inside] = units
     return out
 
 
@@ -145,10 +148,9 @@ def neighbour_counts(units_table: DataFrame, units: Units, assigned: np.ndarray,
         for batch in batches:
             for blob, further in one_by_one(batch, "docs", "further"):
                 stream, near = training_contexts(unpacked(blob), further, units, context)
-                left = np.flatnonzero(stream[:-1] < units.frequent)
-                words += np.bincount(stream[left] * (2 * width) + near[left + 1], minlength=len(words))
-                right = np.flatnonzero(stream[1:] < units.frequent)
-                words += np.bincount(stream[right + 1] * (2 * width) + width + near[right], minlength=len(words))
+                met = stream < units.frequent
+                words += np.bincount(stream[:-1][met[:-1]] * (2 * width) + near[1:][met[:-1]], minlength=len(words))
+                words += np.bincount(stream[1:][met[1:]] * (2 * width) + width + near[:-1][met[1:]], minlength=len(words))
         grid = words.reshape(units.frequent, 2 * width)
         classes = np.zeros((CLASSES, 2 * width), np.int64)
         np.add.at(classes, assigned, grid)
@@ -350,13 +352,13 @@ def log_transitions(counts: np.ndarray, units: Units) -> np.ndarray:
     return np.log10(chance)
 
 
-def by_chunk(df: DataFrame) -> DataFrame:
-    """Write a table bucketed by chunk, whose texts need no shuffle later."""
+def by_chunk(df: DataFrame, *kinds: str) -> tuple[DataFrame, str]:
+    """Write a table bucketed by chunk, whose texts need no shuffle later, in a folder for each of ``kinds``; also its path."""
     spark = df.sparkSession
-    name = f"lm_units_{uuid.uuid4().hex}"
+    name, path = f"lm_chunks_{uuid.uuid4().hex}", scratch_path(spark, "lm-chunks")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "lm-units")).saveAsTable(name)
-    return spark.table(name)
+    df.write.partitionBy(*kinds).bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    return spark.table(name), path
 
 
 def few_bytes(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
@@ -378,19 +380,20 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
     ``score`` the class model's.
     """
     docs = only(small_batches(few_bytes(docs)), "doc_id", "text").select("doc_id", (id_hash() % 7 == 2).alias("held_out"), "text")
-    chunks = stored(encode_chunks(docs), "lm-chunks")
+    table, path = by_chunk(encode_chunks(docs), "kind")
+    texts, chunks = table.filter("kind = 'texts'").select("chunk", "docs"), table.filter("kind = 'words'").drop("kind", "docs")
     training = docs.filter("not held_out").count()
     tokens = (chunks.agg(F.sum("n").alias("n")).first()["n"] or 0) + training
     min_count = max(2, min_count)
     least = max(min_count, int(np.ceil(min_share * tokens)))
     whole = Window.partitionBy("k").orderBy("chunk", "code")
     counted = (
-        chunks.filter("k is not null")
-        .withColumn("c", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        chunks.withColumn("c", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("first", F.row_number().over(whole) == 1)
         .select("chunk", "code", "ending", "c", "first", F.when(F.col("c") >= min_count, F.col("k")).alias("k"))
     )
     counted = stored(counted, "lm-words")
+    discard(docs.sparkSession, f"{path}/kind=words")
     words = counted.filter("first and c > 0")
     rare = words.filter("k is null").groupBy("ending").agg(
         F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("more"), F.count("*").alias("types")
@@ -430,7 +433,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
             codes, bounds = docs.column("codes").flatten().to_numpy(), docs.column("codes").offsets.to_numpy()
 
             def added(values: np.ndarray, bounds=bounds, codes=codes) -> np.ndarray:
-                sums = np.concatenate([[0.0], np.cumsum(values[codes])]) if len(codes) else np.zeros(1)
+                sums = np.zeros(len(codes) + 1)
+                np.cumsum(values[codes], out=sums[1:])
                 return sums[bounds[1:]] - sums[bounds[:-1]]
 
             batch = pa.RecordBatch.from_arrays(
@@ -448,10 +452,10 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
         pa.default_memory_pool().release_unused()
         return pa.table({"chunk": left.column("chunk"), "docs": pa.array(blobs, pa.binary()), "further": pa.array([packed(further)] * len(blobs), pa.binary())})
 
-    texts = chunks.filter("docs is not null").select("chunk", "docs")
-    units_table = by_chunk(
+    units_table, _ = by_chunk(
         texts.groupBy("chunk").cogroup(counted.select("chunk", "code", "ending", "c", "k").groupBy("chunk")).applyInArrow(translate, "chunk long, docs binary, further binary")
     )
+    discard(docs.sparkSession, path)
     assigned = cluster(units_table, units, rounds)
     classes = join_classes(units_table, units, assigned)
     chunk_classes = classes_by_chunk(further.select("chunk", "code", "k"), classes)
@@ -477,7 +481,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SH
                 docs = unpacked(blob)
                 n = docs.num_rows
                 stream = with_further(classes, cls)[token_stream(docs, np.arange(n), units.end)]
-                steps = transitions[stream[:-1], stream[1:]] - spread[stream[1:]]
+                steps = transitions.ravel()[stream[:-1] * units.classes + stream[1:]]
+                steps -= spread[stream[1:]]
                 lengths = np.diff(docs.column("units").offsets.to_numpy()).astype(np.int64) + 1
                 sums = np.add.reduceat(steps, np.cumsum(lengths) - lengths) if n else np.zeros(0)
                 base = docs.column("base").to_numpy()
