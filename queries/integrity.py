@@ -193,25 +193,56 @@ def missing_objects_parts(t):
     return integrity.missing_objects(existence_of(t), part_size=4)
 
 
-@query("performance_smoke", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in RELATIONAL))
+# Seconds differ from run to run; counts and verdicts within an hour must not.
+PATIENCE = 3600.0
+
+
+def _lost_table():
+    raise LookupError("no such table: lost")
+
+
+def timings_of(t, lost: bool):
+    tables = {n: getattr(t, n) for n in RELATIONAL}
+    return integrity.performance_smoke(t.spark, {**tables, "lost": _lost_table} if lost else tables, PATIENCE)
+
+
+@query("performance_smoke", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS row_count, 'OK' AS status, NULL AS error FROM {n}" for n in RELATIONAL
+) + " UNION ALL SELECT 'lost', NULL, 'ERROR', 'no such table: lost'")
 def performance_smoke(t):
-    # Seconds differ from run to run; the counts must not.
-    return integrity.performance_smoke(t.spark, {n: getattr(t, n) for n in RELATIONAL}).select("table_name", "row_count")
+    return timings_of(t, lost=True).drop("seconds")
+
+
+@query("smoke_check", f"""
+SELECT 'all' AS tables, 'performance_smoke' AS "check", 'PASS' AS status, 'All {len(RELATIONAL)} table(s) respond within 3600s' AS detail
+UNION ALL SELECT 'with a lost one', 'performance_smoke', 'ERROR', 'no such table: lost'
+UNION ALL SELECT 'at no patience', 'performance_smoke', 'FAIL', 'Slow tables (> 0s): ' || count(*) FROM (
+{" UNION ALL ".join(f"SELECT DISTINCT '{n}' FROM {n}" for n in RELATIONAL)}) x""")
+def smoke_check(t):
+    whole = timings_of(t, lost=False)
+    slow = integrity.smoke_check(whole, 0.0).withColumn(
+        "detail", F.concat(F.lit("Slow tables (> 0s): "), F.size(F.split(F.col("detail"), ", ")).cast("string"))
+    )
+    parts = {"all": integrity.smoke_check(whole, PATIENCE), "with a lost one": integrity.smoke_check(timings_of(t, lost=True), PATIENCE), "at no patience": slow}
+    return reconcile.union_all([found.select(F.lit(name).alias("tables"), "check", "status", "detail") for name, found in parts.items()])
 
 
 @query("test_report", f"""
 WITH c AS (SELECT job_id, status FROM ({SQL_COMPAT}) a UNION ALL SELECT DISTINCT job_id, status FROM ({SQL_MISSING.replace('SIZE', '1000')}) b
-           UNION ALL SELECT j.job_id, r.status FROM {{jobs}} j, ({SQL_REFERENTIAL}) r)
+           UNION ALL SELECT j.job_id, r.status FROM {{jobs}} j, ({SQL_REFERENTIAL}) r UNION ALL SELECT job_id, 'PASS' FROM {{jobs}} k)
 SELECT job_id, count(*) AS checks, count(*) FILTER (status <> 'PASS') AS not_passed,
        CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS overall_status FROM c GROUP BY job_id""")
 def test_report(t):
     objects = existence_of(t)
     compat = integrity.schema_compatibility(objects, t.jobs).select("job_id", "check", "status")
     missing = integrity.missing_objects(objects).select("job_id", "check", "status").distinct()
-    # The foreign-key verdict of the shared target applies to every job; it is one row, read as a literal.
-    verdict = integrity.referential_integrity(integrity.orphan_counts(target_tables(t), FKS)).first()
-    refs = t.jobs.select("job_id", F.lit(verdict["check"]).alias("check"), F.lit(verdict["status"]).alias("status"))
-    return integrity.test_report(compat.unionByName(missing).unionByName(refs), ["job_id"])
+    # The verdicts of the shared target apply to every job; each is one row, read as a literal.
+    verdicts = [
+        integrity.referential_integrity(integrity.orphan_counts(target_tables(t), FKS)).first(),
+        integrity.smoke_check(timings_of(t, lost=False), PATIENCE).first(),
+    ]
+    shared = [t.jobs.select("job_id", F.lit(v["check"]).alias("check"), F.lit(v["status"]).alias("status")) for v in verdicts]
+    return integrity.test_report(reconcile.union_all([compat, missing, *shared]), ["job_id"])
 
 
 SQL_REPORT = f"""

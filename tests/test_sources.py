@@ -1,7 +1,7 @@
 """Options of JDBC reads and writes, loads, logs and stores."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark.session import scratch_path
 from tidemark.sources import files, jdbc, load, stores, versioned
@@ -14,7 +14,7 @@ PG = Connection("postgresql", "db", "shop", "u", "secret")
 def test_urls_and_namespaces():
     assert PG.url == "jdbc:postgresql://db:5432/shop" and PG.namespace == "public"
     my = Connection("mysql", "db", "shop", "u", port=3307)
-    assert my.url.startswith("jdbc:mysql://db:3307/shop?") and my.namespace == "shop"
+    assert my.url == "jdbc:mysql://db:3307/shop" and my.namespace == "shop"
     ora = Connection("oracle", "db", "XE", "sample_user")
     assert ora.url == "jdbc:oracle:thin:@//db:1521/XE" and ora.namespace == "SAMPLE_USER"
     assert "secret" not in repr(PG)
@@ -147,14 +147,38 @@ def test_folders_in_several_formats(spark):
 def test_every_dialect_answers_every_question():
     from tidemark.sources import system_views as sv
 
-    for dialect, texts in sv.QUERIES.items():
-        assert set(sv.COLUMNS) - set(texts) <= {"ref_usage"}, dialect
-        for name, text in texts.items():
-            chosen = text[len("SELECT ") : text.index(" FROM ")]
-            depth, columns = 0, 1
-            for i, ch in enumerate(chosen):
-                depth += (ch == "(") - (ch == ")")
-                columns += ch == "," and depth == 0
-            assert columns == len(sv.COLUMNS[name]), (dialect, name)
+    for dialect, asked in sv.QUESTIONS.items():
+        assert set(sv.COLUMNS) - set(asked) <= {"ref_usage"}, dialect
+        for name, (chosen, origin) in asked.items():
+            whole, held = sv.extract_query(dialect, name), sv.extract_query(dialect, name, ["app", "o'k"])
+            # Every column has a name of its own, also those that are no columns of the view.
+            assert len(chosen) == len(sv.COLUMNS[name]) and all(f" AS {c}" in whole for c in sv.COLUMNS[name])
+            assert " WHERE " not in whole[len(whole) - len(origin) :].replace(origin, "") and held == f"{whole} WHERE {chosen[0]} IN ('app', 'o''k')"
+    assert "get_ddl('TABLE'" in sv.extract_query("oracle", "tables")
+    assert jdbc.literal("mysql", "a\\b") == "'a\\\\b'" and jdbc.literal("oracle", "a\\b") == "'a\\b'"
     options = jdbc.query_options(PG, "SELECT 1")
     assert options["query"] == "SELECT 1" and options["driver"] == "org.postgresql.Driver" and "dbtable" not in options
+
+
+def test_tables_without_a_key_are_split():
+    pages = jdbc.page_predicates(1000, 4)
+    assert pages[0] == "ctid >= '(0,0)'::tid AND ctid < '(250,0)'::tid" and pages[-1] == "ctid >= '(750,0)'::tid" and len(pages) == 4
+    # Fewer pages than splits: no empty range, and the end stays open.
+    assert jdbc.page_predicates(2, 64) == ["ctid >= '(0,0)'::tid AND ctid < '(1,0)'::tid", "ctid >= '(1,0)'::tid"]
+    assert jdbc.row_predicates("oracle", [], 2) == ["mod(ora_hash(rowid), 2) = 0", "mod(ora_hash(rowid), 2) = 1"]
+    assert jdbc.row_predicates("mysql", ["a", "b`"], 2)[1] == "mod(crc32(concat_ws('|', `a`, `b```)), 2) = 1"
+
+
+def test_native_types_reach_a_created_table():
+    schema = T.StructType().add("id", "long").add("name", "string").add("price", "double").add("note", "string").add("on", "boolean")
+    natives = {"id": "NUMBER(9,0)", "name": "VARCHAR2(40)", "price": "NUMBER(12,2)", "note": "CLOB"}
+    options = jdbc.write_options(PG, "t", schema, {"note": 500}, natives=natives, source="oracle")
+    assert options["createTableColumnTypes"] == "`id` INT, `name` VARCHAR(40), `price` DECIMAL(12,2), `note` VARCHAR(500)"
+    assert "createTableColumnTypes" not in jdbc.write_options(PG, "t", schema, natives={"note": "CLOB"}, source="oracle")
+
+
+def test_driver_settings_come_from_the_caller():
+    plain, own = (jdbc.Connection("mysql", "h", "d", properties=p) for p in ({}, {"sslMode": "VERIFY_CA", "driver": "other"}))
+    assert plain.url == own.url == "jdbc:mysql://h:3306/d"
+    options = jdbc.read_options(own, "t")
+    assert options["sslMode"] == "VERIFY_CA" and options["driver"] == "com.mysql.cj.jdbc.Driver"

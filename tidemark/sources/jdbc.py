@@ -5,11 +5,14 @@ Drivers and databases are not part of this package; put the driver's jar on the
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tidemark.operators.convert import type_for
+
 # Driver class, URL and default port per dialect; how each dialect hashes a key into buckets.
 DRIVERS = {
     "postgresql": "org.postgresql.Driver",
@@ -18,7 +21,7 @@ DRIVERS = {
 }
 URLS = {
     "postgresql": "jdbc:postgresql://{host}:{port}/{database}",
-    "mysql": "jdbc:mysql://{host}:{port}/{database}?useSSL=false&allowPublicKeyRetrieval=true&serverTimezone=UTC",
+    "mysql": "jdbc:mysql://{host}:{port}/{database}",
     "oracle": "jdbc:oracle:thin:@//{host}:{port}/{database}",
 }
 PORTS = {"postgresql": 5432, "mysql": 3306, "oracle": 1521}
@@ -38,6 +41,8 @@ class Connection:
     password: str = field(default="", repr=False)
     port: int | None = None
     schema: str | None = None
+    #: Settings of the driver, such as those for encryption.
+    properties: Mapping[str, str] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         if self.dialect not in DRIVERS:
@@ -62,12 +67,19 @@ def quoted(dialect: str, name: str) -> str:
     return f'"{name.upper() if dialect == "oracle" else name}"'
 
 
+def literal(dialect: str, text: str) -> str:
+    """A text inside a statement; MySQL reads backslashes too."""
+    if dialect == "mysql":
+        text = text.replace("\\", "\\\\")
+    return "'" + text.replace("'", "''") + "'"
+
+
 def table_path(conn: Connection, table: str) -> str:
     return f"{quoted(conn.dialect, conn.namespace)}.{quoted(conn.dialect, table)}"
 
 
 def _login(conn: Connection) -> dict[str, str]:
-    return {"url": conn.url, "driver": DRIVERS[conn.dialect], "user": conn.username, "password": conn.password}
+    return {**conn.properties, "url": conn.url, "driver": DRIVERS[conn.dialect], "user": conn.username, "password": conn.password}
 
 
 def query_options(conn: Connection, text: str) -> dict[str, str]:
@@ -90,12 +102,41 @@ def read_options(
 
 def hash_predicates(dialect: str, key: str, partitions: int) -> list[str]:
     """Splits by hash for keys without an order Spark can range over; NULL keys go with the first split."""
-    bucket = HASH_BUCKET[dialect].format(key=quoted(dialect, key), n=partitions)
-    splits = [f"{bucket} = {i}" for i in range(partitions)]
+    splits = hashed(dialect, quoted(dialect, key), partitions)
     splits[0] = f"({splits[0]} OR {quoted(dialect, key)} IS NULL)"
     return splits
 
 
+def hashed(dialect: str, value: str, partitions: int) -> list[str]:
+    bucket = HASH_BUCKET[dialect].format(key=value, n=partitions)
+    return [f"{bucket} = {i}" for i in range(partitions)]
+
+
+def page_predicates(pages: int, partitions: int) -> list[str]:
+    """PostgreSQL's splits by ranges of pages: each split reads its own pages alone, the last one also those added meanwhile."""
+    edges = sorted({pages * i // partitions for i in range(partitions)})
+    splits = [f"ctid >= '({lo},0)'::tid AND ctid < '({hi},0)'::tid" for lo, hi in zip(edges, edges[1:])]
+    return [*splits, f"ctid >= '({edges[-1]},0)'::tid"]
+
+
+def row_predicates(dialect: str, columns: Sequence[str], partitions: int) -> list[str]:
+    """Splits of a table without a key: by Oracle's row address, elsewhere by all of the row's columns. Rows that are alike share a split."""
+    if dialect == "oracle":
+        return hashed(dialect, "rowid", partitions)
+    return hashed(dialect, f"concat_ws('|', {', '.join(quoted(dialect, c) for c in columns)})", partitions)
+
+
+def default_predicates(spark: SparkSession, conn: Connection, table: str, partitions: int) -> list[str]:
+    """Splits for a table whose key is not named: pages where it has some, else (views, other dialects) rows."""
+    if conn.dialect == "postgresql":
+        text = f"SELECT pg_relation_size(to_regclass({literal(conn.dialect, table_path(conn, table))})) / current_setting('block_size')::int AS n"
+        pages = spark.read.format("jdbc").options(**query_options(conn, text)).load().first()[0]
+        if pages:
+            return page_predicates(int(pages), partitions)
+    columns = spark.read.format("jdbc").options(**read_options(conn, table)).load().columns if conn.dialect != "oracle" else []
+    return row_predicates(conn.dialect, columns, partitions)
+
+
 def key_bounds(spark: SparkSession, conn: Connection, table: str, key: str) -> tuple[object, object]:
     """Least and greatest key, answered by the database."""
     q = quoted(conn.dialect, key)
@@ -113,36 +154,53 @@ def row_count(spark: SparkSession, conn: Connection, table: str) -> int:
 def read_table(
     spark: SparkSession, conn: Connection, table: str, key: str | None = None, hash_key: str | None = None, partitions: int = 64
 ) -> DataFrame:
-    """A whole table, read in parallel by key range, or by key hash where the key has no numeric order."""
-    if hash_key:
-        options = read_options(conn, table)
-        return spark.read.jdbc(
-            url=options.pop("url"), table=options.pop("dbtable"),
-            predicates=hash_predicates(conn.dialect, hash_key, partitions), properties=options,
-        )
-    bounds = key_bounds(spark, conn, table, key) if key else None
-    return spark.read.format("jdbc").options(**read_options(conn, table, key, bounds, partitions)).load()
-
-
-def column_types(schema: T.StructType, lengths: Mapping[str, int]) -> str:
-    """Lengths for text columns of a table Spark creates; other columns get the dialect's own types."""
-    return ", ".join(f"`{f.name}` VARCHAR({lengths[f.name]})" for f in schema if f.name in lengths)
+    """A whole table, read in parallel by key range, by key hash where the key has no numeric order, or else by pages or rows."""
+    if key and not hash_key:
+        bounds = key_bounds(spark, conn, table, key)
+        return spark.read.format("jdbc").options(**read_options(conn, table, key, bounds, partitions)).load()
+    options = read_options(conn, table)
+    splits = hash_predicates(conn.dialect, hash_key, partitions) if hash_key else default_predicates(spark, conn, table, partitions)
+    return spark.read.jdbc(url=options.pop("url"), table=options.pop("dbtable"), predicates=splits, properties=options)
+
+
+def column_types(schema: T.StructType, lengths: Mapping[str, int], natives: Mapping[str, str] | None = None, source: str = "", target: str = "") -> str:
+    """Types of a table Spark creates: text lengths as given, else what the source's native type becomes on the target.
+
+    Columns without either, and native types without a size or rule, get the target's own type for their Spark type.
+    """
+    out = []
+    for f in schema:
+        kind = f"VARCHAR({lengths[f.name]})" if f.name in lengths else None
+        if kind is None and natives and f.name in natives:
+            found = type_for(source, target, natives[f.name])
+            if found and found != "string":
+                kind = re.sub("^CHAR", "VARCHAR", found.upper())
+        if kind:
+            name = f.name.replace("`", "``")
+            out.append(f"`{name}` {kind}")
+    return ", ".join(out)
 
 
 def write_options(
     conn: Connection, table: str, schema: T.StructType | None = None, lengths: Mapping[str, int] | None = None,
-    batchsize: int = 10_000, partitions: int = 32,
+    batchsize: int = 10_000, partitions: int = 32, natives: Mapping[str, str] | None = None, source: str = "",
 ) -> dict[str, str]:
-    """Options of a load: the table is emptied, not dropped; ``partitions`` limits open connections."""
+    """Options of a load: the table is emptied, not dropped; ``partitions`` limits open connections.
+
+    ``natives`` are the columns' types in the ``source`` dialect, from its catalogue.
+    """
     options = {
         **_login(conn), "dbtable": table_path(conn, table), "truncate": "true", "batchsize": str(batchsize),
         "numPartitions": str(partitions), "isolationLevel": "READ_COMMITTED",
     }
-    if schema is not None and lengths:
-        options["createTableColumnTypes"] = column_types(schema, lengths)
+    if schema is not None and (types := column_types(schema, lengths or {}, natives, source, conn.dialect)):
+        options["createTableColumnTypes"] = types
     return options
 
 
-def write_table(df: DataFrame, conn: Connection, table: str, lengths: Mapping[str, int] | None = None) -> None:
+def write_table(
+    df: DataFrame, conn: Connection, table: str, lengths: Mapping[str, int] | None = None, natives: Mapping[str, str] | None = None, source: str = ""
+) -> None:
     """Create the table if it is missing, empty it, insert every row."""
-    df.write.format("jdbc").options(**write_options(conn, table, df.schema, lengths)).mode("overwrite").save()
+    options = write_options(conn, table, df.schema, lengths, natives=natives, source=source)
+    df.write.format("jdbc").options(**options).mode("overwrite").save()
