@@ -103,12 +103,13 @@ def fk_ddl(t):
 
 
 def _plain(c: str) -> str:
-    return f"CASE WHEN regexp_full_match({c}, '[a-z_][a-z0-9_$]*') THEN {c} ELSE '\"' || {c} || '\"' END"
+    kept = "CASE WHEN dialect = 'oracle' THEN '[A-Z][A-Z0-9_$#]*' ELSE '[a-z_][a-z0-9_$]*' END"
+    return f"CASE WHEN dialect = 'mysql' THEN '`' || replace({c}, '`', '``') || '`' WHEN regexp_full_match({c}, {kept}) THEN {c} ELSE '\"' || {c} || '\"' END"
 
 
 SQL_TABLE_DDL = f"""
 SELECT job_id, dialect, schema_name, table_name, 'CREATE TABLE ' || {_plain('schema_name')} || '.' || {_plain('table_name')} ||
-       ' (' || string_agg(column_name || ' ' || native_type || CASE WHEN is_nullable = 'YES' THEN '' ELSE ' NOT NULL' END, ', '
+       ' (' || string_agg(CASE WHEN dialect = 'postgresql' THEN column_name ELSE {_plain('column_name')} END || ' ' || native_type || CASE WHEN is_nullable = 'YES' THEN '' ELSE ' NOT NULL' END, ', '
        ORDER BY ordinal) || ');' AS definition
 FROM {{sv_columns}} c GROUP BY job_id, dialect, schema_name, table_name"""
 

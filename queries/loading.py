@@ -109,6 +109,20 @@ def throughput(t):
     return metrics.throughput(t.loads).select("job_id", "load_id", "table_name", F.round("rows_per_second", 6).alias("rows_per_second"))
 
 
+# Where all tables of a job load side by side, its phase ends with the slowest; every tenth job's phase was not timed.
+FIXTURES["load_phases"] = "SELECT job_id, max(duration_seconds) AS phase_seconds FROM {loads} l WHERE job_id % 10 > 0 GROUP BY job_id"
+
+
+@query("throughput_side_by_side", """
+SELECT l.job_id, load_id, table_name, round(CASE WHEN phase_seconds > 0 THEN coalesce(target_row_count, 0) / phase_seconds ELSE 0 END, 6) AS rows_per_second
+FROM {loads} l LEFT JOIN {load_phases} p ON p.job_id = l.job_id""")
+def throughput_side_by_side(t):
+    from tidemark.operators import metrics
+
+    found = metrics.throughput(t.loads, t.load_phases)
+    return found.select("job_id", "load_id", "table_name", F.round("rows_per_second", 6).alias("rows_per_second"))
+
+
 # Logs of load jobs, one per order; some repeat a count later on, some never tell one.
 _LINES = [
     "concat('INFO start ', o_orderpriority)",

@@ -120,9 +120,17 @@ def fk_ddl(fks: DataFrame) -> DataFrame:
 
 
 def _table_ddl(columns: Column) -> Column:
-    """``CREATE TABLE`` text from the gathered columns of a table."""
-    plain = lambda c: F.when(c.rlike("^[a-z_][a-z0-9_$]*$"), c).otherwise(quote_ident(F.lit("postgresql"), c))
-    line = lambda c: F.concat(c["column_name"], F.lit(" "), c["native_type"], F.when(c["nullable"], "").otherwise(" NOT NULL"))
+    """``CREATE TABLE`` text from the gathered columns of a table, names written as its own dialect reads them.
+
+    MySQL quotes every name. Oracle and PostgreSQL leave names plain that they would store in the same case; PostgreSQL's columns stay plain.
+    """
+    dialect = F.col("dialect")
+    kept = lambda c: F.when(dialect == "oracle", c.rlike("^[A-Z][A-Z0-9_$#]*$")).otherwise(c.rlike("^[a-z_][a-z0-9_$]*$"))
+    plain = lambda c: (
+        F.when(dialect == "mysql", quote_ident(F.lit("mysql"), c)).when(kept(c), c).otherwise(quote_ident(F.lit("postgresql"), c))
+    )
+    named = lambda c: F.when(dialect == "postgresql", c).otherwise(plain(c))
+    line = lambda c: F.concat(named(c["column_name"]), F.lit(" "), c["native_type"], F.when(c["nullable"], "").otherwise(" NOT NULL"))
     return F.concat(
         F.lit("CREATE TABLE "), plain(F.col("schema_name")), F.lit("."), plain(F.col("table_name")),
         F.lit(" ("), F.array_join(F.transform(columns, line), ", "), F.lit(");"),

@@ -184,11 +184,16 @@ def failures_by_reason(events: DataFrame, length: str, labels: Sequence[str], re
     return counter_increase(named, length, [*labels, "reason"], slide)
 
 
-def throughput(loads: DataFrame) -> DataFrame:
-    """Rows per second of each table's load over the whole phase of its job (0 when the phase took no time)."""
-    phase = loads.groupBy("job_id").agg(F.sum("duration_seconds").alias("phase_seconds"))
+def throughput(loads: DataFrame, phases: DataFrame | None = None) -> DataFrame:
+    """Rows per second of each table's load over the whole phase of its job (0 when the phase took no time or has none).
+
+    ``phases`` (job_id, phase_seconds, one row a job) tells how long each job's phase took on the clock, as tables load side by side;
+    without it the phase counts as the sum of its tables' seconds.
+    """
+    if phases is None:
+        phases = loads.groupBy("job_id").agg(F.sum("duration_seconds").alias("phase_seconds"))
     rows = F.coalesce("target_row_count", F.lit(0))
-    return loads.join(phase, "job_id").withColumn(
+    return loads.join(phases.select("job_id", "phase_seconds"), "job_id", "left").withColumn(
         "rows_per_second", F.when(F.col("phase_seconds") > 0, rows / F.col("phase_seconds")).otherwise(0.0)
     )
 
