@@ -249,11 +249,19 @@ def schema_script_parts(t):
     return catalog.schema_script(catalog_of(t), part_size=3)
 
 
-@query("identifier_case_map", f"""
+SQL_CASE_MAP = f"""
 WITH t AS (SELECT job_id, schema_name, table_name, row_number() OVER (PARTITION BY job_id ORDER BY schema_name, table_name) AS ord
            FROM (SELECT job_id, schema_name, object_name AS table_name FROM ({SQL_OBJECTS}) o WHERE object_type = 'table') d),
      n AS (SELECT job_id, table_name AS name, ord, -1 AS pos FROM t UNION ALL
            SELECT c.job_id, c.column_name, t.ord, c.ordinal FROM {{sv_columns}} c JOIN t ON t.job_id = c.job_id AND t.table_name = c.table_name)
-SELECT job_id, lower(name) AS lower_name, arg_max(name, (ord, pos)) AS name FROM n GROUP BY ALL""")
+SELECT job_id, lower(name) AS lower_name, arg_max(name, (ord, pos)) AS name FROM n GROUP BY ALL"""
+
+
+@query("identifier_case_map", SQL_CASE_MAP)
 def identifier_case_map(t):
     return catalog.identifier_case_map(catalog_of(t))
+
+
+@query("identifier_case_map_extracts", SQL_CASE_MAP)
+def identifier_case_map_extracts(t):
+    return catalog.case_map_from_extracts(t.sv_tables, t.sv_columns)

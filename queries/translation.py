@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries import catalog as cat
+from queries import catalog as cat  # noqa: F401  (fixtures)
 from queries import estate  # noqa: F401  (fixtures)
 from queries.base import FIXTURES, query
 from tidemark.functions import ddl_text
@@ -57,7 +57,7 @@ WITH n AS (SELECT job_id, map(list(lower_name), list(name)) AS m FROM (SELECT DI
 SELECT v.job_id, v.object_id, array_to_string(list_transform({_TOKENS}, lambda x: coalesce('"' || n.m[lower(x)] || '"', x)), '') AS ddl
 FROM {{view_texts}} v JOIN n ON n.job_id = v.job_id""")
 def requote_identifiers(t):
-    case_map = catalog.identifier_case_map(cat.catalog_of(t))
+    case_map = catalog.case_map_from_extracts(t.sv_tables, t.sv_columns)
     return translation.requote_identifiers(t.view_texts, case_map).select("job_id", "object_id", "ddl")
 
 
@@ -68,7 +68,7 @@ SELECT v.job_id, v.object_id, CASE WHEN target_dialect = 'postgresql'
   THEN array_to_string(list_transform({_TOKENS}, lambda x: coalesce('"' || n.m[lower(x)] || '"', x)), '') ELSE v.ddl END AS ddl
 FROM {{view_texts}} v JOIN n ON n.job_id = v.job_id""")
 def clean_ddl(t):
-    case_map = catalog.identifier_case_map(cat.catalog_of(t))
+    case_map = catalog.case_map_from_extracts(t.sv_tables, t.sv_columns)
     return translation.clean_ddl(t.view_texts, case_map).select("job_id", "object_id", "ddl")
 
 

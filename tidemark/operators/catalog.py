@@ -15,7 +15,7 @@ from tidemark.operators.ordering import number_rows, text_parts
 
 # Kinds of objects, in the order they are listed and scripted.
 LIST_ORDER = ("table", "view", "procedure", "function", "trigger", "foreign_key")
-SCRIPT_ORDER = ("table", "view", "procedure", "function", "trigger", "foreign_key")
+SCRIPT_ORDER = LIST_ORDER
 
 KEY = ("job_id", "schema_name", "table_name")
 
@@ -257,6 +257,17 @@ def schema_script(catalog: DataFrame, part_size: int = 1000) -> DataFrame:
     return text_parts(rows, ["job_id", "type_rank"], "ord", "chunk", "\n\n", part_size).withColumnRenamed("text", "script")
 
 
+def case_map_from_extracts(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """``identifier_case_map`` straight from the extracts of tables and columns: the same order, with nothing numbered or gathered."""
+    key = ["job_id", "schema_name", "table_name"]
+    base = drop_system_objects(tables.filter(F.col("table_type") == "BASE TABLE")).select(*key)
+    own = base.select(*key, F.col("table_name").alias("name"), F.lit(-1).alias("ordinal"))
+    cols = columns.select(*key, F.col("column_name").alias("name"), "ordinal").join(base, key, "left_semi")
+    return own.unionByName(cols).groupBy("job_id", F.lower("name").alias("lower_name")).agg(
+        F.max_by("name", F.struct("schema_name", "table_name", "ordinal")).alias("name")
+    )
+
+
 def identifier_case_map(catalog: DataFrame) -> DataFrame:
     """Lower-cased name to the spelling seen last, over tables and their columns in catalogue order."""
     tables = catalog.filter(F.col("object_type") == "table")
