@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.joins import shuffled
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -50,6 +52,8 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         inputs = {n: getattr(self, n) for n in dict.fromkeys(_NAMES.findall(text))}
+        # Derived inputs have far more rows than Spark takes them for, so they are joined by shuffle.
+        inputs = {n: df if n in BASE_TABLES else shuffled(df) for n, df in inputs.items()}
         return self.spark.sql(text, **inputs) if inputs else self.spark.sql(text)
 
 

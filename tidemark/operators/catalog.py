@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.names import is_safe_identifier, is_system_schema, quote_ident
 from tidemark.functions.native_types import canonical_type, spark_type, target_type
+from tidemark.operators.joins import shuffled
 from tidemark.operators.ordering import number_rows, text_parts
 
 # Kinds of objects, in the order they are listed and scripted.
@@ -67,11 +68,11 @@ def columns_with_pk(columns: DataFrame, constraints: DataFrame, key_usage: DataF
     keys = (
         constraints.filter(F.col("constraint_type") == "PRIMARY KEY")
         .select(*KEY, "constraint_name")
-        .join(key_usage.select(*KEY, "constraint_name", "column_name"), [*KEY, "constraint_name"])
+        .join(shuffled(key_usage.select(*KEY, "constraint_name", "column_name")), [*KEY, "constraint_name"])
         .select(*KEY, "column_name", F.lit(True).alias("_pk"))
         .distinct()
     )
-    return columns.join(keys, [*KEY, "column_name"], "left").select(
+    return columns.join(shuffled(keys), [*KEY, "column_name"], "left").select(
         "job_id", "dialect", "schema_name", "table_name", "column_name", "ordinal", "native_type",
         (F.col("is_nullable").isin("YES", "Y")).alias("nullable"),
         "default_value",
@@ -88,7 +89,7 @@ def referenced_columns(constraints: DataFrame, key_usage: DataFrame) -> DataFram
         "job_id", "schema_name", F.col("constraint_name").alias("ref_constraint_name"),
         F.col("table_name").alias("ref_table_name"), F.col("column_name").alias("ref_column_name"), "position",
     )
-    return refs.join(cols, ["job_id", "schema_name", "ref_constraint_name"]).drop("ref_constraint_name")
+    return refs.join(shuffled(cols), ["job_id", "schema_name", "ref_constraint_name"]).drop("ref_constraint_name")
 
 
 def foreign_keys(constraints: DataFrame, key_usage: DataFrame, ref_usage: DataFrame) -> DataFrame:
@@ -98,8 +99,8 @@ def foreign_keys(constraints: DataFrame, key_usage: DataFrame, ref_usage: DataFr
     child = key_usage.select(*own, "column_name", "position")
     parent = ref_usage.select(*own, "ref_table_name", "ref_column_name", "position")
     return (
-        fks.join(child, own)
-        .join(parent, [*own, "position"])
+        fks.join(shuffled(child), own)
+        .join(shuffled(parent), [*own, "position"])
         .groupBy("job_id", "dialect", "schema_name", "constraint_name", "table_name", "ref_table_name")
         .agg(
             ordered_list(F.col("position"), F.col("column_name")).alias("columns"),
@@ -160,7 +161,7 @@ def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> Dat
             F.col("constraint_name").alias("object_name"), "table_name", "definition",
         )
     )
-    whole = listed.join(per_table, ["job_id", "schema_name", "object_name", "object_type"], "left").withColumn(
+    whole = listed.join(shuffled(per_table), ["job_id", "schema_name", "object_name", "object_type"], "left").withColumn(
         "definition", F.coalesce("definition", "_ddl")
     ).drop("_ddl")
     placed = whole.withColumn("_rank", ranked(F.col("object_type"), LIST_ORDER))
@@ -262,7 +263,7 @@ def case_map_from_extracts(tables: DataFrame, columns: DataFrame) -> DataFrame:
     key = ["job_id", "schema_name", "table_name"]
     base = drop_system_objects(tables.filter(F.col("table_type") == "BASE TABLE")).select(*key)
     own = base.select(*key, F.col("table_name").alias("name"), F.lit(-1).alias("ordinal"))
-    cols = columns.select(*key, F.col("column_name").alias("name"), "ordinal").join(base, key, "left_semi")
+    cols = columns.select(*key, F.col("column_name").alias("name"), "ordinal").join(shuffled(base), key, "left_semi")
     return own.unionByName(cols).groupBy("job_id", F.lower("name").alias("lower_name")).agg(
         F.max_by("name", F.struct("schema_name", "table_name", "ordinal")).alias("name")
     )

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.joins import shuffled
 from tidemark.operators.ordering import text_parts
 from tidemark.operators.reconcile import OBJECT_OK, union_all
 
@@ -125,11 +126,11 @@ def object_existence(
     outcome = applied.groupBy("job_id", "object_type", "object_name").agg(
         F.max_by(F.struct("applied_status", "applied_error"), "seq").alias("_a")
     )
-    joined = wanted.join(there, ["job_id", "object_type", "_lower"], "left").join(
-        outcome, ["job_id", "object_type", "object_name"], "left"
+    joined = wanted.join(shuffled(there), ["job_id", "object_type", "_lower"], "left").join(
+        shuffled(outcome), ["job_id", "object_type", "object_name"], "left"
     )
     if unreadable is not None:
-        joined = joined.join(unreadable.select("job_id", F.lit(True).alias("_lost")).distinct(), "job_id", "left")
+        joined = joined.join(shuffled(unreadable.select("job_id", F.lit(True).alias("_lost")).distinct()), "job_id", "left")
     else:
         joined = joined.withColumn("_lost", F.lit(None).cast("boolean"))
     how = F.col("_a.applied_status")
@@ -156,7 +157,7 @@ def schema_compatibility(objects: DataFrame, jobs: DataFrame | None = None) -> D
         F.count(F.lit(1)).alias("_total"),
     )
     if jobs is not None:
-        per_job = jobs.select("job_id").distinct().join(per_job, "job_id", "left")
+        per_job = jobs.select("job_id").distinct().join(shuffled(per_job), "job_id", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     return per_job.select(
         "job_id",
@@ -176,7 +177,7 @@ def missing_objects(objects: DataFrame, part_size: int = 1000) -> DataFrame:
     totals = objects.groupBy("job_id").agg(F.count_if(lost).alias("missing"))
     names = objects.filter(lost).select("job_id", "ord", F.concat("object_type", F.lit(":"), "object_name").alias("_name"))
     parts = text_parts(names, ["job_id"], "ord", "_name", ", ", part_size)
-    listed = totals.join(parts, "job_id", "left")
+    listed = totals.join(shuffled(parts), "job_id", "left")
     return listed.select(
         "job_id",
         F.lit("missing_objects").alias("check"),

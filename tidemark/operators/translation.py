@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.ddl_text import ANSWER_PATTERN, confidence, remap_schema, requote, strip_oracle_noise, unescape_ddl
+from tidemark.operators.joins import shuffled
 
 # Thresholds, penalties and the answer that stands for "nothing to translate".
 LOW_CONFIDENCE = 0.7
@@ -26,14 +27,14 @@ def requote_identifiers(objects: DataFrame, case_map: DataFrame, ddl: str = "ddl
     words = objects.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(ddl), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("_word"))
     named = case_map.withColumn("_word", F.regexp_extract("lower_name", r"(?U)\w+", 0)).filter(F.col("_word") != "")
     found = (
-        words.join(named, ["job_id", "_word"])
+        words.join(shuffled(named), ["job_id", "_word"])
         .groupBy(*key, "lower_name")
         .agg(F.max("name").alias("name"))
         .groupBy(*key)
         .agg(F.collect_list(F.struct("lower_name", "name")).alias("_n"))
     )
     fixed = requote(F.col(ddl), F.map_from_entries("_n"))
-    return objects.join(found, key, "left").withColumn(ddl, F.when(F.col("_n").isNull(), F.col(ddl)).otherwise(fixed)).drop("_n")
+    return objects.join(shuffled(found), key, "left").withColumn(ddl, F.when(F.col("_n").isNull(), F.col(ddl)).otherwise(fixed)).drop("_n")
 
 
 def clean_ddl(objects: DataFrame, case_map: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def score_translation(objects: DataFrame, answers: DataFrame, pattern: str = ANS
         .when(method == "rule_only", F.lit(RULE_ONLY))
         .otherwise(F.lit(ALL_FAILED))
     )
-    return objects.join(told, key, "left").withColumn("confidence", score).drop("_mean", "_asked")
+    return objects.join(shuffled(told), key, "left").withColumn("confidence", score).drop("_mean", "_asked")
 
 
 def _low() -> Column:
@@ -108,7 +109,7 @@ def applicable_translations(translations: DataFrame, catalog: DataFrame, include
     free = status.isNull() | (status == "PENDING_MANUAL_REVIEW") if include_pending else status.isNull()
     ready = translations.filter((F.col("translation_status") == "SUCCESS") & F.col("target_ddl").isNotNull() & free)
     return ready.select("id", "job_id", "source_object_id", "target_ddl").join(
-        catalog.select(F.col("object_id").alias("source_object_id"), "object_type", "object_name"), "source_object_id"
+        shuffled(catalog.select(F.col("object_id").alias("source_object_id"), "object_type", "object_name")), "source_object_id"
     )
 
 
@@ -124,7 +125,7 @@ def apply_outcomes(attempts: DataFrame, flagged: DataFrame) -> DataFrame:
         .when(F.col("error").isNull() | exists, "APPLIED")
         .otherwise("APPLY_FAILED")
     )
-    return attempts.join(names, ["job_id", "object_name"], "left").withColumn("applied_status", status).withColumn(
+    return attempts.join(shuffled(names), ["job_id", "object_name"], "left").withColumn("applied_status", status).withColumn(
         "applied_error", F.when(F.col("applied_status") == "APPLY_FAILED", F.col("error"))
     ).drop("_flag", "error")
 
@@ -132,7 +133,7 @@ def apply_outcomes(attempts: DataFrame, flagged: DataFrame) -> DataFrame:
 def applied_outcomes(translations: DataFrame, catalog: DataFrame) -> DataFrame:
     """Outcome per (job, type, name) of everything translated."""
     return translations.select("source_object_id", "applied_status", "applied_error").join(
-        catalog.select(F.col("object_id").alias("source_object_id"), "job_id", "object_type", "object_name"), "source_object_id"
+        shuffled(catalog.select(F.col("object_id").alias("source_object_id"), "job_id", "object_type", "object_name")), "source_object_id"
     ).drop("source_object_id")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.native_types import base_type, is_risky
+from tidemark.operators.joins import shuffled
 from tidemark.operators.ordering import number_rows
 
 # Object kinds of the plan row, risk per kind, valid levels, and how many objects are refined at a time.
@@ -44,7 +45,7 @@ def score_risk(objects: DataFrame, columns: DataFrame) -> DataFrame:
         F.coalesce(by_kind[kind], F.lit("medium"))
     )
     reason = F.when(kind == "table", F.concat(F.lit(TYPE_REASON), F.col("_hits"))).otherwise(F.concat(kind, F.lit(KIND_REASON)))
-    return objects.join(hits, ["job_id", "schema_name", "object_name", "object_type"], "left").select(
+    return objects.join(shuffled(hits), ["job_id", "schema_name", "object_name", "object_type"], "left").select(
         "job_id", "ord", "object_name", "object_type", level.alias("risk_level"), reason.alias("reason")
     )
 
@@ -69,7 +70,7 @@ def refine_risk(register: DataFrame, overrides: DataFrame) -> DataFrame:
         .groupBy(*names)
         .agg(F.max_by(F.struct("risk_level", "reason"), "seq").alias("_o"))
     )
-    return register.join(valid, names, "left").select(
+    return register.join(shuffled(valid), names, "left").select(
         "job_id", "ord", "object_name", "object_type",
         F.coalesce("_o.risk_level", "risk_level").alias("risk_level"),
         F.coalesce("_o.reason", "reason").alias("reason"),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from tidemark.operators.joins import shuffled
 from tidemark.plans.risk import with_type_priority
 from tidemark.session import cut_lineage
 
@@ -30,20 +31,20 @@ def waves(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], name: str) -
         edges.filter(F.col("child") != F.col("parent"))
         .select(*scope, "child", "parent")
         .distinct()
-        .join(known.withColumnRenamed(name, "child"), [*scope, "child"], "left_semi")
-        .join(known.withColumnRenamed(name, "parent"), [*scope, "parent"], "left_semi")
+        .join(shuffled(known.withColumnRenamed(name, "child")), [*scope, "child"], "left_semi")
+        .join(shuffled(known.withColumnRenamed(name, "parent")), [*scope, "parent"], "left_semi")
     )
     links = cut_lineage(links)
     parents = links.groupBy(*scope, "child").agg(F.count(F.lit(1)).alias("_open"))
-    live, facts = _counted(links.join(parents, [*scope, "child"]), F.count(F.lit(1)).alias("edges"))
+    live, facts = _counted(links.join(shuffled(parents), [*scope, "child"]), F.count(F.lit(1)).alias("edges"))
     children = live.select(*scope, F.col("child").alias(name)).distinct()
-    roots, _ = _counted(known.join(children, node, "left_anti").withColumn("wave", F.lit(0)), F.count(F.lit(1)).alias("n"))
+    roots, _ = _counted(known.join(shuffled(children), node, "left_anti").withColumn("wave", F.lit(0)), F.count(F.lit(1)).alias("n"))
     settled, frontier, touched = [roots], roots, None
     left, gone, leaving, wave = facts["edges"], 0, [roots.select(*node)], 0
     while left > 0:
         wave += 1
         met = (
-            live.join(frontier.select(*scope, F.col(name).alias("parent")), [*scope, "parent"])
+            live.join(shuffled(frontier.select(*scope, F.col(name).alias("parent"))), [*scope, "parent"])
             .groupBy(*scope, F.col("child").alias(name))
             .agg(F.count(F.lit(1)).alias("_done"), F.max("_open").alias("_open"), F.count(F.lit(1)).alias("_new"))
         )
@@ -63,10 +64,10 @@ def waves(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], name: str) -
         if 0 < left <= gone:
             # The parents of the wave settled last still have their edges to give out.
             past = reduce(DataFrame.unionByName, leaving[:-1]).withColumnRenamed(name, "parent")
-            live = cut_lineage(live.join(past, [*scope, "parent"], "left_anti"))
+            live = cut_lineage(live.join(shuffled(past), [*scope, "parent"], "left_anti"))
             leaving, gone = leaving[-1:], 0
     found = reduce(DataFrame.unionByName, settled)
-    rest = children.join(found, node, "left_anti").withColumn("wave", F.lit(None).cast("int"))
+    rest = children.join(shuffled(found), node, "left_anti").withColumn("wave", F.lit(None).cast("int"))
     return found.unionByName(rest)
 
 
@@ -81,7 +82,7 @@ def load_waves(tables: DataFrame, edges: DataFrame) -> DataFrame:
 
     Tables in or downstream of a cycle have no wave and go last, in catalogue order.
     """
-    return tables.join(waves(tables, edges, ["job_id"], "table_name"), ["job_id", "table_name"])
+    return tables.join(shuffled(waves(tables, edges, ["job_id"], "table_name")), ["job_id", "table_name"])
 
 
 def apply_order(objects: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,9 +90,9 @@ def apply_order(objects: DataFrame, edges: DataFrame) -> DataFrame:
     ranked = with_type_priority(objects, APPLY_ORDER)
     kinds = objects.select("job_id", "object_type", "object_name")
     same_kind = edges.join(
-        kinds.withColumnRenamed("object_name", "child"), ["job_id", "child"]
+        shuffled(kinds.withColumnRenamed("object_name", "child")), ["job_id", "child"]
     ).select("job_id", "object_type", "child", "parent")
     depth = waves(kinds, same_kind, ["job_id", "object_type"], "object_name").withColumnRenamed("wave", "depth")
-    return ranked.join(depth, ["job_id", "object_type", "object_name"]).select(
+    return ranked.join(shuffled(depth), ["job_id", "object_type", "object_name"]).select(
         "job_id", "ord", "object_type", "object_name", "priority", "depth"
     )

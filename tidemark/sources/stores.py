@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators.joins import shuffled
 from tidemark.session import cut_lineage
 from tidemark.sources import versioned
 from tidemark.sources.versioned import BUCKET
@@ -13,7 +14,7 @@ from tidemark.sources.versioned import BUCKET
 def with_dependencies(catalog: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Attach to each object the tables it refers to; an object without any has an empty list."""
     deps = dependencies.select("job_id", F.col("child").alias("object_name"), "dependencies")
-    return catalog.join(deps, ["job_id", "object_name"], "left").withColumn(
+    return catalog.join(shuffled(deps), ["job_id", "object_name"], "left").withColumn(
         "dependencies", F.coalesce("dependencies", F.array().cast("array<string>"))
     )
 
@@ -52,7 +53,7 @@ def touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame | None
 def latest_loads(rows: DataFrame) -> DataFrame:
     """The rows of each job's newest load."""
     newest = rows.groupBy("job_id").agg(F.max("load").alias("_newest")).withColumnRenamed("job_id", "_job")
-    return rows.join(newest, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("load") == F.col("_newest"))).drop("_job", "_newest")
+    return rows.join(shuffled(newest), F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("load") == F.col("_newest"))).drop("_job", "_newest")
 
 
 def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str, buckets: int = 64) -> None:
