@@ -114,3 +114,36 @@ def test_a_search_scores_the_probed_lists_alone(corpus):
     entries, queries = retrieval.list_blocks(assigned, retrieval.probed_lists(centres, plain, 2), 20, 7)
     fullest = lambda df: df.groupBy("list_id", "part", "slot").count().agg(F.max("count")).first()[0]
     assert fullest(entries) < 60 and fullest(queries) < 30
+
+
+def test_queries_ask_every_twentieth_entry(spark, tmp_path):
+    from queries.base import Tables
+    from queries import retrieval as asked
+
+    rows = [(i, v.tolist(), i % 7) for i, v in enumerate(VECTORS)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    t = Tables(spark, str(tmp_path))
+    want = {(q, i) for q, i in brute(10) if q % 20 == 0}
+    assert pairs(asked.retrieve_batch(t)) == want
+    assert pairs(asked.retrieve_ann_all_lists(t)) == want
+
+
+def test_blocks_of_queries_are_read_one_at_a_time(monkeypatch, tmp_path):
+    from pyarrow import dataset, parquet, table
+
+    parquet.write_table(table({"id": range(1000), "embedding": [[1.0, 2.0]] * 1000}), f"{tmp_path}/part.parquet")
+    seen, true = {}, dataset.FileSystemDataset.to_batches
+
+    class Watched:
+        def __init__(self, *args, **kwargs):
+            self.found = true_dataset(*args, **kwargs)
+
+        def to_batches(self, **options):
+            seen.update(options)
+            return true(self.found, **options)
+
+    true_dataset = dataset.dataset
+    monkeypatch.setattr(dataset, "dataset", Watched)
+    sizes = [b.num_rows for b in retrieval._query_blocks(str(tmp_path), 1600, 2)()]
+    assert sizes == [100] * 10
+    assert seen["batch_readahead"] == seen["fragment_readahead"] == 0

@@ -73,6 +73,13 @@ def _score_batches(blocks, k: int, hit_types: tuple):
             out += [(name, at[p], s[p]) for p in sorted(mine, key=lambda p: (-s[p], at[p]))[:k]]
         return out
 
+    def leading(found: list, k: int):
+        """The k best entries of each query among those found so far."""
+        by_query = {}
+        for hit in found:
+            by_query.setdefault(hit[0], []).append(hit)
+        return [hit for hits in by_query.values() for hit in sorted(hits, key=lambda h: (-h[2], h[1] is not None, 0 if h[1] is None else h[1]))[:k]]
+
     def groups(batch):
         """Rows of a batch by the size of their vector: (size, row numbers, unit vectors)."""
         import numpy as np
@@ -137,6 +144,9 @@ def _score_batches(blocks, k: int, hit_types: tuple):
                                 part = rows[lo : lo + SCORE_ROWS]
                                 scores = np.round(vectors[lo : lo + SCORE_ROWS] @ units.T, DIGITS)
                                 found += best([ids[r] for r in part], scores, k, [names[a] for a in asked], fits(batch, part, queries, asked))
+                                if len(found) > 4 * k * max(1, queries.num_rows):
+                                    found = leading(found, k)
+                    found = leading(found, k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f[i] for f in found], t) for i, t in enumerate((*hit_types, pa.float64()))], names=["query_id", "id", "similarity"]
                     )
@@ -145,14 +155,19 @@ def _score_batches(blocks, k: int, hit_types: tuple):
 
 
 def _query_blocks(folder: str, limit: int, width: int):
-    """Reads a folder of queries in blocks of at most ``limit`` bytes of vectors; for use in tasks."""
+    """Reads a folder of queries in blocks of at most ``limit`` bytes of vectors; for use in tasks.
+
+    One block is read at a time: blocks read ahead would add up to the whole folder in every task.
+    """
 
     def blocks():
         from pyarrow import dataset, fs
 
         system, place = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
         rows = max(1, limit // (8 * max(1, width)))
-        for batch in dataset.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=rows):
+        found = dataset.dataset(place, filesystem=system, format="parquet")
+        alone = dataset.ParquetFragmentScanOptions(pre_buffer=False)
+        for batch in found.to_batches(batch_size=rows, batch_readahead=0, fragment_readahead=0, use_threads=False, fragment_scan_options=alone):
             if batch.num_rows:
                 yield batch
 
