@@ -68,6 +68,28 @@ def test_covered_words_equal_brute_force():
         assert found.tolist() == expected
 
 
+def test_runs_of_a_host_equal_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    ranked, plain = [], main_text.suffix_ranks
+    monkeypatch.setattr(main_text, "suffix_ranks", lambda codes, depth: ranked.append(depth) or plain(codes, depth))
+    for width in (3, 4, 8):
+        pages = [" ".join(map(str, draw.integers(0, 2, draw.integers(0, 40)))) for _ in range(9)]
+        hosts = [f"h{k % 2}" for k in range(9)]
+        split = [[w for w in (p[: len(p) // 2], p[len(p) // 2 :]) if w.strip()] for p in pages]
+        classes, names, at, _ = main_text.page_runs(pa.array(hosts), pa.array(split, pa.list_(pa.string())), width)
+        want = []
+        for host, blocks in zip(hosts, split, strict=True):
+            words = "\n".join(blocks).split()
+            want.append([(host, *words[i : i + width]) for i in range(len(words) - width + 1)])
+        flat = [run for page in want for run in page]
+        assert np.diff(at).tolist() == [len(page) for page in want]
+        assert len(names) == len(set(names.tolist())) == len(set(flat))
+        assert len({(c, run) for c, run in zip(classes.tolist(), flat, strict=True)}) == len(set(flat))
+    assert ranked == [3, 4, 8]
+
+
 def test_host_boilerplate_goes_where_mark_up_says_nothing(spark):
     menu = "Home News Sport Weather Travel Money Health Culture"
     rows = [(k, f"http://h.com/{k}", f"<div>{menu}</div><p>{prose(k, 30, 10**6)}</p><p>{prose(1, 60)}</p>" if k < 2 else f"<div>{menu}</div><p>{prose(k, 30, 10**6)}</p>") for k in range(8)]
