@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from queries.base import FIXTURES, Tables
-from tidemark.operators import catalog, integrity, translation
-from tidemark.plans import risk
+from tidemark.operators import catalog, integrity, ordering, translation
+from tidemark.plans import risk, waves
 from tidemark.sources import stores
 
 
@@ -68,3 +68,44 @@ def test_inputs_derived_by_joins_are_not_broadcast(spark, monkeypatch):
     df = Tables(spark, "/nowhere").both
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 12
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parents_of_counted_keys_are_not_broadcast(spark):
+    child = spark.createDataFrame([(1, 7), (2, 7), (None, 8), (9, None), (9, 8), (1, 9)], "a int, b int")
+    # Values of a statement, so Spark knows them to be few.
+    parents = {n: spark.sql(f"SELECT * FROM VALUES {v} AS t(x)") for n, v in {"p": "(1), (2), (NULL)", "q": "(7), (7), (8)"}.items()}
+    fks = [integrity.ForeignKey("one", "c", ("a",), "p", ("x",)), integrity.ForeignKey("two", "c", ("b",), "q", ("x",))]
+    counts = integrity.orphan_counts({"c": child, **parents}, fks)
+    assert "Broadcast" not in executed(counts) and "SortMergeJoin" in executed(counts)
+    assert sorted((r["constraint_name"], r["orphan_rows"]) for r in counts.collect()) == [("one", 2), ("two", 1)]
+
+
+def test_catalogue_is_numbered_without_broadcasting_what_it_is_joined_from(inputs, monkeypatch):
+    ranged = []
+    cut = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: ranged.append(executed(df)) or cut(df))
+    nothing = lambda *names: inputs["tables"].limit(0).select("job_id", "dialect", "schema_name", *[F.lit(None).cast("string").alias(n) for n in names])
+    rows = catalog.catalog_from_extracts({
+        **{n: inputs[n] for n in ("tables", "columns", "constraints", "key_usage", "ref_usage")},
+        "views": nothing("view_name", "definition"),
+        "routines": nothing("routine_name", "routine_kind", "definition"),
+        "triggers": nothing("trigger_name", "table_name", "definition").withColumn("is_internal", F.lit(False)),
+    })
+    assert len(ranged) == 1 and "Broadcast" not in ranged[0] and "Join" in ranged[0]
+    found = [(r["object_type"], r["object_name"], r["ord"], [c["column_name"] for c in r["columns"] or []]) for r in rows.filter("job_id = 3").collect()]
+    assert sorted(found, key=lambda r: r[2]) == [("table", "a", 1, ["a"]), ("table", "b", 2, ["b"]), ("foreign_key", "b", 3, [])]
+
+
+def test_waves_broadcast_neither_links_nor_nodes(spark, monkeypatch):
+    steps = []
+    cut = waves.cut_lineage
+    monkeypatch.setattr(waves, "cut_lineage", lambda df: steps.append(executed(df)) or cut(df))
+    tables = spark.range(4).select(F.col("id").alias("job_id"), F.posexplode(F.array(*map(F.lit, "abc"))).alias("ord", "table_name"))
+    edges = spark.range(4).select(F.col("id").alias("job_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("child"), F.lit(p).alias("parent")) for c, p in ("ba", "cb", "ca")])))
+    found = waves.load_waves(tables, edges)
+    assert {(r["job_id"], r["table_name"]): r["wave"] for r in found.collect()} == {(j, n): w for j in range(4) for w, n in enumerate("abc")}
+    assert len(steps) > 3 and not any("Broadcast" in s for s in [*steps, executed(found)])

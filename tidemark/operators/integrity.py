@@ -48,9 +48,12 @@ def orphan_rows(child: DataFrame, parent: DataFrame, columns: Sequence[str], ref
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    """Orphans of one foreign key. Child rows are counted per key first, so a hot key meets the join as one row."""
+    """Orphans of one foreign key. Child rows are counted per key first, so a hot key meets the join as one row.
+
+    The counts lie by key already; the parents' keys are shuffled to them, as several parents are checked in one job.
+    """
     keys = child.filter(_all_set(fk.columns)).groupBy(*fk.columns).agg(F.count(F.lit(1)).alias("_rows"))
-    return orphan_rows(keys, parent, fk.columns, fk.ref_columns).agg(
+    return orphan_rows(keys, shuffled(parent), fk.columns, fk.ref_columns).agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("orphan_rows")
     ).select(F.lit(fk.name).alias("constraint_name"), F.lit(fk.label).alias("label"), "orphan_rows")
 
