@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from queries import retrieval as queries
 from tidemark.functions.vectors import cosine_similarity, vector_literal
 from tidemark.operators import retrieval
 
@@ -116,16 +117,31 @@ def test_a_search_scores_the_probed_lists_alone(corpus):
     assert fullest(entries) < 60 and fullest(queries) < 30
 
 
-def test_queries_ask_every_twentieth_entry(spark, tmp_path):
+@pytest.fixture
+def asked(spark, tmp_path):
     from queries.base import Tables
-    from queries import retrieval as asked
 
     rows = [(i, v.tolist(), i % 7) for i, v in enumerate(VECTORS)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    t = Tables(spark, str(tmp_path))
-    want = {(q, i) for q, i in brute(10) if q % 20 == 0}
-    assert pairs(asked.retrieve_batch(t)) == want
-    assert pairs(asked.retrieve_ann_all_lists(t)) == want
+    return Tables(spark, str(tmp_path))
+
+
+def test_every_entry_asks(asked):
+    assert pairs(queries.retrieve_batch(asked)) == brute(10)
+
+
+def test_all_lists_equal_brute_force(asked):
+    assert pairs(queries.retrieve_ann_all_lists(asked)) == {(q, i) for q, i in brute(10) if q % 20 == 0}
+
+
+def test_parts_of_entries_and_queries_give_the_same(corpus, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORE_ROWS", 40)
+    monkeypatch.setattr(retrieval, "SCORE_QUERIES", 70)
+    plain = corpus.coalesce(1).select("id", "embedding")
+    for k in (1, 5, 60):
+        assert pairs(retrieval.retrieve_batch(plain, plain, k)) == brute(k)
+    found = {(r["query_id"], r["id"]) for r in retrieval.retrieve_batch(corpus.coalesce(1), corpus, 3).collect()}
+    assert found == brute(3, lambda q, c: DIALECTS[c % 3] in (None, DIALECTS[q % 3]) and DIALECTS[c % 2] in (None, DIALECTS[q % 2]))
 
 
 def test_blocks_of_queries_are_read_one_at_a_time(monkeypatch, tmp_path):

@@ -60,25 +60,25 @@ def _score_batches(blocks, k: int, hit_types: tuple):
     ``blocks`` is called in the task and yields Arrow batches of queries. Vectors are compared with those of their own size;
     zero vectors and NULLs are found by no query. The closure travels to the executors by value.
     """
-    def best(at: list, scores, k: int, names: list, usable):
-        """(query, entry, similarity) of the k best entries of each query, by rounded score and then id."""
+    def leading(asked, at, scores, place):
+        """The k best entries of each query among those found so far, by rounded score and then id: query, entry, score."""
         import numpy as np
 
-        out = []
-        for column, name in enumerate(names):
-            s = scores[:, column]
-            mine = np.flatnonzero(usable[:, column])
-            if len(mine) > 4 * k:
-                mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
-            out += [(name, at[p], s[p]) for p in sorted(mine, key=lambda p: (-s[p], at[p]))[:k]]
-        return out
+        order = np.lexsort((place[at], -np.where(np.isnan(scores), np.inf, scores), asked))
+        asked, at, scores = asked[order], at[order], scores[order]
+        starts = np.flatnonzero(np.diff(asked, prepend=-1))
+        nth = np.arange(len(asked)) - np.repeat(starts, np.diff(starts, append=len(asked)))
+        return asked[nth < k], at[nth < k], scores[nth < k]
+
+    def reached(scores):
+        """A score that k entries of each query reach: the k-th of the best ones of its entries, dealt into groups."""
+        import numpy as np
 
-    def leading(found: list, k: int):
-        """The k best entries of each query among those found so far."""
-        by_query = {}
-        for hit in found:
-            by_query.setdefault(hit[0], []).append(hit)
-        return [hit for hits in by_query.values() for hit in sorted(hits, key=lambda h: (-h[2], h[1] is not None, 0 if h[1] is None else h[1]))[:k]]
+        wide = scores.shape[1] // (4 * k)
+        if not wide:
+            return np.full(len(scores), -np.inf)
+        tops = scores[:, : wide * 4 * k].reshape(len(scores), wide, 4 * k).max(axis=1)
+        return np.partition(tops, -k, axis=1)[:, -k]
 
     def groups(batch):
         """Rows of a batch by the size of their vector: (size, row numbers, unit vectors)."""
@@ -99,16 +99,31 @@ def _score_batches(blocks, k: int, hit_types: tuple):
 
         return pa.array(rows)
 
-    def fits(entries, rows, queries, asked):
-        """Which entries a query may see: those of its dialects or agnostic ones."""
+    def places(ids):
+        """The place of each entry in the order of ids, NULL first."""
+        import numpy as np
+
+        values = ids.to_pylist()
+        order = sorted(range(len(values)), key=lambda i: (values[i] is not None, 0 if values[i] is None else values[i]))
+        out = np.empty(len(values), np.int64)
+        out[order] = np.arange(len(values))
+        return out
+
+    def sides(entries, queries):
+        """Numbers for the dialects of entries and queries, -1 for an agnostic one: a pair of arrays for each side both have."""
         import numpy as np
 
-        ok = np.ones((len(rows), len(asked)), bool)
         for side in ("source_dialect", "target_dialect"):
             if side in entries.schema.names and side in queries.schema.names:
-                have = np.array(entries.column(side).to_pylist(), object)[rows]
-                want = np.array(queries.column(side).to_pylist(), object)[asked]
-                ok &= np.equal(have[:, None], None) | (have[:, None] == want[None, :])
+                number = {None: -1}
+                yield tuple(np.array([number.setdefault(d, len(number)) for d in x.column(side).to_pylist()], np.int32) for x in (entries, queries))
+
+    def fits(pairs, asked, rows):
+        """Which entries a query may see: those of its dialects or agnostic ones; nothing where there are no dialects."""
+        ok = None
+        for have, want in pairs:
+            mine = (have[rows] == -1)[None, :] | (have[rows][None, :] == want[asked][:, None])
+            ok = mine if ok is None else ok & mine
         return ok
 
     def gathered(batches):
@@ -127,29 +142,41 @@ def _score_batches(blocks, k: int, hit_types: tuple):
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+    def best(asked, units, rows, vectors, pairs, place):
+        """The k best of these entries for each of these queries; entries are scored in parts, and only those that may still lead are kept."""
+        import numpy as np
+
+        empty = np.zeros(0, np.int64)
+        found, floor = (empty, empty, np.zeros(0)), np.full(len(asked), -np.inf)
+        for lo in range(0, len(rows), SCORE_ROWS):
+            part = rows[lo : lo + SCORE_ROWS]
+            scores, ok = units @ vectors[lo : lo + SCORE_ROWS].T, fits(pairs, asked, part)
+            if ok is not None:
+                scores[~ok] = -np.inf
+            # Scores that are equal once rounded lie closer together than the last digit.
+            floor = np.fmax(floor, reached(scores))
+            chosen = ~(scores < (floor - 10.0**-DIGITS)[:, None])
+            which, at = np.divmod(np.flatnonzero(chosen if ok is None else chosen & ok), len(part))
+            new = which, part[at], np.round(scores[which, at], DIGITS)
+            found = leading(*(np.concatenate(x) for x in zip(found, new, strict=True)), place)
+        return asked[found[0]], found[1], found[2]
+
     def run(batches, asked_blocks=blocks):
         import numpy as np
         import pyarrow as pa
 
         for batch in gathered(batches):
-            ids, mine = batch.column("id").to_pylist(), list(groups(batch))
+            mine, place = list(groups(batch)), places(batch.column("id"))
             for block in asked_blocks():
                 # A task holds the similarities of so many entries and queries at a time.
                 for first in range(0, block.num_rows, SCORE_QUERIES):
-                    queries, found = block.slice(first, SCORE_QUERIES), []
-                    names = queries.column("id").to_pylist()
-                    for size, asked, units in groups(queries):
-                        for other, rows, vectors in mine:
-                            for lo in range(0, len(rows) if other == size and len(asked) else 0, SCORE_ROWS):
-                                part = rows[lo : lo + SCORE_ROWS]
-                                scores = np.round(vectors[lo : lo + SCORE_ROWS] @ units.T, DIGITS)
-                                found += best([ids[r] for r in part], scores, k, [names[a] for a in asked], fits(batch, part, queries, asked))
-                                if len(found) > 4 * k * max(1, queries.num_rows):
-                                    found = leading(found, k)
-                    found = leading(found, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f[i] for f in found], t) for i, t in enumerate((*hit_types, pa.float64()))], names=["query_id", "id", "similarity"]
-                    )
+                    queries = block.slice(first, SCORE_QUERIES)
+                    pairs = list(sides(batch, queries))
+                    found = [best(asked, units, rows, vectors, pairs, place) for size, asked, units in groups(queries) for other, rows, vectors in mine if other == size]
+                    if found:
+                        which, at, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                        hits = [queries.column("id").take(pa.array(which)).cast(hit_types[0]), batch.column("id").take(pa.array(at)).cast(hit_types[1]), pa.array(scores)]
+                        yield pa.RecordBatch.from_arrays(hits, names=["query_id", "id", "similarity"])
 
     return run
 
