@@ -145,6 +145,10 @@ def test_all_lists_equal_brute_force(asked):
     assert pairs(queries.retrieve_ann_all_lists(asked)) == brute(10)
 
 
+def test_recall_is_held_over_every_entry(asked):
+    assert [tuple(r) for r in queries.retrieve_ann_recall_reached(asked).collect()] == [(len(VECTORS), True)]
+
+
 def test_parts_of_entries_and_queries_give_the_same(corpus, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORE_ROWS", 40)
     monkeypatch.setattr(retrieval, "SCORE_QUERIES", 70)
