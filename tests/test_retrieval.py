@@ -141,6 +141,14 @@ def test_every_entry_asks_for_its_pair(asked):
     assert pairs(queries.retrieve_batch_pairs(asked)) == brute(5, own_pair)
 
 
+def test_every_entry_has_its_context(asked):
+    hits = {}
+    for q, i in brute(5, own_pair):
+        hits.setdefault(q, set()).add(f"- note {i}: about label {i % 7}")
+    got = {r["query_id"]: set(r["context"].split("\n\n")) for r in queries.context_text(asked).collect()}
+    assert got == hits
+
+
 def test_all_lists_equal_brute_force(asked):
     assert pairs(queries.retrieve_ann_all_lists(asked)) == brute(10)
 
