@@ -182,3 +182,43 @@ def test_driver_settings_come_from_the_caller():
     assert plain.url == own.url == "jdbc:mysql://h:3306/d"
     options = jdbc.read_options(own, "t")
     assert options["sslMode"] == "VERIFY_CA" and options["driver"] == "com.mysql.cj.jdbc.Driver"
+
+
+def test_a_replaced_catalogue_leaves_its_rows_alone_on_disk(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.operators import catalog as objects
+    from tidemark.session import shared_dir
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {b for b in blocks if b.startswith("shuffle_")}
+
+    def folders():
+        top = Path(shared_dir(spark).removeprefix("file:"))
+        return {p for kind in ("catalog-*", "dependencies-*", "foreign-keys-*") for p in top.glob(f"tidemark/{kind}")} | set(top.glob("*/rdd-*"))
+
+    listed = spark.createDataFrame(
+        [(j, "mysql", "table", "s", n, None, None) for j in range(5) for n in "ab"],
+        "job_id bigint, dialect string, object_type string, schema_name string, object_name string, table_name string, definition string",
+    )
+    # Table a of job 3 has columns of two dialects.
+    columns = spark.createDataFrame(
+        [(j, d, "s", n, "x", 0, "int", True, None, False) for j in range(5) for n in "ab" for d in ("mysql", "oracle")[: 2 if (j, n) == (3, "a") else 1]],
+        "job_id bigint, dialect string, schema_name string, table_name string, column_name string, ordinal int, native_type string, nullable boolean, default_value string, is_primary_key boolean",
+    )
+    fks = spark.createDataFrame(
+        [(1, "mysql", "s", "f", "b", "a", ["x"], ["x"])],
+        "job_id bigint, dialect string, schema_name string, constraint_name string, table_name string, ref_table_name string, columns array<string>, ref_columns array<string>",
+    )
+    before = shuffles(), folders()
+    path = f"{tmp_path}/catalog"
+    stores.replace_catalog(objects.build_catalog(listed, columns, fks), objects.dependency_lists(objects.dependency_edges(fks)), path, buckets=2)
+    assert (shuffles() - before[0], folders() - before[1]) == (set(), set())
+    rows = stores.read_catalog(spark, path).collect()
+    found = [(r["job_id"], r["ord"], r["object_name"], r["dependencies"]) for r in rows]
+    assert sorted(found) == sorted(
+        [(j, i + 1, n, ["a"] if (j, n) == (1, "b") else []) for j in (0, 1, 2, 4) for i, n in enumerate("ab")] + [(1, 3, "f", []), (3, 1, "a", []), (3, 2, "a", []), (3, 3, "b", [])]
+    )
+    texts = {r["definition"] for r in rows if (r["job_id"], r["object_name"]) == (3, "a")}
+    assert len(texts) == 2 and all(len(r["columns"]) == 1 for r in rows if r["object_type"] == "table")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.names import is_safe_identifier, is_system_schema, quote_ident
 from tidemark.functions.native_types import canonical_type, spark_type, target_type
 from tidemark.operators.joins import shuffled
-from tidemark.operators.ordering import number_rows, text_parts
+from tidemark.operators.ordering import RANGE, TIE, in_ranges, running, text_parts
+from tidemark.session import checkpoint_path, discard, scratch_path, settled
 
 # Kinds of objects, in the order they are listed and scripted.
 LIST_ORDER = ("table", "view", "procedure", "function", "trigger", "foreign_key")
@@ -150,22 +151,37 @@ def table_ddl(columns: DataFrame) -> DataFrame:
 
 
 def build_catalog(objects: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """One row per object with its position in the job; tables carry columns and, lacking a text, a synthesised one."""
-    per_table = table_columns(columns).select(
+    """One row per object with its position in the job; tables carry columns and, lacking a text, a synthesised one.
+
+    Columns and synthesised texts are far wider than the rest, so they are settled once, stay behind while objects are numbered and join them
+    by table and the dialect of its columns. Each step is settled before the next, so that the disk holds the shuffles of one step at a time.
+    """
+    spark = objects.sparkSession
+    key = ["job_id", "schema_name", "object_name", "object_type"]
+    per_table = settled(table_columns(columns).select(
         "job_id", "schema_name", F.col("table_name").alias("object_name"), F.lit("table").alias("object_type"),
-        "columns", _table_ddl(F.col("columns")).alias("_ddl"),
-    )
+        "columns", _table_ddl(F.col("columns")).alias("_ddl"), F.col("dialect").alias("_of"),
+    ), scratch_path(spark, "table-columns"))
+    keys = scratch_path(spark, "foreign-keys")
     listed = objects.unionByName(
-        fk_ddl(fks).select(
+        fk_ddl(settled(fks, keys)).select(
             "job_id", "dialect", F.lit("foreign_key").alias("object_type"), "schema_name",
             F.col("constraint_name").alias("object_name"), "table_name", "definition",
         )
     )
-    whole = listed.join(shuffled(per_table), ["job_id", "schema_name", "object_name", "object_type"], "left").withColumn(
-        "definition", F.coalesce("definition", "_ddl")
-    ).drop("_ddl")
-    placed = whole.withColumn("_rank", ranked(F.col("object_type"), LIST_ORDER))
-    return number_rows(placed, ["job_id"], ["_rank", "schema_name", "object_name"], "ord").drop("_rank")
+    named = [c for c in listed.columns if c not in (*key, "definition")]
+    text = F.coalesce("definition", "_ddl")
+    placed = listed.join(shuffled(per_table), key, "left").withColumn("_rank", ranked(F.col("object_type"), LIST_ORDER))
+    told = placed.withColumn(TIE, F.xxhash64(*key, *named, text, "columns", "_rank")).drop("columns", "_ddl")
+    order = ["_rank", "schema_name", "object_name"]
+    ranged = in_ranges(told, ["job_id"], order)
+    discard(spark, keys)
+    numbered = settled(running(ranged, ["job_id"], order, F.lit(1), "ord").drop(RANGE, TIE), scratch_path(spark, "numbered-objects"))
+    if place := checkpoint_path(ranged):
+        discard(spark, place)
+    again = per_table.withColumnRenamed("_of", "_from")
+    same = [numbered[c] == again[c] for c in key] + [F.col("_of").eqNullSafe(F.col("_from"))]
+    return numbered.join(shuffled(again), same, "left").select(*[numbered[c] for c in (*key, *named)], text.alias("definition"), "columns", "ord")
 
 
 def catalog_from_extracts(extracts: Mapping[str, DataFrame]) -> DataFrame:

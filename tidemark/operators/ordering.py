@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tidemark.functions.canonical import holds_map
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, spent_shuffles
 
 RANGE, TIE = "_range", "_tie"
 
@@ -31,13 +31,14 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges:
     Equal places in the order are told apart by a hash of the other columns (``_tie``), so many rows with the same
     key and time spread as well; only rows equal in every column share a range. The ranges are checkpointed
     because they must not be drawn anew when a stage is repeated. ``ranges`` fixes their number; else it is
-    the session's, and AQE joins neighbouring small ones.
+    the session's, and AQE joins neighbouring small ones. Rows that bring their own ``_tie`` keep it.
     """
     hashed = [F.col(f"`{f.name}`") for f in df.schema if not holds_map(f.dataType) and not isinstance(f.dataType, T.VariantType)]
-    told = df.withColumn(TIE, F.xxhash64(*hashed))
+    told = df if TIE in df.columns else df.withColumn(TIE, F.xxhash64(*hashed))
     by = [*keys, *order, TIE]
     cut = told.repartitionByRange(*by) if ranges is None else told.repartitionByRange(ranges, *by)
-    return cut_lineage(cut.withColumn(RANGE, F.spark_partition_id()))
+    with spent_shuffles(df.sparkSession):
+        return cut_lineage(cut.withColumn(RANGE, F.spark_partition_id()))
 
 
 def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.joins import shuffled
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, discard, scratch_path, settled, spent_shuffles
 from tidemark.sources import versioned
 from tidemark.sources.versioned import BUCKET
 
@@ -61,10 +61,18 @@ def replace_catalog(catalog: DataFrame, dependencies: DataFrame, path: str, buck
 
     The rows are added under the number of this load, and a job's newest load is its catalogue, so nothing that is there is rewritten and a load that
     is lost on the way changes nothing. Jobs share ``buckets`` partitions.
+
+    Rows are settled between the steps, so that the disk holds the shuffles of one step at a time.
     """
-    load = versioned.read_manifest(catalog.sparkSession, path)[0] + 1
-    fresh = with_dependencies(catalog, dependencies).withColumn("load", F.lit(load).cast("bigint"))
-    versioned.append(fresh, path, ["job_id"], latest_loads, buckets)
+    spark = catalog.sparkSession
+    load = versioned.read_manifest(spark, path)[0] + 1
+    alone, beside, whole = (scratch_path(spark, label) for label in ("catalog", "dependencies", "catalog-dependencies"))
+    listed = settled(catalog, alone)
+    fresh = settled(with_dependencies(listed, settled(dependencies.select("job_id", "child", "dependencies"), beside)), whole)
+    discard(spark, alone, beside)
+    with spent_shuffles(spark):
+        versioned.append(fresh.withColumn("load", F.lit(load).cast("bigint")), path, ["job_id"], latest_loads, buckets)
+    discard(spark, whole)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
