@@ -116,6 +116,20 @@ def test_boilerplate_on_three_pages_of_a_large_host_goes(spark):
     assert texts[9000] == f"{prose(1, 12, 10**6, 'y')}\n{prose(2, 12, 10**6, 'y')}"
 
 
+def test_lines_of_a_template_go_from_main_texts(spark):
+    line, licence = "Read more of our stories by signing up for the letter", prose(5, 12, 10**6, "l")
+    rows = [(k, "http://h.com/", f"<article><p>{prose(k, 30, 10**6)}</p><p>{licence if k < 5 else prose(k, 9, 10**6, 'z')}</p><p>{line}</p></article><div>out</div>") for k in range(12)]
+    # A page without the line, one whose every block is shared, another host's two pages, and a host of copies.
+    rows += [(20, "http://h.com/", f"<main><p>{prose(20, 30, 10**6)}</p></main>"), (21, "http://h.com/", f"<main><p>{line}</p></main>")]
+    rows += [(30 + k, "http://two.com/", f"<article><p>{prose(30 + k, 30, 10**6)}</p><p>{line}</p></article>") for k in range(2)]
+    rows += [(40 + k, "http://copies.com/", f"<article><p>{prose(77, 40)}</p></article>") for k in range(4)] + [(50, None, "<article>short</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = {r["page_id"]: r["text"] for r in main_text.main_texts(pages).collect()}
+    want = {k: f"{prose(k, 30, 10**6)}\n{licence if k < 5 else prose(k, 9, 10**6, 'z')}" for k in range(12)}
+    want |= {20: prose(20, 30, 10**6), 21: line, 50: "short"} | {30 + k: f"{prose(30 + k, 30, 10**6)}\n{line}" for k in range(2)} | {40 + k: prose(77, 40) for k in range(4)}
+    assert texts == want
+
+
 def base_scores(rows):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
